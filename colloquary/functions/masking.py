@@ -11,9 +11,11 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values: (pattern, tag) in the order they are applied.
+# Fixed values: (pattern, tag) in the order they are applied.  An address may only begin
+# where a run of its characters begins or the last address ended; looking from every
+# character of a long run would take time in the square of its length.
 DEFAULT_RULES: list[tuple[str, str]] = [
-    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", "[EMAIL]"),
+    (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", "[EMAIL]"),
     (r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", "[IP]"),
     (r'token = "[^"]*"', "[TOKEN]"),
     (r"\b[0-9]{16}\b", "[NUMBER]"),
@@ -35,5 +37,10 @@ def masked(col: str, rules: list[tuple[str, str]]) -> Column:
 
 
 def digest(*cols: str) -> Column:
-    """SHA-256 over the named columns; nulls count as content."""
-    return F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256)
+    """SHA-256 over the named columns as 32 bytes; nulls count as content.
+
+    Never null, and declared so: a join on it then needs no null filter, which
+    would compute the digest a second time.
+    """
+    whole = F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256)
+    return F.coalesce(F.unhex(whole), F.lit(b""))

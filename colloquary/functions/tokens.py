@@ -12,7 +12,7 @@ SEPARATOR = r"[^\p{L}\p{N}]+"
 def words(text: str | Column) -> Column:
     """Lower-case words in order, repeats included; null text gives null."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.lower(text), SEPARATOR), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), SEPARATOR), "")
 
 
 def explode_words(messages: DataFrame, *keep: str, distinct: bool = False) -> DataFrame:
@@ -20,7 +20,8 @@ def explode_words(messages: DataFrame, *keep: str, distinct: bool = False) -> Da
     found = words("text")
     if distinct:
         found = F.array_distinct(found)
-    return messages.select(*keep, F.explode(found).alias("term"))
+    # stated here, the condition is the same in every branch and shuffles can be shared
+    return messages.select(*keep, F.explode(found).alias("term")).where(F.col("term").isNotNull())
 
 
 def discussion_count(messages: DataFrame) -> Column:

@@ -13,7 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquary.functions.masking import digest
-from colloquary.plans.skew import HotSplit, cut_hot_keys, null_safe_join, with_previous
+from colloquary.plans.skew import HotSplit, cut_hot_keys, with_previous
+
+# more partitions than this are not listed in a filter
+MOST_PARTITIONS = 10_000
 
 
 @dataclass(frozen=True)
@@ -28,29 +31,35 @@ def _day(at: str) -> Column:
 
 
 def append_captures(archive: DataFrame, new: DataFrame, identity: list[str], content: list[str],
-                    stored_digest: str | None = None) -> DataFrame:
+                    within: str | None = None) -> DataFrame:
     """The archive and those new rows whose identity and content it does not hold yet.
 
-    ``identity`` must single out the capture, not the item.  If the archive
-    carries the digest of ``content`` in a column, name it: then only identity
-    and digest are read back, and new rows get the column too.  Naming the
-    archive's partition column in ``identity`` lets Spark skip partitions that
-    the new rows do not touch.
+    ``identity`` must single out the capture, not the item.  ``within`` may name
+    the archive's partition column, if rows of equal identity agree in it.
     """
-    return archive.unionByName(unseen_captures(archive, new, identity, content, stored_digest))
+    return archive.unionByName(unseen_captures(archive, new, identity, content, within))
 
 
 def unseen_captures(archive: DataFrame, new: DataFrame, identity: list[str], content: list[str],
-                    stored_digest: str | None = None) -> DataFrame:
-    """The part of ``new`` that ``append_captures`` adds."""
-    mark = stored_digest or "__digest"
-    keys = [*identity, mark]
-    # distinct and dropDuplicates shrink copies before their shuffle, and leave both
-    # sides partitioned the way the join wants them
-    fresh = new.withColumn(mark, digest(*content)).dropDuplicates(keys)
-    seen = (archive if stored_digest else archive.withColumn(mark, digest(*content)))
-    added = null_safe_join(fresh, seen.select(*keys).distinct(), keys, "left_anti")
-    return added if stored_digest else added.drop(mark)
+                    within: str | None = None) -> DataFrame:
+    """The part of ``new`` that ``append_captures`` adds.
+
+    With ``within`` only those partitions of the archive are read that the new
+    rows fall into.
+    """
+    if within:
+        found = new.select(within).distinct().limit(MOST_PARTITIONS + 1).collect()
+        values = [row[0] for row in found]
+        if len(values) <= MOST_PARTITIONS and None not in values:
+            archive = archive.where(F.col(within).isin(values))
+    mark = digest(*identity, *content).alias("__digest")
+    # Both sides shrink their copies before the shuffle and come out partitioned the
+    # way the join wants them.  An anti join would be moved below dropDuplicates,
+    # where copies are still many.
+    fresh = new.select("*", mark).dropDuplicates(["__digest"])
+    seen = archive.select(mark).distinct().withColumn("__seen", F.lit(True))
+    return (fresh.join(seen, "__digest", "left").where(F.col("__seen").isNull())
+            .drop("__digest", "__seen"))
 
 
 def as_of(captures: DataFrame, at: str, names: Names = Names()) -> DataFrame:

@@ -13,9 +13,10 @@ PART_TURNS = 1000
 def _parts(messages: DataFrame, part_turns: int) -> tuple[DataFrame, Column]:
     """Group by discussion and block of ``part_turns`` numbers of ``seq``.
 
-    A discussion may hold a third of everything; its blocks do not.
+    A discussion may hold a third of everything; its blocks do not, as ``seq`` is
+    unique in it.
     """
-    part = F.floor(F.col("seq") / F.lit(part_turns)).cast("bigint").alias("part")
+    part = F.call_function("div", F.col("seq"), F.lit(part_turns)).alias("part")
     said = F.sort_array(F.collect_list(F.struct("seq", "author", "text")))
     return messages.groupBy("conv_id", part), said
 
@@ -61,11 +62,12 @@ def hit_context(messages: DataFrame, hits: DataFrame, k: int) -> DataFrame:
     width = 2 * k + 1
 
     def band(turn: Column) -> Column:
-        return F.floor(turn / F.lit(width)).cast("bigint")
+        # first turn of the band
+        return turn - F.pmod(turn, F.lit(width))
 
-    around = (hits.select("conv_id", "hit").distinct()
+    around = (hits.select("conv_id", F.col("hit").cast("bigint")).distinct()
               .withColumn("__band", F.explode(F.sequence(
-                  band(F.col("hit") - k), band(F.col("hit") + k)))))
+                  band(F.col("hit") - k), band(F.col("hit") + k), F.lit(width).cast("bigint")))))
     rows = messages.withColumn("__band", band(F.col("seq")))
     return (rows.join(around, ["conv_id", "__band"])
             .where(F.col("seq").between(F.col("hit") - k, F.col("hit") + k))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquary.functions.tokens import discussion_count, explode_words, rarity
 from colloquary.plans.skew import (
-    HotSplit, cut_hot_keys, hot_by_weight, running_total, spread_lookup, with_previous)
+    FREQUENT, HotSplit, cut_hot_keys, lookup, running_total, with_previous)
 
 
 def sessionize(df: DataFrame, key: str, ts: str, gap: str, tie: list[str] | None = None,
@@ -41,13 +41,14 @@ def pair_replies(messages: DataFrame, asker: str, answerer: str,
                     F.col("seq").alias("answer_turn")))
 
 
-def key_terms(messages: DataFrame, k: int, split: HotSplit = HotSplit()) -> DataFrame:
+def key_terms(messages: DataFrame, k: int, split: HotSplit = FREQUENT) -> DataFrame:
     """k words per discussion by tf * ln(N / df), rounded to 4; ties go to the smaller word."""
     tf = (explode_words(messages, "conv_id")
           .groupBy("conv_id", "term").agg(F.count(F.lit(1)).alias("tf")))
-    # a word has one row per discussion here, so df is also its row count
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = spread_lookup(tf, df, "term", ["conv_id"], hot_by_weight(df, "df", split))
+    # df is also the word's row count in tf.  Asking for tf > 0 keeps the column, so
+    # that Spark sees one and the same shuffle here and below, and runs it once.
+    df = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
+    weighed = lookup(tf, df, "term", "df", split)
     score = F.round(F.col("tf") * rarity(discussion_count(messages), F.col("df")), 4)
     best = Window.partitionBy("conv_id").orderBy(F.col("score").desc(), F.col("term"))
     return (weighed.select("conv_id", "term", score.alias("score"))
@@ -55,17 +56,17 @@ def key_terms(messages: DataFrame, k: int, split: HotSplit = HotSplit()) -> Data
             .where(F.col("rk") <= k).select("conv_id", "term", "rk"))
 
 
-def extract_summary(messages: DataFrame, k: int, split: HotSplit = HotSplit()) -> DataFrame:
+def extract_summary(messages: DataFrame, k: int, split: HotSplit = FREQUENT) -> DataFrame:
     """k turns per discussion with the rarest words on average, the writers' own text.
 
     Rarity of a turn is the mean ln(N / df) of its words, rounded to 4; ties go
     to the earlier turn.  Turns without a word are never picked.
     """
     said = explode_words(messages, "conv_id", "seq")
-    df = said.groupBy("term").agg(F.countDistinct("conv_id").alias("df"),
-                                  F.count(F.lit(1)).alias("uses"))
-    weighed = spread_lookup(said, df, "term", ["conv_id", "seq"],
-                            hot_by_weight(df, "uses", split))
+    per_discussion = said.groupBy("conv_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    df = per_discussion.groupBy("term").agg(F.count_if(F.col("n") > 0).alias("df"),
+                                            F.sum("n").alias("uses"))
+    weighed = lookup(said, df, "term", "uses", split)
     n = discussion_count(messages)
     scored = weighed.groupBy("conv_id", "seq").agg(
         F.round(F.avg(rarity(n, F.col("df"))), 4).alias("score"))

@@ -55,6 +55,6 @@ def dedupe_exact(df: DataFrame, id: str, text: str) -> DataFrame:
 
     Copies are counted before the shuffle, and only a digest of the text travels.
     """
-    return (df.groupBy(F.sha2(text, 256).alias("__digest"))
+    return (df.groupBy(F.unhex(F.sha2(text, 256)).alias("__digest"))
             .agg(F.min(id).alias(id), F.count(F.lit(1)).alias("copies"))
             .drop("__digest"))

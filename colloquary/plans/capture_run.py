@@ -13,6 +13,6 @@ from colloquary.sources.intake import public_only
 def capture_run(archive: DataFrame, new: DataFrame, spaces: DataFrame, removals: DataFrame,
                 space: str, person: str, identity: list[str], content: list[str],
                 path: str, by: str) -> None:
-    """Append to the archive at ``path``.  A run that is repeated adds nothing."""
+    """Append to the archive at ``path``, partitioned by ``by``.  A repeated run adds nothing."""
     wanted = honour_removals(public_only(new, spaces, space), removals, person)
-    write_archive(unseen_captures(archive, wanted, identity, content), path, by)
+    write_archive(unseen_captures(archive, wanted, identity, content, within=by), path, by)

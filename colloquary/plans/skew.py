@@ -7,10 +7,11 @@ Three situations come up in this package:
   pieces along its order, ``with_previous`` and ``running_total`` work per piece
   and carry the one value a piece needs from the piece before;
 * a *lookup* by a busy key (a very common word) would send all its rows to one
-  task.  ``spread_lookup`` answers the busy keys from a broadcast and spreads
-  their rows over the remaining join;
+  task.  ``lookup`` answers the frequent keys from a broadcast, where their rows
+  are, and shuffles only the rest;
 * a *list* given by the caller may be ten names or ten billion.  ``keep_listed``
-  and ``drop_listed`` broadcast it only after looking at its size.
+  and ``drop_listed`` broadcast it only after looking at its size; a longer one
+  is joined by shuffle, with the rows of hot keys answered before and spread out.
 
 A key is hot when it alone holds more than 1/share of all rows.  Fewer than
 ``share`` keys can be hot, and all their pieces together number less than about
@@ -47,6 +48,10 @@ class HotSplit:
     min_rows: int = 1_000_000
 
 
+# Lookups broadcast more than hot keys need, since each answered row saves a shuffle.
+FREQUENT = HotSplit(share=1_000_000)
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Equi-join in which null equals null; the key columns come from ``left``."""
     renamed = right.select(
@@ -152,41 +157,41 @@ def fits_broadcast(df: DataFrame, rows: int = LIST_ROWS, size: int = LIST_BYTES)
     return n <= rows and held <= size
 
 
-def spread_lookup(left: DataFrame, table: DataFrame, key: str, spread: list[str],
-                  hot: DataFrame) -> DataFrame:
-    """Left join of ``left`` with ``table`` (one row per ``key``) where some keys are ``hot``.
+def lookup(left: DataFrame, table: DataFrame, key: str, weight: str,
+           split: HotSplit = FREQUENT) -> DataFrame:
+    """Inner join of ``left`` with ``table``, which has one row per ``key``.
 
-    ``hot`` holds fewer than ``share`` keys.  Their entries are broadcast; their
-    rows go through the remaining join spread by a hash of ``spread``, matching
-    nothing there.
+    ``weight`` is the column of ``table`` that says how many rows of ``left`` have
+    the key.  No key that is left for the shuffle has more than 1/share of them.
     """
-    values = [c for c in table.columns if c != key]
-    known = table.join(F.broadcast(hot.select(key)), key, "left_semi").select(
-        key, F.struct(*values).alias("__known"))
-    rows = left.join(F.broadcast(known), key, "left").withColumn(
-        "__salt", F.when(F.col("__known").isNull() & F.col(key).isNotNull(), F.lit(0))
-        .otherwise(1 + F.pmod(F.xxhash64(*spread), F.lit(1 << 20)).cast("int")))
-    joined = rows.join(table.withColumn("__salt", F.lit(0)), [key, "__salt"], "left")
-    return joined.select(
-        *left.columns,
-        *[F.coalesce(F.col(f"__known.{v}"), F.col(v)).alias(v) for v in values])
-
-
-def hot_by_weight(table: DataFrame, weight: str, split: HotSplit = HotSplit()) -> DataFrame:
-    """Hot rows of a table that already carries each key's row count."""
     total = table.agg(F.sum(weight)).scalar()
-    return _hot(table.withColumn(_N, F.col(weight)), total, split).drop(_N)
+    frequent = _hot(table.withColumn(_N, F.col(weight)), total, split).select(
+        key, F.struct(*[c for c in table.columns if c != key]).alias("__known"))
+    tried = left.join(F.broadcast(frequent), key, "left")
+    answered = tried.where(F.col("__known").isNotNull()).select(*left.columns, "__known.*")
+    # an anti join would be moved below an aggregate in ``left``, which would then run twice
+    rest = tried.where(F.col("__known").isNull()).select(*left.columns).join(table, key)
+    return answered.unionByName(rest)
 
 
 def _flag_listed(df: DataFrame, names: DataFrame, key: str, split: HotSplit) -> DataFrame:
+    """Add ``__listed``: true if on the list, else false or null.
+
+    The join has a second key, a hash: of the key itself for ordinary rows, of the
+    whole row for those of hot keys, which are answered from a broadcast and so
+    can go anywhere.
+    """
     counts = _counts(df.where(F.col(key).isNotNull()), [key])
-    hot = _hot(counts, counts.agg(F.sum(_N)).scalar(), split)
-    listed = names.withColumn("__listed", F.lit(True))
-    # hot keys that are not listed must be spread as well
-    answers = hot.select(key).join(listed, key, "left").withColumn(
-        "__listed", F.coalesce("__listed", F.lit(False)))
-    table = listed.join(F.broadcast(hot.select(key)), key, "left_anti").unionByName(answers)
-    return spread_lookup(df, table, key, df.columns, hot)
+    hot = _hot(counts, counts.agg(F.sum(_N)).scalar(), split).select(key)
+    listed = names.withColumn("__on", F.lit(True))
+    answers = F.broadcast(hot.join(listed, key, "left").select(
+        key, F.coalesce("__on", F.lit(False)).alias("__known")))
+    ordinary = F.col("__known").isNull() & F.col(key).isNotNull()
+    rows = df.join(answers, key, "left").withColumn(
+        "__spread", F.when(ordinary, F.xxhash64(key)).otherwise(F.xxhash64(*df.columns)))
+    listed = listed.withColumn("__spread", F.xxhash64(key))
+    return rows.join(listed, [key, "__spread"], "left").select(
+        *df.columns, F.coalesce("__known", "__on").alias("__listed"))
 
 
 def keep_listed(df: DataFrame, names: DataFrame, key: str,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquary.operators.consume import PART_TURNS, transcript
 from colloquary.operators.select import discussion_stats, top_discussions, value_score
-from colloquary.plans.skew import keep_listed
+from colloquary.plans.skew import LIST_ROWS, keep_listed
 
 
 def worth_reading(messages: DataFrame, weights: dict[str, tuple[float, float]], k: int,
@@ -15,8 +15,10 @@ def worth_reading(messages: DataFrame, weights: dict[str, tuple[float, float]],
     """``conv_id, part, score, body`` of the k best discussions."""
     best = top_discussions(value_score(discussion_stats(messages), weights), k)
     best = best.select("conv_id", "score")
-    # k rows are broadcast where k is small enough for that
-    chosen = messages.join(F.broadcast(best), "conv_id", "left_semi") if k <= 100_000 \
-        else keep_listed(messages, best, "conv_id")
+    if k <= LIST_ROWS:  # two numbers per row
+        best = F.broadcast(best)
+        chosen = messages.join(best, "conv_id", "left_semi")
+    else:
+        chosen = keep_listed(messages, best, "conv_id")
     return (transcript(chosen, part_turns).join(best, "conv_id")
             .select("conv_id", "part", "score", "body"))

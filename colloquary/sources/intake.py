@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,9 +31,14 @@ def to_messages(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     unknown = set(mapping) - set(MESSAGES.names)
     if unknown:
         raise ValueError(f"not message columns: {sorted(unknown)}")
-    return df.select(*[
-        (F.col(mapping[f.name]) if f.name in mapping else F.lit(None)).cast(f.dataType)
-        .alias(f.name) for f in MESSAGES.fields])
+
+    def column(field: T.StructField) -> Column:
+        source = mapping.get(field.name)
+        if source == field.name and df.schema[source].dataType == field.dataType:
+            return F.col(source)
+        return (F.col(source) if source else F.lit(None)).cast(field.dataType).alias(field.name)
+
+    return df.select(*[column(f) for f in MESSAGES.fields])
 
 
 def parse_json_export(df: DataFrame, col: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
