@@ -1,0 +1,73 @@
+import json
+
+from pyspark.sql import functions as F
+
+from colloquary.operators import consume
+from colloquary.sources.archive_store import write_json
+from tests.helpers import at, messages, rows
+
+
+def _talk(spark):
+    return messages(spark, (1, 2, "a", "three"), (1, 0, "a", "one"), (1, 1, "b", "two\nlines"),
+                    (2, 5, None, "x"), (2, 6, "c", None))
+
+
+def test_transcript(spark):
+    assert rows(consume.transcript(_talk(spark))) == [
+        (1, 0, "a: one\nb: two\nlines\na: three"), (2, 0, ": x\nc: ")]
+
+
+def test_parts_put_together_are_the_whole(spark):
+    df = messages(spark, *[(1, i, "a", str(i)) for i in range(100)])
+    parts = consume.transcript(df, 7).orderBy("part").collect()
+    assert len(parts) == 15 and all(p.body.count("\n") < 7 for p in parts)
+    assert "\n".join(p.body for p in parts) == rows(consume.transcript(df))[0][2]
+
+
+def test_nested_forms_agree(spark, tmp_path):
+    array = consume.nested_export(_talk(spark))
+    assert [m.seq for m in array.where("conv_id = 1").first().messages] == [0, 1, 2]
+    text = consume.nested_export(_talk(spark), as_json=True).where("conv_id = 1").first().json
+    assert json.loads(text)[1] == {"seq": 1, "author": "b", "text": "two\nlines"}
+    write_json(array, str(tmp_path / "out"))
+    back = spark.read.schema(array.schema).json(str(tmp_path / "out"))
+    assert rows(back) == rows(array)
+
+
+def test_search(spark):
+    df = messages(spark, (1, 0, "a", "Foo bar foo"), (1, 1, "a", "FOO"), (2, 0, "a", "bar food"),
+                  (3, 0, "a", None))
+    assert rows(consume.keyword_search(df, ["foo", "bar", "Foo"], False)) == [(1, 2, 4), (2, 1, 1)]
+    assert rows(consume.keyword_search(df, ["foo", "bar", "Foo"], True)) == [(1, 2, 4)]
+
+
+def test_hit_context_against_brute_force(spark):
+    talk = [(c, s, "a", f"{c}-{s}") for c in (1, 2) for s in range(-7, 30) if (s * 7 + c) % 5]
+    hits = [(1, 0), (1, 1), (1, 1), (1, 29), (2, -7), (2, 13), (3, 4)]
+    for k in (0, 1, 4):
+        want = sorted({(c, h, s) for c, h in hits for d, s, *_ in talk if c == d and abs(s - h) <= k})
+        out = consume.hit_context(messages(spark, *talk),
+                                  spark.createDataFrame(hits, "conv_id long, hit long"), k)
+        assert rows(out.select("conv_id", "hit", "seq")) == sorted(want, key=repr)
+
+
+def test_rollup(spark):
+    df = spark.createDataFrame(
+        [("x", at("2024-01-01T05:00")), ("x", at("2024-01-01T06:00")), ("y", at("2024-01-02")),
+         (None, at("2024-01-02"))], "kind string, ts timestamp_ntz")
+    out = consume.activity_rollup(df, ["kind"], "ts").withColumn("day", F.col("day").cast("string"))
+    assert rows(out) == sorted([
+        ("x", "2024-01-01", 2, 0), ("y", "2024-01-02", 1, 0), (None, "2024-01-02", 1, 0),
+        ("x", None, 2, 1), ("y", None, 1, 1), (None, None, 1, 1), (None, None, 4, 3)], key=repr)
+
+
+def test_views(spark):
+    consume.register_views(spark, {"v_talk": _talk(spark)})
+    assert spark.sql("SELECT count(*) FROM v_talk WHERE conv_id = 1").first()[0] == 3
+
+
+def test_empty_input(spark):
+    empty = _talk(spark).limit(0)
+    assert consume.transcript(empty).count() == 0
+    assert consume.nested_export(empty).count() == 0
+    assert consume.keyword_search(empty, ["a"], False).count() == 0

@@ -1,0 +1,87 @@
+import math
+
+import pytest
+
+from colloquary.operators import distill
+from colloquary.plans.skew import HotSplit
+from tests.helpers import at, messages, rows
+
+WAYS = [HotSplit(), HotSplit(share=1000, min_rows=0)]
+
+
+@pytest.mark.parametrize("split", WAYS)
+def test_session_boundary(spark, split):
+    df = spark.createDataFrame(
+        [(1, at("2024-01-01T00:00")), (1, at("2024-01-01T00:30")),
+         (1, at("2024-01-01T01:00:00.000001")), (1, at("2024-01-01T01:10")),
+         (2, at("2024-01-01T00:00")), (None, at("2024-01-01T00:00")),
+         (None, at("2024-01-01T09:00"))], "room long, ts timestamp_ntz")
+    out = distill.sessionize(df, "room", "ts", "30 minutes", split=split)
+    assert [(r[0], r[2]) for r in rows(out)] == sorted(
+        [(1, 0), (1, 0), (1, 1), (1, 1), (2, 0), (None, 0), (None, 1)], key=repr)
+
+
+@pytest.mark.parametrize("split", WAYS)
+def test_pair_replies(spark, split):
+    df = messages(spark, (1, 0, "user", ""), (1, 3, "bot", ""), (1, 4, "bot", ""),
+                  (1, 5, "user", ""), (1, 6, "user", ""), (1, 9, "bot", ""), (2, 0, "bot", ""))
+    assert rows(distill.pair_replies(df, "user", "bot", split)) == [(1, 0, 3), (1, 6, 9)]
+
+
+def _words(text):
+    out, word = [], ""
+    for ch in (text or "").lower() + " ":
+        if ch.isalnum():
+            word += ch
+        else:
+            if word:
+                out.append(word)
+            word = ""
+    return out
+
+
+TALK = [
+    (1, 0, "a", "the kernel locks the mutex"), (1, 1, "b", "the the the"),
+    (1, 2, "a", "a rare rare gem"), (1, 3, "b", "rare gem a rare"), (1, 4, "a", "..."),
+    (2, 0, "a", "The kernel"), (2, 1, "b", None), (2, 2, "b", "zebra yak"), (3, 0, "a", "the a b"),
+]
+
+
+@pytest.mark.parametrize("split", WAYS)
+def test_key_terms_against_brute_force(spark, split):
+    tf, df, n = {}, {}, len({c for c, *_ in TALK})
+    for c, _, _, text in TALK:
+        for w in _words(text):
+            tf[c, w] = tf.get((c, w), 0) + 1
+            df.setdefault(w, set()).add(c)
+    want = []
+    for c in {c for c, *_ in TALK}:
+        scored = sorted((-round(t * math.log(n / len(df[w])), 4), w)
+                        for (d, w), t in tf.items() if d == c)
+        want += [(c, w, i) for i, (_, w) in enumerate(scored[:3], 1)]
+    assert rows(distill.key_terms(messages(spark, *TALK), 3, split)) == sorted(want)
+
+
+@pytest.mark.parametrize("split", WAYS)
+def test_extract_summary_against_brute_force(spark, split):
+    df, n = {}, len({c for c, *_ in TALK})
+    for c, _, _, text in TALK:
+        for w in _words(text):
+            df.setdefault(w, set()).add(c)
+    want = []
+    for c in {c for c, *_ in TALK}:
+        scored = []
+        for d, seq, _, text in TALK:
+            if d == c and _words(text):
+                rarity = [math.log(n / len(df[w])) for w in _words(text)]
+                scored.append((-round(sum(rarity) / len(rarity), 4), seq))
+        want += [(c, seq, i) for i, (_, seq) in enumerate(sorted(scored)[:2], 1)]
+    assert rows(distill.extract_summary(messages(spark, *TALK), 2, split)) == sorted(want)
+
+
+def test_empty_input(spark):
+    empty = messages(spark, (1, 0, "a", "b")).limit(0)
+    assert distill.key_terms(empty, 3).count() == 0
+    assert distill.extract_summary(empty, 3).count() == 0
+    assert distill.pair_replies(empty, "a", "b").count() == 0
+    assert distill.sessionize(empty, "conv_id", "ts", "1 hour").count() == 0

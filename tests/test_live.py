@@ -1,0 +1,85 @@
+"""Streams replayed in several batches, one checkpoint."""
+
+import datetime as dt
+
+import pytest
+
+from colloquary.plans.skew import HotSplit
+from colloquary.streaming import live
+from tests.helpers import at, rows
+
+SCHEMA = "id long, room string, ts timestamp"
+
+
+@pytest.fixture
+def replay(spark, tmp_path):
+    """Feed batches one at a time through ``build``; returns rows out and dropped counts."""
+    source, sink, checkpoint = (str(tmp_path / d) for d in ("in", "out", "checkpoint"))
+
+    def run(build, *batches):
+        dropped = 0
+        for batch in batches:
+            data = [(i, room, at(t).replace(tzinfo=dt.timezone.utc)) for i, room, t in batch]
+            (spark.createDataFrame(data, SCHEMA).coalesce(1)
+             .write.mode("append").parquet(source))
+            stream = build(spark.readStream.schema(SCHEMA).parquet(source))
+            query = (stream.writeStream.format("parquet").option("path", sink)
+                     .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+            query.awaitTermination()
+            dropped += sum(op.numRowsDroppedByWatermark for p in query.recentProgress
+                           for op in p.stateOperators)
+        return spark.read.parquet(sink), dropped
+
+    return run
+
+
+BATCHES = [
+    [(1, "x", "2024-01-01T00:10"), (2, "x", "2024-01-01T00:20")],
+    [(2, "x", "2024-01-01T00:21"), (3, "y", "2024-01-01T05:00")],
+    [(4, "y", "2024-01-01T05:30"), (5, "x", "2024-01-01T00:30"), (6, "y", "2024-01-01T12:00")],
+]
+
+
+def test_intake_drops_near_repeats_and_late_rows(spark, replay):
+    out, dropped = replay(lambda s: live.stream_intake(s, "id", "ts", "1 hour"), *BATCHES)
+    assert [r[0] for r in rows(out)] == [1, 2, 3, 4, 6]
+    assert dropped == 1
+
+
+def test_activity_gives_final_windows(spark, replay):
+    out, dropped = replay(
+        lambda s: live.stream_activity(s, "ts", "1 hour", "1 hour", ["room"]), *BATCHES)
+    assert rows(out) == [
+        (at("2024-01-01T00:00"), at("2024-01-01T01:00"), "x", 3),
+        (at("2024-01-01T05:00"), at("2024-01-01T06:00"), "y", 2)]
+    assert dropped == 1
+
+
+def test_sessions_end_by_silence(spark, replay):
+    out, dropped = replay(
+        lambda s: live.stream_sessions(s, "room", "ts", "30 minutes", "1 hour"), *BATCHES)
+    # 05:00 and 05:30 are exactly one gap apart and stay together
+    assert rows(out) == [
+        ("x", at("2024-01-01T00:10"), at("2024-01-01T00:51"), 3),
+        ("y", at("2024-01-01T05:00"), at("2024-01-01T06:00"), 2)]
+    assert dropped == 1
+
+
+@pytest.mark.parametrize("split", [HotSplit(), HotSplit(share=1000, min_rows=0)])
+def test_sessions_of_a_table(spark, split):
+    df = spark.createDataFrame(
+        [(i, room, at(t)) for batch in BATCHES for i, room, t in batch],
+        "id long, room string, ts timestamp_ntz")
+    out = live.stream_sessions(df, "room", "ts", "30 minutes", "1 hour", split)
+    assert sorted(map(tuple, out.collect())) == [
+        ("x", at("2024-01-01T00:10"), at("2024-01-01T01:00"), 4),
+        ("y", at("2024-01-01T05:00"), at("2024-01-01T06:00"), 2),
+        ("y", at("2024-01-01T12:00"), at("2024-01-01T12:30"), 1)]
+
+
+def test_run_available_goes_on_where_it_stopped(spark, tmp_path):
+    source, sink, checkpoint = (str(tmp_path / d) for d in ("in", "out", "checkpoint"))
+    for start in (0, 10):
+        spark.range(start, start + 10).coalesce(1).write.mode("append").parquet(source)
+        live.run_available(spark.readStream.schema("id long").parquet(source), sink, checkpoint)
+    assert sorted(r.id for r in spark.read.parquet(sink).collect()) == list(range(20))
