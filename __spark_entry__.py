@@ -28,8 +28,7 @@ SEARCH = ["the", "que", "der"]
 PART = 3  # small, so that the fixtures show discussions of several parts
 SALT = "not-a-secret-only-for-checks"
 LINE = r"^<(\w+)> (.*)$"
-RULES = {"emails": DEFAULT_RULES[0][0], "addresses": DEFAULT_RULES[1][0],
-         "tokens": DEFAULT_RULES[2][0], "numbers": DEFAULT_RULES[3][0]}
+RULES = dict(zip(["emails", "addresses", "tokens", "numbers"], DEFAULT_RULES))
 # low enough that every key of the fixtures is cut into pieces
 CUT_ALL = HotSplit(share=1000, min_rows=5)
 
@@ -435,7 +434,7 @@ def _rank(at_or_before: str, source: str = "events") -> str:
 
 # DuckDB has no look-behind; without it the pattern finds the same, only slower
 _SQL_RULES = [(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", "[EMAIL]"),
-              *DEFAULT_RULES[1:]]
+              *[rule[:2] for rule in DEFAULT_RULES[1:]]]
 
 
 def _sql_replace() -> str:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquary.functions.masking import DEFAULT_RULES, masked, stand_in
+from colloquary.functions.masking import DEFAULT_RULES, Rule, masked, matches, stand_in
 from colloquary.plans.skew import HotSplit, drop_listed
 
 
@@ -21,14 +21,18 @@ def pseudonymise(df: DataFrame, col: str, salt: str) -> DataFrame:
 
 def redact(df: DataFrame, col: str,
            rules: list[tuple[str, str]] = DEFAULT_RULES) -> DataFrame:
-    """Replace e-mail and IPv4 addresses, tokens and 16-digit numbers by tags, in that order."""
-    return df.withColumn(col, masked(col, rules))
+    """Replace what each (pattern, tag) rule finds, in order; by default e-mail and IPv4
+    addresses, tokens and 16-digit numbers."""
+    for rule in rules:
+        df = df.withColumn(col, masked(col, Rule(*rule)))
+    return df
 
 
-def sensitive_report(df: DataFrame, col: str, by: str, rules: dict[str, str]) -> DataFrame:
-    """Rows per group that match each rule: name -> pattern."""
+def sensitive_report(df: DataFrame, col: str, by: str,
+                     rules: dict[str, tuple[str, str]]) -> DataFrame:
+    """Rows per group that match each named rule."""
     return df.groupBy(by).agg(*[
-        F.count_if(F.col(col).rlike(pattern)).alias(name) for name, pattern in rules.items()])
+        F.count_if(matches(col, Rule(*rule))).alias(name) for name, rule in rules.items()])
 
 
 def honour_removals(df: DataFrame, removals: DataFrame, key: str,

@@ -50,7 +50,7 @@ def test_sensitive_report(spark):
     df = spark.createDataFrame(
         [("s", "a@b.org c@d.org"), ("s", "1.2.3.4"), ("t", "plain"), ("t", None)],
         "src string, t string")
-    rules = {"mail": DEFAULT_RULES[0][0], "ip": DEFAULT_RULES[1][0]}
+    rules = {"mail": DEFAULT_RULES[0], "ip": tuple(DEFAULT_RULES[1][:2])}
     assert rows(respect.sensitive_report(df, "t", "src", rules)) == [("s", 1, 1), ("t", 0, 0)]
 
 
