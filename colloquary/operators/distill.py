@@ -2,31 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquary.functions.tokens import discussion_count, explode_words, rarity
 from colloquary.plans.skew import (
-    FREQUENT, HotSplit, cut_hot_keys, lookup, running_total, with_previous)
+    FREQUENT, HOT, PIECE, HotSplit, by_piece, cut_hot_keys, in_piece, lookup, null_safe_join,
+    with_previous)
 
 
 def sessionize(df: DataFrame, key: str, ts: str, gap: str, tie: list[str] | None = None,
                split: HotSplit = HotSplit()) -> DataFrame:
     """Number the discussions of each room: a new one starts after a silence longer than ``gap``.
 
-    ``tie`` orders rows of equal time; it has no influence on the numbers.
+    ``tie`` orders rows of equal time; it has no influence on the numbers.  Rows
+    without a time get no number.
     """
     keys, order = [key], [ts, *(tie or [])]
+    cut = cut_hot_keys(df, keys, order, split)
+    within = in_piece(keys, order)
 
-    def mark_starts(rows: DataFrame) -> DataFrame:
-        rows = with_previous(rows, keys, order, [ts], "__prev")
-        silence = F.col(ts) > F.col(f"__prev.`{ts}`") + F.expr(f"interval {gap}")
-        return rows.withColumn(
-            "__start", (F.col("__prev").isNull() | F.coalesce(silence, F.lit(False))).cast("bigint"))
+    def after_silence(before: Column) -> Column:
+        return F.coalesce(F.col(ts) > before + F.expr(f"interval {gap}"), F.lit(False))
 
-    cut = cut_hot_keys(df, keys, order, split)
-    numbered = running_total(cut, mark_starts, keys, order, "__start", "session_no")
-    return numbered.select(*df.columns, (F.col("session_no") - 1).alias("session_no"))
+    # for each piece of a hot room: its last time, and the starts it has whatever came before
+    pieces = (cut.where(F.col(HOT) & F.col(ts).isNotNull())
+              .withColumn("__starts", after_silence(F.lag(ts).over(within)).cast("bigint"))
+              .groupBy(*keys, PIECE)
+              .agg(F.min(ts).alias(ts), F.max(ts).alias("__last"),
+                   F.sum("__starts").alias("__n")))
+    # then the time before the piece, and the starts in all pieces before
+    carried = pieces.withColumn("__carry", F.lag("__last").over(by_piece(keys)))
+    first = F.col("__carry").isNull() | after_silence(F.col("__carry"))
+    carried = carried.withColumn("__n", F.col("__n") + first.cast("bigint")).select(
+        *keys, PIECE, "__carry", F.sum("__n").over(
+            by_piece(keys).rowsBetween(Window.unboundedPreceding, -1)).alias("__offset"))
+    # a few numbers per piece, and no more pieces than stated in plans.skew
+    rows = null_safe_join(cut, F.broadcast(carried), keys + [PIECE], "left")
+    before = F.coalesce(F.lag(ts).over(within), F.col("__carry"))
+    starts = F.col(ts).isNotNull() & (before.isNull() | after_silence(before))
+    numbered = rows.withColumn("__starts", starts.cast("bigint")).withColumn(
+        "__no", F.sum("__starts").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    number = F.col("__no") + F.coalesce("__offset", F.lit(0)) - 1
+    return numbered.select(
+        *df.columns, F.when(F.col(ts).isNotNull(), number).alias("session_no"))
 
 
 def pair_replies(messages: DataFrame, asker: str, answerer: str,

@@ -4,8 +4,8 @@ Three situations come up in this package:
 
 * a *window* over a key (previous row, running total) would put all rows of a
   busy key into one task.  ``cut_hot_keys`` cuts such a key into consecutive
-  pieces along its order, ``with_previous`` and ``running_total`` work per piece
-  and carry the one value a piece needs from the piece before;
+  pieces along its order; the window then runs per piece, and what a piece needs
+  from the pieces before is one row (see ``with_previous``);
 * a *lookup* by a busy key (a very common word) would send all its rows to one
   task.  ``lookup`` answers the frequent keys from a broadcast, where their rows
   are, and shuffles only the rest;
@@ -20,12 +20,12 @@ twice ``share``, however large the data: that is the bound on what is broadcast.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 PIECE = "__piece"
 HOT = "__hot"
@@ -42,9 +42,9 @@ LIST_BYTES = 64 * 1024 * 1024
 @dataclass(frozen=True)
 class HotSplit:
     """``share``: the largest part of all rows (1/share) one task should get.
-    ``min_rows``: keys up to this size are never worth splitting."""
+    ``min_rows``: no key or piece needs to be smaller than this."""
 
-    share: int = 20_000
+    share: int = 10_000
     min_rows: int = 1_000_000
 
 
@@ -65,8 +65,12 @@ def _counts(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(_N))
 
 
+def _fair_share(total: Column, split: HotSplit) -> Column:
+    return F.greatest(total / split.share, F.lit(float(split.min_rows)))
+
+
 def _hot(counts: DataFrame, total: Column, split: HotSplit) -> DataFrame:
-    return counts.where((F.col(_N) > split.min_rows) & (F.col(_N) > total / split.share))
+    return counts.where(F.col(_N) > _fair_share(total, split))
 
 
 def cut_hot_keys(df: DataFrame, keys: list[str], order: list[str],
@@ -74,42 +78,48 @@ def cut_hot_keys(df: DataFrame, keys: list[str], order: list[str],
     """Add ``__piece`` and ``__hot``.
 
     Ordinary keys are one piece, 0.  A hot key gets consecutive pieces along
-    ``order[0]`` of about ``total / share`` rows each.  Cut points are every
-    eighth value of a sample taken by hash, hence a function of the rows alone:
-    two branches of one plan, or a task run again, see the same pieces.
-    Rows with equal ``order[0]`` always share a piece.
+    ``order[0]`` of about a fair share of rows each.  Cut points are every eighth
+    value of a sample taken by hash, hence a function of the rows alone: two
+    branches of one plan, or a task run again, see the same pieces.  Rows with
+    equal ``order[0]`` always share a piece.
     """
     at = order[0]
     counts = _counts(df, keys)
     total = counts.agg(F.sum(_N)).scalar()
     hot = F.broadcast(_hot(counts, total, split).select(*keys))
-    every = F.greatest(F.lit(1), F.floor(total / (split.share * _SAMPLES_PER_CUT)))
+    every = F.greatest(F.lit(1), F.floor(_fair_share(total, split) / _SAMPLES_PER_CUT))
     sample = (null_safe_join(df.select(*dict.fromkeys(keys + order)), hot, keys, "left_semi")
               .where(F.pmod(F.xxhash64(*keys, *order), every) == 0))
     cuts = (sample.groupBy(*keys).agg(F.sort_array(F.collect_set(at)).alias(_CUTS))
             .withColumn(_CUTS, F.filter(
                 _CUTS, lambda _, i: i % _SAMPLES_PER_CUT == _SAMPLES_PER_CUT - 1)))
     cut = null_safe_join(df, F.broadcast(cuts), keys, "left")
-    return (cut.withColumn(PIECE, F.when(F.col(_CUTS).isNull(), F.lit(0))
-                           .otherwise(_count_up_to(F.col(_CUTS), F.col(at), split)))
-            .withColumn(HOT, F.col(_CUTS).isNotNull())
-            .drop(_CUTS))
-
+    return cut.select(
+        *df.columns, *_halving_steps(F.col(_CUTS), F.col(at), split),
+        F.col(_CUTS).isNotNull().alias(HOT)).select(*df.columns, PIECE, HOT)
 
-def _count_up_to(cuts: Column, value: Column, split: HotSplit) -> Column:
-    """How many of the sorted ``cuts`` are <= ``value``, by halving steps."""
-    bits = (4 * split.share).bit_length()
-    steps = F.array(*[F.lit(1 << b) for b in range(bits, -1, -1)])
-    return F.aggregate(
-        steps, F.lit(0),
-        lambda pos, step: F.when(F.get(cuts, pos + step - 1) <= value, pos + step).otherwise(pos))
 
-
-def _by_piece(keys: list[str]):
+def _halving_steps(cuts: Column, value: Column, split: HotSplit) -> list[Column]:
+    """Columns, each built on the one before, that end in ``__piece``: how many of the
+    sorted ``cuts`` are <= ``value`` (0 without cuts).  As columns the steps are compiled
+    with the rest of the stage; a higher-order function would be interpreted per row.
+    """
+    last = (2 * split.share).bit_length() - 1
+    steps, found = [], F.lit(0)
+    for bit in range(last, -1, -1):
+        there = F.get(cuts, found + F.lit((1 << bit) - 1)) <= value
+        step = found + F.when(there, F.lit(1 << bit)).otherwise(F.lit(0))
+        name = f"__step_{bit}" if bit else PIECE
+        steps.append(step.alias(name))
+        found = F.col(name)
+    return steps
+
+
+def by_piece(keys: list[str]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(PIECE)
 
 
-def _in_piece(keys: list[str], order: list[str]):
+def in_piece(keys: list[str], order: list[str]) -> WindowSpec:
     return Window.partitionBy(*keys, PIECE).orderBy(*order)
 
 
@@ -123,32 +133,14 @@ def with_previous(cut: DataFrame, keys: list[str], order: list[str],
     carried = [c for c in dict.fromkeys(order + values) if c not in keys]
     last = (cut.where(HOT).groupBy(*keys, PIECE)
             .agg(F.max_by(F.struct(*carried), F.struct(*order)).alias("last")))
-    ghosts = (last.withColumn("last", F.lag("last").over(_by_piece(keys)))
+    ghosts = (last.withColumn("last", F.lag("last").over(by_piece(keys)))
               .where(F.col("last").isNotNull())
               .select(*keys, PIECE, "last.*", F.lit(True).alias(HOT), F.lit(True).alias(GHOST)))
     rows = cut.withColumn(GHOST, F.lit(False)).unionByName(ghosts, allowMissingColumns=True)
-    return (rows.withColumn(name, F.lag(F.struct(*values)).over(_in_piece(keys, order)))
+    return (rows.withColumn(name, F.lag(F.struct(*values)).over(in_piece(keys, order)))
             .where(~F.col(GHOST)).drop(GHOST))
 
 
-def running_total(cut: DataFrame, prepare: Callable[[DataFrame], DataFrame], keys: list[str],
-                  order: list[str], value: str, name: str) -> DataFrame:
-    """``prepare(cut)`` with the running total of its column ``value`` per key.
-
-    Totals run inside each piece; what the earlier pieces of a hot key add up to
-    comes from a second look at the hot keys' rows alone.
-    """
-    within = _in_piece(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = _by_piece(keys).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (prepare(cut.where(HOT)).groupBy(*keys, PIECE).agg(F.sum(value).alias("__sum"))
-               .select(*keys, PIECE, F.sum("__sum").over(before).alias("__offset")))
-    summed = prepare(cut).withColumn(name, F.sum(value).over(within))
-    # one row per piece of a hot key: within the bound given at the top
-    return (null_safe_join(summed, F.broadcast(offsets), keys + [PIECE], "left")
-            .withColumn(name, F.col(name) + F.coalesce("__offset", F.lit(0)))
-            .drop("__offset"))
-
-
 def fits_broadcast(df: DataFrame, rows: int = LIST_ROWS, size: int = LIST_BYTES) -> bool:
     """Look at no more than ``rows + 1`` rows to learn whether ``df`` is within the limits."""
     text = F.coalesce(F.octet_length(F.to_json(F.struct(*df.columns))), F.lit(0))
