@@ -48,8 +48,9 @@ class HotSplit:
     min_rows: int = 1_000_000
 
 
-# Lookups broadcast more than hot keys need, since each answered row saves a shuffle.
-FREQUENT = HotSplit(share=1_000_000)
+# Lookups broadcast more than hot keys need, since each answered row saves a shuffle.  A key
+# in there takes at least 1/share of all rows, so a million keys of average length at most.
+FREQUENT = HotSplit(share=1_000_000, min_rows=1_000)
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:

@@ -96,8 +96,28 @@ def test_top_k_is_limited_before_the_shuffle(spark):
     assert "TakeOrderedAndProject" in _plan(spark, "top_discussions")
 
 
-def test_word_counts_are_shuffled_once(spark):
+def _final_plan(df):
+    """Lines of the plan as it ran, without the initial plans shown beside it."""
+    kept, beside = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().split("\n"):
+        depth = len(line) - len(line.lstrip(" :+-"))
+        if beside is not None and depth > beside:
+            continue
+        beside = depth - 3 if "== Initial Plan ==" in line else None
+        if beside is None:
+            kept.append(line)
+    return kept
+
+
+def test_words_are_cut_and_counted_once(spark):
     df = entry.queries()["key_terms_busy_words"](spark, "/root/testdata/sf0.001")
     df.collect()
-    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-    assert final.count("Generate explode") <= 1
+    plan = _final_plan(df)
+    assert any("Final Plan" in line for line in plan)
+    assert sum("Generate explode" in line for line in plan) == 1
+    assert sum("ReusedExchange" in line for line in plan) >= 3
+
+
+def test_captures_are_shuffled_once_per_side(spark):
+    plan = "\n".join(_final_plan(entry.queries()["append_captures"](spark, "/root/testdata/sf0.001")))
+    assert plan.count("Exchange hashpartitioning") == 2
