@@ -96,23 +96,21 @@ def cut_hot_keys(df: DataFrame, keys: list[str], order: list[str],
                 _CUTS, lambda _, i: i % _SAMPLES_PER_CUT == _SAMPLES_PER_CUT - 1)))
     cut = null_safe_join(df, F.broadcast(cuts), keys, "left")
     return cut.select(
-        *df.columns, *_halving_steps(F.col(_CUTS), F.col(at), split),
+        *df.columns, *map(F.expr, _halving_steps(at, split)),
         F.col(_CUTS).isNotNull().alias(HOT)).select(*df.columns, PIECE, HOT)
 
 
-def _halving_steps(cuts: Column, value: Column, split: HotSplit) -> list[Column]:
+def _halving_steps(at: str, split: HotSplit) -> list[str]:
     """Columns, each built on the one before, that end in ``__piece``: how many of the
-    sorted ``cuts`` are <= ``value`` (0 without cuts).  As columns the steps are compiled
-    with the rest of the stage; a higher-order function would be interpreted per row.
+    sorted cuts are <= ``at`` (0 without cuts).  As columns the steps are compiled with
+    the rest of the stage; a higher-order function would be interpreted per row.
     """
-    last = (2 * split.share).bit_length() - 1
-    steps, found = [], F.lit(0)
-    for bit in range(last, -1, -1):
-        there = F.get(cuts, found + F.lit((1 << bit) - 1)) <= value
-        step = found + F.when(there, F.lit(1 << bit)).otherwise(F.lit(0))
+    steps, found = [], "0"
+    for bit in reversed(range((2 * split.share).bit_length())):
         name = f"__step_{bit}" if bit else PIECE
-        steps.append(step.alias(name))
-        found = F.col(name)
+        steps.append(f"{found} + IF(get({_CUTS}, {found} + {(1 << bit) - 1}) <= `{at}`, "
+                     f"{1 << bit}, 0) AS {name}")
+        found = name
     return steps
 
 
@@ -143,11 +141,10 @@ def with_previous(cut: DataFrame, keys: list[str], order: list[str],
 
 
 def fits_broadcast(df: DataFrame, rows: int = LIST_ROWS, size: int = LIST_BYTES) -> bool:
-    """Look at no more than ``rows + 1`` rows to learn whether ``df`` is within the limits."""
-    text = F.coalesce(F.octet_length(F.to_json(F.struct(*df.columns))), F.lit(0))
-    n, held = (df.select(text.alias("b")).limit(rows + 1)
-               .agg(F.count(F.lit(1)), F.coalesce(F.sum("b"), F.lit(0))).first())
-    return n <= rows and held <= size
+    """Count rows and bytes of a caller's list; runs one aggregation over it."""
+    held = F.octet_length(F.to_json(F.struct(*df.columns)))
+    n, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(held), F.lit(0))).first()
+    return n <= rows and total <= size
 
 
 def lookup(left: DataFrame, table: DataFrame, key: str, weight: str,
