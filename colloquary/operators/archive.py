@@ -65,21 +65,19 @@ def unseen_captures(archive: DataFrame, new: DataFrame, identity: list[str], con
 def as_of(captures: DataFrame, at: str, names: Names = Names()) -> DataFrame:
     """Latest capture per key not after ``at``; ties go to the larger id.
 
-    Spark keeps one row per key and task before the shuffle, so a busy key
-    costs no more than any other.
+    An aggregate rather than a ranking: each task sends one row per key.
     """
-    latest = Window.partitionBy(names.key).orderBy(
-        F.col(names.captured_at).desc(), F.col(names.capture_id).desc())
     return (captures.where(F.col(names.captured_at) <= F.lit(at).cast("timestamp_ntz"))
-            .withColumn("__rk", F.row_number().over(latest))
-            .where(F.col("__rk") == 1).drop("__rk"))
+            .groupBy(F.col(names.key).alias("__key"))
+            .agg(F.max_by(F.struct(*captures.columns),
+                          F.struct(names.captured_at, names.capture_id)).alias("__row"))
+            .select("__row.*"))
 
 
 def nearest_capture(captures: DataFrame, at: str, names: Names = Names()) -> DataFrame:
     """Id of the capture per key closest to ``at``, before or after; ties go to the smaller id."""
-    micros = F.unix_micros(F.col(names.captured_at).cast("timestamp"))
-    target = F.unix_micros(F.lit(at).cast("timestamp"))
-    distance = F.struct(F.abs(micros - target), F.col(names.capture_id))
+    apart = F.abs(F.col(names.captured_at) - F.lit(at).cast("timestamp_ntz"))
+    distance = F.struct(apart, F.col(names.capture_id))
     return captures.groupBy(names.key).agg(
         F.min_by(names.capture_id, distance).alias(names.capture_id))
 

@@ -142,7 +142,8 @@ def with_previous(cut: DataFrame, keys: list[str], order: list[str],
 
 def fits_broadcast(df: DataFrame, rows: int = LIST_ROWS, size: int = LIST_BYTES) -> bool:
     """Count rows and bytes of a caller's list; runs one aggregation over it."""
-    held = F.octet_length(F.to_json(F.struct(*df.columns)))
+    held = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0))
+                for c in df.columns), F.lit(0))
     n, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(held), F.lit(0))).first()
     return n <= rows and total <= size
 

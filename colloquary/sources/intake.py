@@ -48,10 +48,12 @@ def parse_json_export(df: DataFrame, col: str, schema: T.StructType) -> tuple[Da
     told apart before parsing, because it parses to nothing without a complaint.
     """
     full = T.StructType(schema.fields + [T.StructField(_BROKEN, T.StringType())])
-    parsed = df.withColumn(_PARSED, F.from_json(
-        col, full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}))
+    # as the output of explode the text is parsed once; a plain column would be moved
+    # into the filters below and parsed again for each mention
+    parsed = df.select("*", F.explode(F.array(F.from_json(
+        col, full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}))).alias(_PARSED))
     reason = (F.when(F.col(col).isNull(), "null")
-              .when(F.trim(F.regexp_replace(col, r"\s", "")) == "", "blank")
+              .when(~F.col(col).rlike(r"\S"), "blank")
               .when(F.col(_PARSED).isNull() | F.col(f"{_PARSED}.{_BROKEN}").isNotNull(),
                     "malformed"))
     parsed = parsed.withColumn("reason", reason)

@@ -91,7 +91,8 @@ def test_scans_are_pruned_and_filters_pushed(spark):
 
 
 def test_top_k_is_limited_before_the_shuffle(spark):
-    for name in ("as_of", "key_terms", "extract_summary", "top_discussions_per_group"):
+    assert "partial_max_by" in _plan(spark, "as_of")
+    for name in ("key_terms", "extract_summary", "top_discussions_per_group"):
         assert "Partial" in _plan(spark, name).split("WindowGroupLimit", 1)[1]
     assert "TakeOrderedAndProject" in _plan(spark, "top_discussions")
 
