@@ -31,6 +31,7 @@ PIECE = "__piece"
 HOT = "__hot"
 GHOST = "__ghost"
 _CUTS = "__cuts"
+_PLACE = "__place"
 _N = "__n"
 _SAMPLES_PER_CUT = 8
 
@@ -79,36 +80,36 @@ def cut_hot_keys(df: DataFrame, keys: list[str], order: list[str],
     """Add ``__piece`` and ``__hot``.
 
     Ordinary keys are one piece, 0.  A hot key gets consecutive pieces along
-    ``order[0]`` of about a fair share of rows each.  Cut points are every eighth
-    value of a sample taken by hash, hence a function of the rows alone: two
-    branches of one plan, or a task run again, see the same pieces.  Rows with
-    equal ``order[0]`` always share a piece.
+    ``order`` of about a fair share of rows each.  Cut points are every eighth
+    row of a sample taken by hash, hence a function of the rows alone: two
+    branches of one plan, or a task run again, see the same pieces.
     """
-    at = order[0]
+    place = F.struct(*order)
     counts = _counts(df, keys)
     total = counts.agg(F.sum(_N)).scalar()
     hot = F.broadcast(_hot(counts, total, split).select(*keys))
     every = F.greatest(F.lit(1), F.floor(_fair_share(total, split) / _SAMPLES_PER_CUT))
     sample = (null_safe_join(df.select(*dict.fromkeys(keys + order)), hot, keys, "left_semi")
               .where(F.pmod(F.xxhash64(*keys, *order), every) == 0))
-    cuts = (sample.groupBy(*keys).agg(F.sort_array(F.collect_set(at)).alias(_CUTS))
+    cuts = (sample.groupBy(*keys).agg(F.sort_array(F.collect_set(place)).alias(_CUTS))
             .withColumn(_CUTS, F.filter(
                 _CUTS, lambda _, i: i % _SAMPLES_PER_CUT == _SAMPLES_PER_CUT - 1)))
     cut = null_safe_join(df, F.broadcast(cuts), keys, "left")
     return cut.select(
-        *df.columns, *map(F.expr, _halving_steps(at, split)),
-        F.col(_CUTS).isNotNull().alias(HOT)).select(*df.columns, PIECE, HOT)
+        *df.columns, F.col(_CUTS).isNotNull().alias(HOT),
+        F.when(F.col(HOT), place).alias(_PLACE), *map(F.expr, _halving_steps(split)),
+    ).select(*df.columns, PIECE, HOT)
 
 
-def _halving_steps(at: str, split: HotSplit) -> list[str]:
+def _halving_steps(split: HotSplit) -> list[str]:
     """Columns, each built on the one before, that end in ``__piece``: how many of the
-    sorted cuts are <= ``at`` (0 without cuts).  As columns the steps are compiled with
+    sorted cuts are <= the row's place (0 without cuts).  As columns the steps are compiled with
     the rest of the stage; a higher-order function would be interpreted per row.
     """
     steps, found = [], "0"
     for bit in reversed(range((2 * split.share).bit_length())):
         name = f"__step_{bit}" if bit else PIECE
-        steps.append(f"{found} + IF(get({_CUTS}, {found} + {(1 << bit) - 1}) <= `{at}`, "
+        steps.append(f"{found} + IF(get({_CUTS}, {found} + {(1 << bit) - 1}) <= {_PLACE}, "
                      f"{1 << bit}, 0) AS {name}")
         found = name
     return steps
@@ -131,10 +132,10 @@ def with_previous(cut: DataFrame, keys: list[str], order: list[str],
     """
     carried = [c for c in dict.fromkeys(order + values) if c not in keys]
     last = (cut.where(HOT).groupBy(*keys, PIECE)
-            .agg(F.max_by(F.struct(*carried), F.struct(*order)).alias("last")))
-    ghosts = (last.withColumn("last", F.lag("last").over(by_piece(keys)))
-              .where(F.col("last").isNotNull())
-              .select(*keys, PIECE, "last.*", F.lit(True).alias(HOT), F.lit(True).alias(GHOST)))
+            .agg(F.max_by(F.struct(*carried), F.struct(*order)).alias("__last")))
+    ghosts = (last.withColumn("__last", F.lag("__last").over(by_piece(keys)))
+              .where(F.col("__last").isNotNull())
+              .select(*keys, PIECE, "__last.*", F.lit(True).alias(HOT), F.lit(True).alias(GHOST)))
     rows = cut.withColumn(GHOST, F.lit(False)).unionByName(ghosts, allowMissingColumns=True)
     return (rows.withColumn(name, F.lag(F.struct(*values)).over(in_piece(keys, order)))
             .where(~F.col(GHOST)).drop(GHOST))

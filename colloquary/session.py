@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # sessions are merged before the shuffle, so a busy key sends sessions, not rows
     "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
+    # best-of-k rankings are cut down to k rows before the shuffle up to this k
+    "spark.sql.window.group.limit.threshold": "100000",
     # state of many keys does not fit the heap
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
