@@ -32,6 +32,7 @@ HOT = "__hot"
 GHOST = "__ghost"
 _CUTS = "__cuts"
 _PLACE = "__place"
+_STEP = "__step_"
 _N = "__n"
 _SAMPLES_PER_CUT = 8
 
@@ -95,20 +96,22 @@ def cut_hot_keys(df: DataFrame, keys: list[str], order: list[str],
             .withColumn(_CUTS, F.filter(
                 _CUTS, lambda _, i: i % _SAMPLES_PER_CUT == _SAMPLES_PER_CUT - 1)))
     cut = null_safe_join(df, F.broadcast(cuts), keys, "left")
-    return cut.select(
+    stepped = cut.select(
         *df.columns, F.col(_CUTS).isNotNull().alias(HOT),
-        F.when(F.col(HOT), place).alias(_PLACE), *map(F.expr, _halving_steps(split)),
-    ).select(*df.columns, PIECE, HOT)
+        F.when(F.col(HOT), place).alias(_PLACE), *map(F.expr, _halving_steps(split)))
+    # explode, so that rules tracing a join key to its origin stop here: written out as
+    # one expression the steps would double in size with each of them
+    return stepped.select(*df.columns, HOT, F.explode(F.array(f"{_STEP}0")).alias(PIECE))
 
 
 def _halving_steps(split: HotSplit) -> list[str]:
-    """Columns, each built on the one before, that end in ``__piece``: how many of the
-    sorted cuts are <= the row's place (0 without cuts).  As columns the steps are compiled with
-    the rest of the stage; a higher-order function would be interpreted per row.
+    """Columns, each built on the one before; the last says how many of the sorted
+    cuts are <= the row's place (0 without cuts).  As columns the steps are compiled
+    with the rest of the stage; a higher-order function would be interpreted per row.
     """
     steps, found = [], "0"
     for bit in reversed(range((2 * split.share).bit_length())):
-        name = f"__step_{bit}" if bit else PIECE
+        name = f"{_STEP}{bit}"
         steps.append(f"{found} + IF(get({_CUTS}, {found} + {(1 << bit) - 1}) <= {_PLACE}, "
                      f"{1 << bit}, 0) AS {name}")
         found = name

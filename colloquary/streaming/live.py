@@ -34,18 +34,18 @@ def stream_activity(stream: DataFrame, ts: str, width: str, delay: str,
 
 
 def stream_sessions(stream: DataFrame, key: str, ts: str, gap: str, delay: str,
-                    split: HotSplit = HotSplit()) -> DataFrame:
+                    split: HotSplit = HotSplit(), tie: list[str] | None = None) -> DataFrame:
     """Discussions per ``key`` cut by a silence longer than ``gap``; the end is last row plus gap.
 
     A plain table is cut with ``sessionize``, which copes with a key that owns
-    much of the table.
+    much of the table; ``tie`` is for that.
     """
     if stream.isStreaming:
         counted = (_event_time(stream, ts).withWatermark(ts, delay)
                    .groupBy(key, F.session_window(ts, gap)).agg(F.count(F.lit(1)).alias("n")))
         start, end = F.col("session_window.start"), F.col("session_window.end")
     else:
-        counted = (sessionize(stream.where(F.col(ts).isNotNull()), key, ts, gap, split=split)
+        counted = (sessionize(stream.where(F.col(ts).isNotNull()), key, ts, gap, tie, split)
                    .groupBy(key, "session_no")
                    .agg(F.min(ts).alias("first"), F.max(ts).alias("last"),
                         F.count(F.lit(1)).alias("n")))

@@ -49,6 +49,23 @@ def test_append_reads_only_touched_partitions(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(day" in plan or "PartitionFilters: [(day" in plan
 
 
+def test_a_busy_partition_is_written_by_several_tasks(spark, tmp_path):
+    path = tmp_path / "archive"
+    df = spark.range(0, 60_000, 1, 8).select(
+        "id", F.sha2(F.col("id").cast("string"), 256).alias("text"),
+        F.when(F.col("id") < 50_000, "busy").otherwise(F.concat(F.lit("d"), F.col("id") % 5))
+        .alias("day"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        archive_store.write_archive(df, str(path), "day")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = {d.name: len(list(d.glob("*.parquet"))) for d in path.glob("day=*")}
+    assert files["day=busy"] > 4
+    assert all(files[f"day=d{i}"] <= 2 for i in range(5))
+    assert spark.read.parquet(str(path)).count() == 60_000
+
+
 def test_as_of_ties_and_bounds(spark):
     df = captures(spark, (1, 1, "2024-01-01", "A"), (1, 3, "2024-01-02", "B"),
                   (1, 2, "2024-01-02", "C"), (2, 4, "2024-01-03", "D"), (3, 5, None, "E"))

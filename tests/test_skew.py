@@ -1,5 +1,7 @@
 """One key with a third of all rows: same results, no oversized piece."""
 
+import time
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -122,3 +124,12 @@ def test_words_are_cut_and_counted_once(spark):
 def test_captures_are_shuffled_once_per_side(spark):
     plan = "\n".join(_final_plan(entry.queries()["append_captures"](spark, "/root/testdata/sf0.001")))
     assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_planning_does_not_grow_with_the_number_of_pieces(spark):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    start = time.time()
+    out = distill.sessionize(events, "user_id", "ts", "6 hours", ["event_id"],
+                             HotSplit(share=10_000_000, min_rows=1))
+    assert out.count() == 1000
+    assert time.time() - start < 60
