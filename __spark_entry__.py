@@ -21,6 +21,12 @@ from colloquary.session import shared_folder
 from colloquary.sources import archive_store, intake
 from colloquary.streaming import live
 
+try:
+    import corpus_pipeline
+    from colloquary.llm import queries as training_data
+except ImportError:  # the training-data operators are an optional part
+    corpus_pipeline = training_data = None
+
 MAPPING = {"conv_id": "conv_id", "seq": "turn", "author": "role", "text": "text"}
 EVENTS = archive.Names("user_id", "event_id", "ts")
 WEIGHTS = {"turns": (0.4, 8), "authors": (0.2, 3), "chars": (0.4, 4000)}
@@ -352,7 +358,10 @@ def q_worth_reading(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name[2:]: f for name, f in globals().items() if name.startswith("q_")}
+    own = {name[2:]: f for name, f in globals().items() if name.startswith("q_")}
+    if training_data is None:
+        return own
+    return own | training_data.queries() | {"pipeline": corpus_pipeline.run}
 
 
 # --- the same in SQL ---------------------------------------------------------
@@ -455,6 +464,14 @@ def _stand_in(col: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    own = _own_sql()
+    if training_data is None:
+        return own
+    piped = corpus_pipeline.ORACLE_SQL
+    return own | training_data.oracle_sql() | ({"pipeline": piped} if piped else {})
+
+
+def _own_sql() -> dict[str, str]:
     rule_counts = ", ".join(
         f"count(*) FILTER (regexp_matches(text, '{p}')) AS {name}"
         for name, (p, _) in zip(RULES, _SQL_RULES))

@@ -41,7 +41,13 @@ def _local_folder() -> str:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (tests, a laptop) is a local one made.
+    Where that setting is missing and Spark runs on one machine (tests, a laptop), a local
+    one is made; on a cluster, whose machines would not see each other's, it is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder for {master}")
+        root = _local_folder()
     return f"{root.rstrip('/')}/colloquary/{name}-{uuid.uuid4().hex}"
