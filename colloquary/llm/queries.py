@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquary.llm import (
-    mixing, packing, quality_rules, token_counts, token_files, toxicity)
+    mixing, packing, quality_rules, simhash, token_counts, token_files, toxicity)
 from colloquary.llm.common import table
 from colloquary.llm.vocabularies import path_of
 from colloquary.session import shared_folder
@@ -58,6 +58,11 @@ def op8_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.read_token_file(spark, folder)
 
 
+def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf, "documents")).select(
+        "doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
