@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquary.llm import (
-    mixing, packing, quality_rules, simhash, token_counts, token_files, toxicity)
+    line_dedup, mixing, packing, quality_rules, simhash, token_counts, token_files, toxicity)
 from colloquary.llm.common import table
 from colloquary.llm.vocabularies import path_of
 from colloquary.session import shared_folder
@@ -28,6 +28,11 @@ def op3_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules.judge_texts(table(spark, sf, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(documents)
+
+
 def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"), path_of("byte_bpe_50k.json"))
 
