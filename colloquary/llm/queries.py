@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquary.llm import (
-    line_dedup, mixing, packing, quality_rules, simhash, token_counts, token_files, toxicity)
+    line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, token_counts,
+    token_files, toxicity, vector_lists)
 from colloquary.llm.common import table
 from colloquary.llm.vocabularies import path_of
 from colloquary.session import shared_folder
@@ -24,6 +25,13 @@ def op1_token_counts(spark: SparkSession, sf: str) -> DataFrame:
                           (tokens > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    documents = table(spark, sf, "documents")
+    model = quality_classifier.train(documents)
+    return quality_classifier.score_quality(documents, model).withColumn(
+        "kept", F.col("score") >= quality_classifier.THRESHOLD)
+
+
 def op3_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules.judge_texts(table(spark, sf, "documents"))
 
@@ -68,6 +76,10 @@ def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
+def op10_vector_lists(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_lists.search(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
