@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from colloquary.session import shared_folder
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
+TABLE_BITS = 26  # 8 MB
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -67,6 +70,36 @@ def arrow_schema(schema: str) -> pa.Schema:
     return pa.schema([pa.field(name.strip("`"), _TYPES[kind]) for name, kind in pairs])
 
 
+def bit_place(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Where a pair of numbers stands in a bit table."""
+    with np.errstate(over="ignore"):
+        x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64)
+        x = (x ^ x >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return (x >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bits of the table, 64 to a row."""
+    words = np.zeros(1 << TABLE_BITS - 6, dtype=np.uint64)
+    for batch in batches:
+        place = bit_place(*[c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        np.bitwise_or.at(words, place >> 6, np.uint64(1) << (place & 63).astype(np.uint64))
+    set_ = np.flatnonzero(words)
+    yield pa.RecordBatch.from_arrays([pa.array(set_, pa.int32()),
+                                      pa.array(words[set_].view(np.int64))], names=["at", "bits"])
+
+
+def bit_table(pairs: DataFrame, a: str = "doc", b: str = "line") -> np.ndarray:
+    """Bytes of 2**TABLE_BITS bits with those of the pairs set: a test that lets through all
+    of them and few others, whose size does not depend on how many there are."""
+    marked = in_batches(pairs.select(a, b), _marked, "at int, bits bigint")
+    table = np.zeros(1 << TABLE_BITS - 6, dtype="<i8")
+    found = marked.groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()  # bounded
+    table[found["at"].to_numpy()] = found["bits"].to_numpy()
+    return table.view(np.uint8)
+
+
 def word_count(text: str | Column) -> Column:
     """Number of words; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")

@@ -42,11 +42,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquary.llm.common import arrow_schema, in_batches, keep, ship
+from colloquary.llm.common import (
+    arrow_schema, bit_place, bit_table, in_batches, keep, ship)
 
 SIMILARITY = 0.8
 CELLS = 1 << 18
-TABLE_BITS = 26  # size of the bit tables, 8 MB each
 LIMIT = 500_000  # words remembered per worker
 SMALL = 64  # entries of a list compared at once
 CHARS = 1_000_000  # of text worked through at a time
@@ -117,15 +117,6 @@ def _cell(words: np.ndarray) -> np.ndarray:
     return (words >> np.uint64(46)).astype(np.int64)  # the top 18 bits
 
 
-def _place(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """A line's place in a bit table."""
-    with np.errstate(over="ignore"):
-        x = doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.uint64)
-        x = (x ^ x >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return (x >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-
-
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
     """Ids and texts, about ``CHARS`` characters at a time."""
     for batch in batches:
@@ -287,7 +278,7 @@ def _sets(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.R
     hashes, kind = WordHashes(), arrow_schema(_SET)
     for docs, texts in _texts(batches):
         lines = Lines(docs, texts, hashes)
-        place = _place(lines.doc, lines.line)
+        place = bit_place(lines.doc, lines.line)
         chosen = np.flatnonzero(table[place >> 3] >> (place & 7) & 1)
         one, _ = lines.digests() if len(chosen) else ([], [])
         raw, starts = lines.words.tobytes(), lines.ends - lines.sizes
@@ -309,26 +300,6 @@ def _verified(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([doc, line, s1, pa.array(good, pa.bool_())], schema=kind)
 
 
-def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bits of the table, 64 to a row."""
-    words = np.zeros(1 << TABLE_BITS - 6, dtype=np.uint64)
-    for batch in batches:
-        place = _place(*[c.to_numpy(zero_copy_only=False) for c in batch.columns])
-        np.bitwise_or.at(words, place >> 6, np.uint64(1) << (place & 63).astype(np.uint64))
-    set_ = np.flatnonzero(words)
-    yield pa.RecordBatch.from_arrays([pa.array(set_, pa.int32()),
-                                      pa.array(words[set_].view(np.int64))], names=["at", "bits"])
-
-
-def bit_table(lines: DataFrame) -> np.ndarray:
-    """Bytes of 2**TABLE_BITS bits, with those of ``doc, line`` set."""
-    marked = in_batches(lines.select("doc", "line"), _marked, "at int, bits bigint")
-    table = np.zeros(1 << TABLE_BITS - 6, dtype="<i8")
-    found = marked.groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()  # bounded
-    table[found["at"].to_numpy()] = found["bits"].to_numpy()
-    return table.view(np.uint8)
-
-
 def _prefixes(batches: Iterator[pa.RecordBatch], rarity: np.ndarray, t: float
               ) -> Iterator[pa.RecordBatch]:
     """From ``doc, line, s1, words``: a row for each prefix word."""
@@ -356,7 +327,7 @@ def _hits(batches: Iterator[pa.RecordBatch], rarity: np.ndarray, t: float, table
         ranked = lines.words[order].astype(np.uint32).view(np.int32)
         starts = lines.ends - lines.sizes
         at = np.arange(len(ranked)) - np.repeat(starts, lines.sizes)
-        place = _place(ranked.astype(np.int64), np.zeros(1, dtype=np.int64))
+        place = bit_place(ranked.astype(np.int64), np.zeros(1, dtype=np.int64))
         chosen = np.flatnonzero((table[place >> 3] >> (place & 7) & 1 == 1)
                                 & (at < np.repeat(prefix_size(lines.sizes, t), lines.sizes)))
         own, raw = lines.owner[chosen], lines.words.tobytes()
@@ -465,7 +436,7 @@ def dedup_lines(df: DataFrame, t: float = SIMILARITY) -> DataFrame:
         counts = lines.to_numpy(dtype=np.int64)
         starts = np.cumsum(counts) - counts
         number = np.arange(counts.sum()) - np.repeat(starts, counts)
-        place = _place(np.repeat(doc.to_numpy(dtype=np.int64), counts), number)
+        place = bit_place(np.repeat(doc.to_numpy(dtype=np.int64), counts), number)
         hit = table[place >> 3] >> (place & 7) & 1
         return pd.Series(np.add.reduceat(hit, starts) > 0 if len(counts) else [], dtype=bool)
 

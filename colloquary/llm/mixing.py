@@ -27,7 +27,7 @@ import zlib
 from functools import partial, reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquary.llm.common import keep, ship, word_count
@@ -177,3 +177,34 @@ def mix(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHAR
     return reduce(DataFrame.unionByName, done).select(
         "doc_id", "n", "source", "size", "source_size", "target",
         F.round(copies * F.col("size")).cast("bigint").alias("taken"))
+
+
+def take(df: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The rows of ``df`` (``doc_id, source, text`` and others) that ``mixed``, made by ``mix``
+    from it, takes: each as often as it has whole copies, and the first words, one blank
+    apart, of those that are taken in part."""
+    def keys(doc: Column, source: Column) -> list[Column]:
+        # without nulls, so that window and join agree on one shuffle
+        return [F.coalesce(doc, F.lit(0)).alias("__doc"), doc.isNull().alias("__no_doc"),
+                F.coalesce(source, F.lit("")).alias("__source"),
+                source.isNull().alias("__no_source")]
+
+    by = ["__doc", "__no_doc", "__source", "__no_source", "__size"]
+    wanted = mixed.where("taken > 0").select(
+        *keys(F.col("doc_id"), F.col("source")), F.col("size").alias("__size"), "n", "taken")
+    wanted = wanted.groupBy(*by).agg(F.map_from_entries(
+        F.collect_list(F.struct("n", "taken"))).alias("__taken"))
+    doc, source = F.col("doc_id").cast("bigint"), F.col("source").cast("string")
+    have = df.select("*", *keys(doc, source), word_count("text").alias("__size"))
+    number = F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("text"))) - 1
+    have = have.withColumn("__n", number.cast("bigint"))
+    met = have.join(wanted, by).withColumn("__take", F.try_element_at("__taken", F.col("__n")))
+    met = met.where(F.col("__take").isNotNull())
+    whole, rest = F.floor(F.col("__take") / F.col("__size")), F.col("__take") % F.col("__size")
+    copies = F.concat(F.array_repeat(F.lit(0).cast("bigint"), whole.cast("int")),
+                      F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
+    met = met.withColumn("__words", F.explode(copies))
+    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+    part = F.array_join(F.slice(words, 1, F.col("__words").cast("int")), " ")
+    return met.withColumn("text", F.when(F.col("__words") > 0, part).otherwise(F.col("text"))
+                          ).select(*df.columns)

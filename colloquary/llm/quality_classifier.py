@@ -26,11 +26,12 @@ from functools import partial
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquary.llm.common import arrow_schema, in_batches, keep, rows
+from colloquary.llm.common import arrow_schema, in_batches, rows, ship
 
 CELLS = 1 << 18
 ROWS = 10_000
@@ -244,17 +245,24 @@ class Values(dict):
         return value
 
 
+class Scorer:
+    def __init__(self, weights: np.ndarray, bias: float):
+        self.value, self.again, self.bias = Values(weights), float(weights[_AGAIN]), bias
+
+    def __call__(self, text: str | None) -> float:
+        words = text.encode().split() if text else []
+        if not words:
+            return 0.0
+        total = sum(map(self.value.__getitem__, words))
+        total += self.again * sum(map(bytes.__eq__, words, words[1:]))
+        return float(1 / (1 + np.exp(-np.clip(self.bias + 10.0 * total / len(words), -30, 30))))
+
+
 def _scored(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bias: float, schema: str
             ) -> Iterator[pa.RecordBatch]:
-    value, again = Values(weights), float(weights[_AGAIN])
+    score = Scorer(weights, bias)
     for ids, texts in rows(batches):
-        out = []
-        for text in texts:
-            words = text.encode().split() if text else []
-            total = sum(map(value.__getitem__, words))
-            total += again * sum(map(bytes.__eq__, words, words[1:]))
-            score = bias + 10.0 * total / max(1, len(words))
-            out.append(0.0 if not words else float(1 / (1 + np.exp(-np.clip(score, -30, 30)))))
+        out = list(map(score, texts))
         kind = arrow_schema(schema)
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids, kind.field(0).type), pa.array(out)], schema=kind)
@@ -265,3 +273,18 @@ def score_quality(df: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     schema = "doc_id bigint, score double"
     return in_batches(df.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")),
                       partial(_scored, weights=model[0], bias=model[1], schema=schema), schema)
+
+
+def keep_good(df: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD
+              ) -> DataFrame:
+    """Rows of ``df`` whose ``text`` scores at least ``threshold``, all columns as they were."""
+    ship(df.sparkSession)
+    weights, bias = model
+
+    @F.pandas_udf("double")
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(weights, bias)
+        for texts in parts:
+            yield texts.map(scorer).astype(float)
+
+    return df.where(score(F.col("text").cast("string")) >= threshold)

@@ -26,16 +26,18 @@ doc_id are one document as far as components go.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquary.llm.common import arrow_schema, in_batches, keep, rows
+from colloquary.llm.common import (
+    arrow_schema, bit_place, bit_table, in_batches, keep, rows, ship)
 from colloquary.llm.components import components
 
 SHINGLE, SEED, BITS, SHARED = 4, 42, 4, 4
@@ -234,5 +236,33 @@ def _same_id(prints: DataFrame, entries: DataFrame) -> DataFrame:
             .select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct())
 
 
+def keep_first(df: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
+    """``df`` with one document of each component, the one of the smallest ``doc_id``; of
+    rows that share this id one stays.  Rows without an id all stay.
+
+    Only documents that may have to go are shuffled; a bit table tells them from the others.
+    """
+    ship(df.sparkSession)
+    found = keep(near_duplicates(df, bits, shingle).where(F.col("doc_id").isNotNull())
+                 .groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("rows")), "found")
+    stays = F.col("doc_id") == F.col("component_id")
+    told = keep(found.where(~stays | (F.col("rows") > 1)).select(
+        F.col("doc_id").alias("__doc"), stays.alias("__stays"),
+        F.lit(0).cast("bigint").alias("__zero")), "told")
+    table = bit_table(told, "__doc", "__zero")
+
+    @F.pandas_udf("boolean")
+    def perhaps(doc: pd.Series) -> pd.Series:
+        place = bit_place(doc.to_numpy(dtype=np.int64), np.zeros(1, dtype=np.int64))
+        return pd.Series(table[place >> 3] >> (place & 7) & 1 == 1)
+
+    doc = F.col("doc_id").cast("bigint")
+    flagged = df.withColumn("__told", doc.isNotNull() & perhaps(F.coalesce(doc, F.lit(0))))
+    some = flagged.where("__told").join(told, doc == F.col("__doc"), "left")
+    one = some.where("__stays").dropDuplicates(["__doc"])
+    return reduce(DataFrame.unionAll, [x.select(*df.columns) for x in (
+        flagged.where("NOT __told"), some.where(F.col("__stays").isNull()), one)])
+
+
 def hexadecimal(fp: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
