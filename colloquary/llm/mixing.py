@@ -23,10 +23,10 @@ its own, the last.  No source has words, or no rows at all: nothing is taken.
 
 from __future__ import annotations
 
-import zlib
-from functools import partial, reduce
+from functools import reduce
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,8 +90,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 
 def _chance(*parts) -> float:
     """A number in [0, 1) that depends on nothing but the arguments."""
-    text = "|".join(map(str, parts)).encode()
-    return (zlib.crc32(text) * 2**20 + zlib.crc32(text[::-1]) % 2**20) / 2**52
+    return xxhash.xxh64_intdigest("|".join(map(str, parts))) / 2**64
 
 
 def pivot(sizes: list[int], fractions: list[float], names: list, seed: int
@@ -123,12 +122,14 @@ def pivot(sizes: list[int], fractions: list[float], names: list, seed: int
     return out, held
 
 
-def _round(group: pd.DataFrame, seed: int, level: int) -> pd.DataFrame:
-    rank = [_chance(seed, level, d, n) for d, n in zip(group.doc_id, group.n)]
-    group = group.assign(rank=rank).sort_values(["rank", "doc_id", "n"], kind="stable")
-    names = list(zip(group.doc_id.tolist(), group.n.tolist()))
-    rounded, _ = pivot(group["size"].tolist(), group.fraction.tolist(), names, seed + level)
-    return group.assign(fraction=rounded).drop(columns="rank")
+def _rounding(seed: int, level: int):
+    def rounded(group: pd.DataFrame) -> pd.DataFrame:
+        rank = [_chance(seed, level, d, n) for d, n in zip(group.doc_id, group.n)]
+        group = group.assign(rank=rank).sort_values(["rank", "doc_id", "n"], kind="stable")
+        names = list(zip(group.doc_id.tolist(), group.n.tolist()))
+        out, _ = pivot(group["size"].tolist(), group.fraction.tolist(), names, seed + level)
+        return group.assign(fraction=out).drop(columns="rank")
+    return rounded
 
 
 def mix(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE,
@@ -166,7 +167,7 @@ def mix(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHAR
     done, level, open_rows = [state.where(~is_open)], 0, state.where(is_open)
     while True:
         rounded = keep(open_rows.groupBy("source", "block").applyInPandas(
-            partial(_round, seed=seed, level=level), _STATE), "rounded")
+            _rounding(seed, level), _STATE), "rounded")
         if blocks == 1:
             done.append(rounded)  # with the last open one of each source
             break

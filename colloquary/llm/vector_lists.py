@@ -204,8 +204,12 @@ def search(df: DataFrame, query: Column, k: int = 10, reach: float = REACH,
     asked = asked.join(blocks, "list").select(
         "list", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"),
         "vec_id", "embedding")
+
+    def ranked(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        return _ranked(rows, queries, k)
+
     found = held.groupBy("list", "block").cogroup(asked.groupBy("list", "block")).applyInPandas(
-        partial(_ranked, k=k), _FOUND)
+        ranked, _FOUND)
     # a vector may have been found in several lists
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
