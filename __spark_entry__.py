@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from colloquary.functions.masking import DEFAULT_RULES
 from colloquary.operators import archive, consume, distill, respect, select
+from colloquary.plans.capture_run import capture_run
 from colloquary.plans.skew import HotSplit
 from colloquary.plans.worth_reading import worth_reading
 from colloquary.session import shared_folder
@@ -31,6 +32,7 @@ MAPPING = {"conv_id": "conv_id", "seq": "turn", "author": "role", "text": "text"
 EVENTS = archive.Names("user_id", "event_id", "ts")
 WEIGHTS = {"turns": (0.4, 8), "authors": (0.2, 3), "chars": (0.4, 4000)}
 SEARCH = ["the", "que", "der"]
+PHRASES = ["of-the", "de la", "The."]
 PART = 3  # small, so that the fixtures show discussions of several parts
 SALT = "not-a-secret-only-for-checks"
 LINE = r"^<(\w+)> (.*)$"
@@ -79,10 +81,12 @@ def q_to_messages(spark, sf):
 
 
 def _damaged_exports(spark, sf):
-    """props as they are, cut short, blank or missing, by event type"""
+    """props as they are, cut short, blank, missing or followed by more, by event type"""
     props, kind = F.col("props"), F.col("event_type")
     return _events(spark, sf).select("event_id", F.when(
         kind == "error", F.substring(props, 1, 4)).when(kind == "signup", F.lit("  "))
+        .when((kind == "purchase") & (F.col("user_id") % 3 == 0), F.concat(props, props))
+        .when((kind == "purchase") & (F.col("user_id") % 3 == 1), F.concat(props, F.lit("]")))
         .when(kind != "view", props).alias("raw"))
 
 
@@ -118,6 +122,14 @@ def q_public_only(spark, sf):
     return intake.public_only(docs, spaces, "source")
 
 
+def q_public_only_other_type(spark, sf):
+    """a list of numbers as text, some of which no key can be"""
+    listed = _table(spark, sf, "labels").where("toxic = 1").select(
+        F.col("doc_id").cast("string").alias("doc_id"))
+    odd = listed.select(F.concat("doc_id", F.lit("x")).alias("doc_id"))
+    return intake.public_only(_documents(spark, sf), listed.unionByName(odd), "doc_id")
+
+
 def q_stream_intake(spark, sf):
     """every event delivered twice"""
     stream = _event_stream(spark, sf)
@@ -137,6 +149,37 @@ def q_append_captures(spark, sf):
     return archive.append_captures(held, new.unionByName(new), ["event_id"], _CONTENT)
 
 
+def q_append_captures_close_times(spark, sf):
+    """each event twice, a microsecond apart, told apart by user and time alone"""
+    events = _events(spark, sf)
+    later = events.withColumn("ts", F.col("ts") + F.expr("interval 1 microsecond"))
+    return archive.append_captures(events, later.unionByName(events), ["user_id", "ts"], [])
+
+
+def q_capture_run(spark, sf):
+    """the same events captured twice; nobody of whom signed up is kept"""
+    path = shared_folder(spark, "run")
+    events = _events(spark, sf).withColumn("day", F.col("ts").cast("date"))
+    spaces = events.select("event_type").distinct().where("event_type <> 'click'")
+    asked = events.where("event_type = 'signup' AND user_id % 2 = 0").select("user_id")
+    for _ in range(2):
+        held = spark.read.schema(events.schema).option("ignoreMissingFiles", "true")
+        archive_store.write_archive(events.limit(0), path, "day")
+        capture_run(held.parquet(path), events, spaces, asked, "event_type", "user_id",
+                    ["event_id"], _CONTENT, path, "day")
+    return spark.read.schema(events.schema).parquet(path)
+
+
+def q_remove_from_archive(spark, sf):
+    path = shared_folder(spark, "archive")
+    events = _events(spark, sf).withColumn("day", F.col("ts").cast("date"))
+    archive_store.write_archive(events, path, "day")
+    asked = events.where("event_type = 'purchase' AND user_id % 5 = 0").select(
+        F.col("user_id").cast("int").alias("user_id"))
+    archive_store.remove_from_archive(spark, path, "day", asked, "user_id")
+    return spark.read.schema(events.schema).parquet(path)
+
+
 def q_as_of(spark, sf):
     return archive.as_of(_events(spark, sf), "2024-01-15 12:00:00", EVENTS)
 
@@ -153,11 +196,16 @@ def q_versions_busy_keys(spark, sf):
     return archive.versions(_events(spark, sf), ["event_type"], EVENTS, CUT_ALL)
 
 
+def _withdrawn(spark, sf):
+    return _events(spark, sf).where("value > 480").select("user_id")
+
+
 def q_snapshot_diff(spark, sf):
+    """the last states, before and after some people have withdrawn"""
     events = _events(spark, sf)
-    recent = events.where(F.col("ts") > F.lit("2024-01-18").cast("timestamp_ntz"))
+    left = respect.honour_removals(events, _withdrawn(spark, sf), "user_id")
     return archive.snapshot_diff(
-        archive.as_of(events, "2024-01-02", EVENTS), archive.as_of(recent, "2024-01-20", EVENTS),
+        archive.as_of(events, "2024-01-02", EVENTS), archive.as_of(left, "2024-02-01", EVENTS),
         "user_id", ["event_type"])
 
 
@@ -225,6 +273,17 @@ def q_sessionize_busy_keys(spark, sf):
         _events(spark, sf), "user_id", "ts", "6 hours", ["event_id"], CUT_ALL)
 
 
+def q_discussions_from_log(spark, sf):
+    return distill.discussions_from_log(_events(spark, sf), "user_id", "ts", "6 hours",
+                                        "event_type", "props", ["event_id"]).drop("conv_id")
+
+
+def q_discussions_from_log_busy_keys(spark, sf):
+    found = distill.discussions_from_log(_events(spark, sf), "user_id", "ts", "6 hours",
+                                         "event_type", "props", ["event_id"], CUT_ALL)
+    return select.discussion_stats(found).drop("conv_id")
+
+
 def q_pair_replies(spark, sf):
     return distill.pair_replies(_messages(spark, sf), "user", "assistant")
 
@@ -273,6 +332,15 @@ def q_honour_removals(spark, sf):
     return respect.honour_removals(_documents(spark, sf), asked, "doc_id")
 
 
+def q_honour_removals_long_list(spark, sf):
+    """a list far longer than the table, of another number type, with repeats and nulls"""
+    asked = _table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").cast("int"))
+    others = spark.range(10**7, 10**7 + 1_000_001).select(
+        F.when(F.col("id") % 1000 > 0, F.col("id")).cast("int").alias("doc_id"))
+    return respect.honour_removals(
+        _documents(spark, sf), asked.unionByName(others).unionByName(asked), "doc_id")
+
+
 def q_credit_report(spark, sf):
     return respect.credit_report(respect.pseudonymise(_messages(spark, sf), "author", SALT))
 
@@ -307,6 +375,10 @@ def q_keyword_search_all(spark, sf):
     return consume.keyword_search(_messages(spark, sf), ["le", "de", "la"], True)
 
 
+def q_keyword_search_phrases(spark, sf):
+    return consume.keyword_search(_messages(spark, sf), PHRASES, False)
+
+
 def q_hit_context(spark, sf):
     messages = _messages(spark, sf)
     hits = messages.where(F.lower("text").contains("the")).select(
@@ -428,6 +500,8 @@ _SUMMARY = f"""
 _DAMAGED = """damaged AS (
   SELECT event_id, CASE WHEN event_type = 'error' THEN substr(props, 1, 4)
                         WHEN event_type = 'signup' THEN '  '
+                        WHEN event_type = 'purchase' AND user_id % 3 = 0 THEN props || props
+                        WHEN event_type = 'purchase' AND user_id % 3 = 1 THEN props || ']'
                         WHEN event_type <> 'view' THEN props END AS raw FROM events)"""
 
 _LINES = """lines AS (
@@ -442,7 +516,7 @@ def _rank(at_or_before: str, source: str = "events") -> str:
 
 
 # DuckDB has no look-behind; without it the pattern finds the same, only slower
-_SQL_RULES = [(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", "[EMAIL]"),
+_SQL_RULES = [(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,}", "[EMAIL]"),
               *[rule[:2] for rule in DEFAULT_RULES[1:]]]
 
 
@@ -495,8 +569,19 @@ def _own_sql() -> dict[str, str]:
         "public_only": """
           SELECT * FROM documents WHERE source IN (
             SELECT source FROM documents GROUP BY source HAVING avg(n_chars) > 2400)""",
+        "public_only_other_type": """
+          SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
         "stream_intake": "SELECT * FROM events",
         "append_captures": "SELECT * FROM events",
+        "append_captures_close_times": """
+          SELECT * FROM events UNION ALL
+          SELECT * REPLACE (ts + INTERVAL 1 MICROSECOND AS ts) FROM events""",
+        "capture_run": """
+          SELECT *, ts::date AS day FROM events WHERE event_type <> 'click' AND user_id NOT IN (
+            SELECT user_id FROM events WHERE event_type = 'signup' AND user_id % 2 = 0)""",
+        "remove_from_archive": """
+          SELECT *, ts::date AS day FROM events WHERE user_id NOT IN (
+            SELECT user_id FROM events WHERE event_type = 'purchase' AND user_id % 5 = 0)""",
         "as_of": _rank("2024-01-15 12:00:00"),
         "nearest_capture": """
           SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id
@@ -506,8 +591,8 @@ def _own_sql() -> dict[str, str]:
         "versions_busy_keys": _VERSIONS,
         "snapshot_diff": f"""
           WITH a AS ({_rank("2024-01-02 00:00:00")}),
-          b AS ({_rank("2024-01-20 00:00:00",
-                       "(SELECT * FROM events WHERE ts > TIMESTAMP '2024-01-18 00:00:00')")})
+          b AS ({_rank("2024-02-01 00:00:00", """(SELECT * FROM events WHERE user_id NOT IN (
+                         SELECT user_id FROM events WHERE value > 480))""")})
           SELECT coalesce(a.user_id, b.user_id) AS user_id,
             CASE WHEN a.user_id IS NULL THEN 'added' WHEN b.user_id IS NULL THEN 'removed'
                  WHEN a.event_type IS NOT DISTINCT FROM b.event_type THEN 'same'
@@ -543,6 +628,13 @@ def _own_sql() -> dict[str, str]:
           SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text""",
         "sessionize": f"WITH {_SESSIONS} SELECT * FROM numbered",
         "sessionize_busy_keys": f"WITH {_SESSIONS} SELECT * FROM numbered",
+        "discussions_from_log": """
+          SELECT user_id::varchar AS space_id, event_type AS author, ts, props AS text,
+                 row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq
+          FROM events""",
+        "discussions_from_log_busy_keys": f"""
+          WITH {_SESSIONS} SELECT count(*) AS turns, count(DISTINCT event_type) AS authors,
+            sum(length(props))::bigint AS chars FROM numbered GROUP BY user_id, session_no""",
         "pair_replies": _PAIRS,
         "pair_replies_busy_keys": _PAIRS,
         "key_terms": _KEY_TERMS,
@@ -555,6 +647,8 @@ def _own_sql() -> dict[str, str]:
         "sensitive_report": f"SELECT source, {rule_counts} FROM documents GROUP BY source",
         "honour_removals": """
           SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
+        "honour_removals_long_list": """
+          SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
         "credit_report": f"""
           SELECT {_stand_in("role")} AS author, count(*) AS messages,
                  sum(length(text))::bigint AS chars, count(DISTINCT conv_id) AS discussions
@@ -575,6 +669,17 @@ def _own_sql() -> dict[str, str]:
           WITH {_WORDS} SELECT conv_id, count(DISTINCT term) AS terms, count(*) AS hits
           FROM words WHERE term IN ('le', 'de', 'la') GROUP BY conv_id
           HAVING count(DISTINCT term) = 3""",
+        "keyword_search_phrases": f"""
+          WITH said AS (SELECT conv_id, list_filter(regexp_split_to_array(
+                 lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM conversations),
+          hits AS (
+            SELECT conv_id, 'the' AS term, len(list_filter(w, lambda x: x = 'the')) AS n FROM said
+            UNION ALL SELECT conv_id, 'of the', len(list_filter(range(1, len(w)),
+              lambda i: w[i] = 'of' AND w[i + 1] = 'the')) FROM said
+            UNION ALL SELECT conv_id, 'de la', len(list_filter(range(1, len(w)),
+              lambda i: w[i] = 'de' AND w[i + 1] = 'la')) FROM said)
+          SELECT conv_id, count(DISTINCT term) AS terms, sum(n)::bigint AS hits
+          FROM hits WHERE n > 0 GROUP BY conv_id""",
         "hit_context": """
           WITH hits AS (SELECT conv_id, turn AS hit FROM conversations
                         WHERE contains(lower(text), 'the'))

@@ -26,7 +26,7 @@ class Rule(NamedTuple):
 # run would take time in the square of its length.
 DEFAULT_RULES: list[Rule] = [
     Rule(r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++"
-         r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", "[EMAIL]", "@"),
+         r"@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,}", "[EMAIL]", "@"),
     Rule(r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", "[IP]"),
     Rule(r'token = "[^"]*"', "[TOKEN]", 'token = "'),
     Rule(r"\b[0-9]{16}\b", "[NUMBER]"),
@@ -54,11 +54,17 @@ def matches(col: str, rule: Rule) -> Column:
     return found if rule.needs is None else F.col(col).contains(rule.needs) & found
 
 
+def as_json(*cols: str) -> Column:
+    """The named columns as text that tells any two values apart, times to the microsecond."""
+    return F.to_json(F.struct(*cols), {
+        "ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+        "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
+
+
 def digest(*cols: str) -> Column:
     """SHA-256 over the named columns as 32 bytes; nulls count as content.
 
     Never null, and declared so: a join on it then needs no null filter, which
     would compute the digest a second time.
     """
-    whole = F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256)
-    return F.coalesce(F.unhex(whole), F.lit(b""))
+    return F.coalesce(F.unhex(F.sha2(as_json(*cols), 256)), F.lit(b""))

@@ -12,12 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquary.functions.masking import digest
+from colloquary.functions.masking import as_json, digest
 from colloquary.plans.skew import HotSplit, cut_hot_keys, with_previous
 
-# more partitions than this are not listed in a filter
-MOST_PARTITIONS = 10_000
-
 
 @dataclass(frozen=True)
 class Names:
@@ -35,7 +32,8 @@ def append_captures(archive: DataFrame, new: DataFrame, identity: list[str], con
     """The archive and those new rows whose identity and content it does not hold yet.
 
     ``identity`` must single out the capture, not the item.  ``within`` may name
-    the archive's partition column, if rows of equal identity agree in it.
+    the archive's partition column: a row is then looked for only among those that agree
+    with it there.
     """
     return archive.unionByName(unseen_captures(archive, new, identity, content, within))
 
@@ -44,22 +42,25 @@ def unseen_captures(archive: DataFrame, new: DataFrame, identity: list[str], con
                     within: str | None = None) -> DataFrame:
     """The part of ``new`` that ``append_captures`` adds.
 
-    With ``within`` only those partitions of the archive are read that the new
-    rows fall into.
+    Of new rows that are equal in identity and content one is added, the smallest of them in
+    all its columns.  With ``within`` only partitions of the archive between the first and the
+    last that new rows fall into are read.
     """
+    by = [within] if within else []
+    mark = digest(*by, *identity, *content).alias("__digest")
     if within:
-        found = new.select(within).distinct().limit(MOST_PARTITIONS + 1).collect()
-        values = [row[0] for row in found]
-        if len(values) <= MOST_PARTITIONS and None not in values:
-            archive = archive.where(F.col(within).isin(values))
-    mark = digest(*identity, *content).alias("__digest")
+        # the span of the new rows is found when the plan runs, and partitions outside it are
+        # not read; rows that share no digest with a new one are of no consequence
+        low, high = (new.agg(f(within)).scalar() for f in (F.min, F.max))
+        archive = archive.where(F.col(within).between(low, high) | F.col(within).isNull())
     # Both sides shrink their copies before the shuffle and come out partitioned the
-    # way the join wants them.  An anti join would be moved below dropDuplicates,
+    # way the join wants them.  An anti join would be moved below the aggregate,
     # where copies are still many.
-    fresh = new.select("*", mark).dropDuplicates(["__digest"])
+    fresh = new.select(mark, F.struct(*new.columns).alias("__row")).groupBy("__digest").agg(
+        F.min_by("__row", as_json(*[f"__row.`{c}`" for c in new.columns])).alias("__row"))
     seen = archive.select(mark).distinct().withColumn("__seen", F.lit(True))
     return (fresh.join(seen, "__digest", "left").where(F.col("__seen").isNull())
-            .drop("__digest", "__seen"))
+            .select("__row.*"))
 
 
 def as_of(captures: DataFrame, at: str, names: Names = Names()) -> DataFrame:
@@ -75,10 +76,13 @@ def as_of(captures: DataFrame, at: str, names: Names = Names()) -> DataFrame:
 
 
 def nearest_capture(captures: DataFrame, at: str, names: Names = Names()) -> DataFrame:
-    """Id of the capture per key closest to ``at``, before or after; ties go to the smaller id."""
+    """Id of the capture per key closest to ``at``, before or after; ties go to the smaller id.
+
+    A capture without a time is near nothing.
+    """
     apart = F.abs(F.col(names.captured_at) - F.lit(at).cast("timestamp_ntz"))
     distance = F.struct(apart, F.col(names.capture_id))
-    return captures.groupBy(names.key).agg(
+    return captures.where(F.col(names.captured_at).isNotNull()).groupBy(names.key).agg(
         F.min_by(names.capture_id, distance).alias(names.capture_id))
 
 

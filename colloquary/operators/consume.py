@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,43 +12,64 @@ from colloquary.functions.tokens import words
 PART_TURNS = 1000
 
 
-def _parts(messages: DataFrame, part_turns: int) -> tuple[DataFrame, Column]:
+def _parts(messages: DataFrame, part_turns: int, carry: list[str] = []
+           ) -> tuple[DataFrame, Column, list[str]]:
     """Group by discussion and block of ``part_turns`` numbers of ``seq``.
 
     A discussion may hold a third of everything; its blocks do not, as ``seq`` is
-    unique in it.
+    unique in it.  Turns without a number have no block: they are dealt by hash to as many
+    rows of null ``part`` as they would fill twice over.
     """
-    part = F.call_function("div", F.col("seq"), F.lit(part_turns)).alias("part")
+    part = F.floor(F.col("seq") / part_turns).alias("part")
+    lost = messages.where(F.col("seq").isNull()).agg(F.count(F.lit(1))).scalar()
+    deal = F.when(F.col("seq").isNull(), F.pmod(
+        F.xxhash64("author", "text"), F.ceil(2 * lost / part_turns) + 1)).alias("__deal")
     said = F.sort_array(F.collect_list(F.struct("seq", "author", "text")))
-    return messages.groupBy("conv_id", part), said
+    return messages.groupBy("conv_id", part, deal, *carry), said, ["conv_id", "part", *carry]
 
 
-def transcript(messages: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
+def transcript(messages: DataFrame, part_turns: int = PART_TURNS,
+               carry: list[str] = []) -> DataFrame:
     """Readable text, ``author: text`` lines in order: ``conv_id, part, body``.
 
-    Parts read one after the other are the whole discussion.
+    Parts read one after the other are the whole discussion.  ``carry`` names columns that
+    are the same throughout a discussion.
     """
-    grouped, said = _parts(messages, part_turns)
+    grouped, said, names = _parts(messages, part_turns, carry)
     lines = F.transform(said, lambda m: F.concat(
         F.coalesce(m["author"], F.lit("")), F.lit(": "), F.coalesce(m["text"], F.lit(""))))
-    return grouped.agg(F.array_join(lines, "\n").alias("body"))
+    return grouped.agg(F.array_join(lines, "\n").alias("body")).select(*names, "body")
 
 
 def nested_export(messages: DataFrame, as_json: bool = False,
                   part_turns: int = PART_TURNS) -> DataFrame:
     """Array of (seq, author, text) per discussion part, or the same as JSON text."""
-    grouped, said = _parts(messages, part_turns)
-    if as_json:
-        return grouped.agg(F.to_json(said).alias("json"))
-    return grouped.agg(said.alias("messages"))
+    grouped, said, names = _parts(messages, part_turns)
+    told = F.to_json(said).alias("json") if as_json else said.alias("messages")
+    return grouped.agg(told).drop("__deal")
 
 
 def keyword_search(messages: DataFrame, terms: list[str], all_terms: bool) -> DataFrame:
-    """Discussions that use any (or all) of the words: distinct words and total uses."""
-    wanted = sorted({t.lower() for t in terms})
+    """Discussions that use any (or all) of the terms: distinct terms and total uses.
+
+    Terms are cut as texts are: "node.js" is found where "node" is followed by "js".  A term
+    without a letter or digit is refused.
+    """
+    wanted = sorted({tuple(re.findall(r"[^\W_]+", t.lower())) for t in terms})
+    if () in wanted:
+        raise ValueError(f"a term without a word: {terms}")
+    single = [t[0] for t in wanted if len(t) == 1]
+    said = words("text")
+    found = F.filter(said, lambda w: w.isin(single)) if single else F.array().cast("array<string>")
+    for term in (t for t in wanted if len(t) > 1):
+        first = F.sequence(F.lit(1), F.size(said) - len(term) + 1)
+        uses = F.filter(first, lambda i: F.slice(said, i, len(term)) == F.array(
+            *map(F.lit, term)))
+        several = F.when(F.size(said) >= len(term), F.transform(
+            uses, lambda _: F.lit(" ".join(term)))).otherwise(F.array().cast("array<string>"))
+        found = F.concat(found, several)
     # only matching words leave the message
-    hits = messages.select("conv_id", F.explode(
-        F.filter(words("text"), lambda w: w.isin(wanted))).alias("term"))
+    hits = messages.select("conv_id", F.explode(found).alias("term"))
     found = hits.groupBy("conv_id").agg(
         F.countDistinct("term").alias("terms"), F.count(F.lit(1)).alias("hits"))
     return found.where(F.col("terms") == len(wanted)) if all_terms else found

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquary.functions.masking import DEFAULT_RULES, Rule, masked, matches, stand_in
-from colloquary.plans.skew import HotSplit, drop_listed
+from colloquary.plans.skew import drop_listed
 
 
 def pseudonymise(df: DataFrame, col: str, salt: str) -> DataFrame:
@@ -35,10 +35,9 @@ def sensitive_report(df: DataFrame, col: str, by: str,
         F.count_if(matches(col, Rule(*rule))).alias(name) for name, rule in rules.items()])
 
 
-def honour_removals(df: DataFrame, removals: DataFrame, key: str,
-                    split: HotSplit = HotSplit()) -> DataFrame:
+def honour_removals(df: DataFrame, removals: DataFrame, key: str) -> DataFrame:
     """Drop everything by or about those on the list; rows with a null key stay."""
-    return drop_listed(df, removals, key, split)
+    return drop_listed(df, removals, key)
 
 
 def credit_report(messages: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquary.functions.tokens import explode_words
-from colloquary.plans.skew import HotSplit, keep_listed
+from colloquary.functions.tokens import explode_words, words
+from colloquary.plans.skew import keep_listed
 
 
 def discussion_stats(messages: DataFrame) -> DataFrame:
@@ -38,14 +38,18 @@ def top_discussions(scored: DataFrame, k: int, per: str | None = None) -> DataFr
             .where(F.col("rk") <= k))
 
 
-def term_filter(messages: DataFrame, terms: DataFrame, min_terms: int,
-                split: HotSplit = HotSplit()) -> DataFrame:
+def term_filter(messages: DataFrame, terms: DataFrame, min_terms: int) -> DataFrame:
     """Discussions that use at least ``min_terms`` distinct words of the caller's list ``term``.
 
-    What counts as technical is the caller's decision.
+    What counts as technical is the caller's decision.  A listed term is cut as texts are
+    ("C++" is "c"); one that comes to several words ends the job with an error, because it
+    would never be found.
     """
+    cut = words("term")
+    only = F.when(F.size(cut) > 1, F.raise_error(F.concat(
+        F.lit("not one word: "), F.col("term")))).otherwise(F.get(cut, F.lit(0)))
     used = keep_listed(explode_words(messages, "conv_id", distinct=True),
-                       terms.select(F.lower("term").alias("term")), "term", split)
+                       terms.select(only.alias("term")), "term")
     return (used.groupBy("conv_id").agg(F.countDistinct("term").alias("terms"))
             .where(F.col("terms") >= min_terms))
 

@@ -12,7 +12,11 @@ from colloquary.sources.intake import public_only
 
 def capture_run(archive: DataFrame, new: DataFrame, spaces: DataFrame, removals: DataFrame,
                 space: str, person: str, identity: list[str], content: list[str],
-                path: str, by: str) -> None:
-    """Append to the archive at ``path``, partitioned by ``by``.  A repeated run adds nothing."""
+                path: str, by: str, within: str | None = None) -> None:
+    """Append to the archive at ``path``, partitioned by ``by``.  A repeated run adds nothing.
+
+    Where equal captures always fall into the same partition, ``within=by`` saves reading the
+    others.
+    """
     wanted = honour_removals(public_only(new, spaces, space), removals, person)
-    write_archive(unseen_captures(archive, wanted, identity, content, within=by), path, by)
+    write_archive(unseen_captures(archive, wanted, identity, content, within=within), path, by)

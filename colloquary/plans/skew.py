@@ -10,8 +10,8 @@ Three situations come up in this package:
   task.  ``lookup`` answers the frequent keys from a broadcast, where their rows
   are, and shuffles only the rest;
 * a *list* given by the caller may be ten names or ten billion.  ``keep_listed``
-  and ``drop_listed`` broadcast it only after looking at its size; a longer one
-  is joined by shuffle, with the rows of hot keys answered before and spread out.
+  and ``drop_listed`` are plain semi and anti joins: a list that turns out small is
+  broadcast by adaptive execution, and the rows of a hot key are split by it.
 
 A key is hot when it alone holds more than 1/share of all rows.  Fewer than
 ``share`` keys can be hot, and all their pieces together number less than about
@@ -36,10 +36,6 @@ _STEP = "__step_"
 _N = "__n"
 _SAMPLES_PER_CUT = 8
 
-# A caller's list is broadcast only up to these limits.
-LIST_ROWS = 1_000_000
-LIST_BYTES = 64 * 1024 * 1024
-
 
 @dataclass(frozen=True)
 class HotSplit:
@@ -144,14 +140,6 @@ def with_previous(cut: DataFrame, keys: list[str], order: list[str],
             .where(~F.col(GHOST)).drop(GHOST))
 
 
-def fits_broadcast(df: DataFrame, rows: int = LIST_ROWS, size: int = LIST_BYTES) -> bool:
-    """Count rows and bytes of a caller's list; runs one aggregation over it."""
-    held = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0))
-                for c in df.columns), F.lit(0))
-    n, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(held), F.lit(0))).first()
-    return n <= rows and total <= size
-
-
 def lookup(left: DataFrame, table: DataFrame, key: str, weight: str,
            split: HotSplit = FREQUENT) -> DataFrame:
     """Inner join of ``left`` with ``table``, which has one row per ``key``.
@@ -169,45 +157,24 @@ def lookup(left: DataFrame, table: DataFrame, key: str, weight: str,
     return answered.unionByName(rest)
 
 
-def _flag_listed(df: DataFrame, names: DataFrame, key: str, split: HotSplit) -> DataFrame:
-    """Add ``__listed``: true if on the list, else false or null.
+def _listed(df: DataFrame, names: DataFrame, key: str, how: str) -> DataFrame:
+    """Semi or anti join on ``key``, with the names in the type that ``df`` has.
 
-    The join has a second key, a hash: of the key itself for ordinary rows, of the
-    whole row for those of hot keys, which are answered from a broadcast and so
-    can go anywhere.
+    A name that cannot be of that type, or is null, is on no row.  Nothing runs while the
+    plan is built, and it is the same plan for every length of the list.  Names that repeat
+    are not made distinct first: neither join minds, and both sides come straight from their
+    shuffle, which is what lets adaptive execution split a hot key.
     """
-    counts = _counts(df.where(F.col(key).isNotNull()), [key])
-    hot = _hot(counts, counts.agg(F.sum(_N)).scalar(), split).select(key)
-    listed = names.withColumn("__on", F.lit(True))
-    answers = F.broadcast(hot.join(listed, key, "left").select(
-        key, F.coalesce("__on", F.lit(False)).alias("__known")))
-    ordinary = F.col("__known").isNull() & F.col(key).isNotNull()
-    rows = df.join(answers, key, "left").withColumn(
-        "__spread", F.when(ordinary, F.xxhash64(key)).otherwise(F.xxhash64(*df.columns)))
-    listed = listed.withColumn("__spread", F.xxhash64(key))
-    return rows.join(listed, [key, "__spread"], "left").select(
-        *df.columns, F.coalesce("__known", "__on").alias("__listed"))
-
-
-def keep_listed(df: DataFrame, names: DataFrame, key: str,
-                split: HotSplit = HotSplit()) -> DataFrame:
+    kind = df.schema[key].dataType.simpleString()
+    named = names.select(F.col(key).try_cast(kind).alias(key)).where(F.col(key).isNotNull())
+    return df.join(named, key, how).select(*df.columns)
+
+
+def keep_listed(df: DataFrame, names: DataFrame, key: str) -> DataFrame:
     """Rows whose ``key`` is in ``names``."""
-    names = names.select(key).where(F.col(key).isNotNull())
-    if fits_broadcast(names):
-        return df.join(F.broadcast(names), key, "left_semi")
-    if df.isStreaming:
-        return df.join(names, key, "left_semi")
-    flagged = _flag_listed(df, names.distinct(), key, split)
-    return flagged.where(F.col("__listed")).drop("__listed")
+    return _listed(df, names, key, "left_semi")
 
 
-def drop_listed(df: DataFrame, names: DataFrame, key: str,
-                split: HotSplit = HotSplit()) -> DataFrame:
+def drop_listed(df: DataFrame, names: DataFrame, key: str) -> DataFrame:
     """Rows whose ``key`` is not in ``names``; a null key is on no list."""
-    names = names.select(key).where(F.col(key).isNotNull())
-    if fits_broadcast(names):
-        return df.join(F.broadcast(names), key, "left_anti")
-    if df.isStreaming:
-        return df.join(names, key, "left_anti")
-    flagged = _flag_listed(df, names.distinct(), key, split)
-    return flagged.where(F.col("__listed").isNull() | ~F.col("__listed")).drop("__listed")
+    return _listed(df, names, key, "left_anti")

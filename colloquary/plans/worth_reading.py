@@ -3,22 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from colloquary.operators.consume import PART_TURNS, transcript
 from colloquary.operators.select import discussion_stats, top_discussions, value_score
-from colloquary.plans.skew import LIST_ROWS, keep_listed
 
 
 def worth_reading(messages: DataFrame, weights: dict[str, tuple[float, float]], k: int,
                   part_turns: int = PART_TURNS) -> DataFrame:
     """``conv_id, part, score, body`` of the k best discussions."""
     best = top_discussions(value_score(discussion_stats(messages), weights), k)
-    best = best.select("conv_id", "score")
-    if k <= LIST_ROWS:  # two numbers per row
-        best = F.broadcast(best)
-        chosen = messages.join(best, "conv_id", "left_semi")
-    else:
-        chosen = keep_listed(messages, best, "conv_id")
-    return (transcript(chosen, part_turns).join(best, "conv_id")
+    # one join by which only the chosen get their score; adaptive execution broadcasts a
+    # small choice and splits a discussion that holds much of the texts
+    chosen = messages.join(best.select("conv_id", "score"), "conv_id")
+    return (transcript(chosen, part_turns, carry=["score"])
             .select("conv_id", "part", "score", "body"))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from colloquary.plans.skew import drop_listed, keep_listed
+from colloquary.session import shared_folder
 
 
 def write_archive(df: DataFrame, path: str, by: str) -> None:
@@ -15,6 +19,44 @@ def write_archive(df: DataFrame, path: str, by: str) -> None:
      .write.partitionBy(by).mode("append").parquet(path))
 
 
+def remove_from_archive(spark: SparkSession, path: str, by: str, removals: DataFrame,
+                        key: str) -> None:
+    """Take everything by or about those on the list out of the archive at ``path``, which is
+    partitioned by ``by``.
+
+    Only partitions that hold such rows are written anew.  What stays of them is set aside in
+    the shared folder first; a run that broke off can be started again.
+    """
+    stored = spark.read.parquet(path)
+    touched = keep_listed(stored, removals, key).select(by).distinct()
+    folder = shared_folder(spark, "touched")
+    touched.write.parquet(folder)
+    touched = spark.read.schema(touched.schema).parquet(folder)
+    if touched.isEmpty():
+        return
+    # null-safe, because rows without a value are a partition too
+    mark = touched.select(F.col(by).alias("__by"))
+    inside = stored.join(mark, stored[by].eqNullSafe(mark["__by"]), "left_semi")
+    left = drop_listed(inside, removals, key)
+    aside = shared_folder(spark, "left")
+    left.hint("rebalance", by).write.parquet(aside)
+    left = spark.read.schema(left.schema).parquet(aside)
+    (left.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(by).parquet(path))
+    # partitions of which nothing stays are not overwritten, so they are deleted
+    gone = touched.join(left.select(F.col(by).alias("__by")).distinct(),
+                        F.col(by).eqNullSafe(F.col("__by")), "left_anti")
+    at = F.input_file_name()
+    now = spark.read.schema(stored.schema).parquet(path)
+    files = (now.select(by, at.alias("__file")).join(
+        gone.select(F.col(by).alias("__by")), F.col(by).eqNullSafe(F.col("__by")), "left_semi")
+        .select(F.regexp_extract("__file", r"^(.*)/[^/]*$", 1).alias("folder")).distinct())
+    conf = spark._jsc.hadoopConfiguration()
+    for row in files.collect():  # one row per emptied partition
+        folder = spark._jvm.org.apache.hadoop.fs.Path(row.folder)
+        folder.getFileSystem(conf).delete(folder, True)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """One JSON object per line, for programs."""
     df.write.mode("append").json(path)

@@ -46,7 +46,58 @@ def test_append_reads_only_touched_partitions(spark, tmp_path):
     fresh = archive.unseen_captures(stored, new, ["capture_id"], CONTENT, within="day")
     assert rows(fresh.select("capture_id")) == [(8,)]
     plan = fresh._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(day" in plan or "PartitionFilters: [(day" in plan
+    pruned = [x for x in plan.split("\n") if "PartitionFilters: [" in x and "day" in x]
+    assert len(pruned) == 1 and "subquery" in pruned[0].split("PartitionFilters: ")[1].lower()
+
+
+def test_append_keeps_captures_a_microsecond_apart(spark):
+    held = captures(spark, (1, 1, "2024-01-01T00:00:00.000001", "A"))
+    new = captures(spark, (1, 2, "2024-01-01T00:00:00.000002", "A"),
+                   (1, 3, "2024-01-01T00:00:00.000001", "A"))
+    out = archive.append_captures(held, new, ["key", "captured_at"], ["state"])
+    assert [r[1] for r in rows(out)] == [1, 2]
+
+
+def test_of_equal_captures_always_the_same_one_is_added(spark):
+    new = captures(spark, *[(1, i, "2024-01-01", "A", float(i)) for i in range(9, 0, -1)])
+    empty = new.limit(0)
+    for n in (1, 2, 3, 5, 8):
+        out = archive.append_captures(empty, new.repartition(n), ["key"], ["state"])
+        assert [r.capture_id for r in out.collect()] == [1]
+
+
+def test_within_looks_at_its_partition_only_however_many_there_are(spark):
+    held = spark.createDataFrame([(1, "a"), (2, None)], "id long, day string")
+    few = [(1, "b"), (2, None), (3, None)]
+    many = few + [(i, f"d{i}") for i in range(100, 11_000)]
+    for new in (few, many):
+        df = spark.createDataFrame(new, "id long, day string")
+        out = archive.unseen_captures(held, df, ["id"], [], within="day")
+        assert {tuple(r) for r in out.collect()} == set(new) - {(2, None)}
+
+
+def test_removal_from_the_stored_archive(spark, tmp_path):
+    path = str(tmp_path / "archive")
+    held = captures(spark, *[(k, 10 * k + d, f"2024-01-0{d}", "A") for k in (1, 2, 3)
+                             for d in range(1, 5) if (k, d) != (2, 1)],
+                    (2, 99, "2024-01-09", "B"), (2, 98, None, "C"), (3, 97, None, "C"))
+    held = held.withColumn("day", F.col("captured_at").cast("date"))
+    archive_store.write_archive(held, path, "day")
+    untouched = {f: f.stat().st_mtime_ns for f in (tmp_path / "archive" / "day=2024-01-01").iterdir()}
+    asked = spark.createDataFrame([(2,), (None,), (77,)], "key int")
+    archive_store.remove_from_archive(spark, path, "day", asked, "key")
+    stored = spark.read.parquet(path)
+    assert rows(stored.select("capture_id")) == rows(held.where("key <> 2").select("capture_id"))
+    assert {f: f.stat().st_mtime_ns for f in untouched} == untouched
+    assert not (tmp_path / "archive" / "day=2024-01-09").exists()
+    assert archive.versions(stored, ["state"]).where("key = 2").count() == 0
+    archive_store.remove_from_archive(spark, path, "day", asked, "key")
+    assert spark.read.parquet(path).count() == 9
+
+
+def test_nearest_is_never_a_capture_without_a_time(spark):
+    df = captures(spark, (1, 1, "2024-01-01", "A"), (1, 2, None, "B"), (2, 3, None, "C"))
+    assert rows(archive.nearest_capture(df, "2024-06-01")) == [(1, 1)]
 
 
 def test_a_busy_partition_is_written_by_several_tasks(spark, tmp_path):

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from colloquary.operators import consume
@@ -24,6 +25,18 @@ def test_parts_put_together_are_the_whole(spark):
     assert "\n".join(p.body for p in parts) == rows(consume.transcript(df))[0][2]
 
 
+def test_turns_without_or_below_zero(spark):
+    df = messages(spark, *[(1, i, "a", str(i)) for i in range(-50, 50)],
+                  *[(2, None, "a", f"n{i}") for i in range(500)])
+    parts = consume.transcript(df, 10).collect()
+    assert all(p.body.count("\n") < 10 for p in parts if p.conv_id == 1)
+    assert sorted(p.part for p in parts if p.conv_id == 1) == list(range(-5, 5))
+    lost = [p for p in parts if p.conv_id == 2]
+    assert {p.part for p in lost} == {None} and sum(p.body.count("a: n") for p in lost) == 500
+    assert max(p.body.count("\n") + 1 for p in lost) <= 20
+    assert sum(len(r.messages) for r in consume.nested_export(df, part_turns=10).collect()) == 600
+
+
 def test_nested_forms_agree(spark, tmp_path):
     array = consume.nested_export(_talk(spark))
     assert [m.seq for m in array.where("conv_id = 1").first().messages] == [0, 1, 2]
@@ -41,6 +54,15 @@ def test_search(spark):
     assert rows(consume.keyword_search(df, ["foo", "bar", "Foo"], True)) == [(1, 2, 4)]
 
 
+def test_search_terms_are_cut_as_texts_are(spark):
+    df = messages(spark, (1, 0, "a", "C++ or node.js"), (1, 1, "a", "Node, JS; js node"),
+                  (2, 0, "a", "node"), (3, 0, "a", None))
+    assert rows(consume.keyword_search(df, ["node.js", "c++"], False)) == [(1, 2, 3)]
+    assert rows(consume.keyword_search(df, ["node"], False)) == [(1, 1, 3), (2, 1, 1)]
+    with pytest.raises(ValueError):
+        consume.keyword_search(df, ["++"], False)
+
+
 def test_hit_context_against_brute_force(spark):
     talk = [(c, s, "a", f"{c}-{s}") for c in (1, 2) for s in range(-7, 30) if (s * 7 + c) % 5]
     hits = [(1, 0), (1, 1), (1, 1), (1, 29), (2, -7), (2, 13), (3, 4)]

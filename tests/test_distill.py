@@ -3,7 +3,8 @@ import math
 import pytest
 
 from colloquary.operators import distill
-from colloquary.plans.skew import HotSplit
+from colloquary.plans.skew import PIECE, HotSplit, cut_hot_keys
+from colloquary.schemas import MESSAGES
 from tests.helpers import at, messages, rows
 
 WAYS = [HotSplit(), HotSplit(share=1000, min_rows=0)]
@@ -22,6 +23,35 @@ def test_session_boundary(spark, split):
         key=repr)
 
 
+@pytest.mark.parametrize("split", WAYS)
+def test_discussions_from_a_log(spark, split):
+    df = spark.createDataFrame(
+        [("r", at("2024-01-01T00:00"), "a", "one"), ("r", at("2024-01-01T00:10"), "b", "two"),
+         ("r", at("2024-01-01T05:00"), "a", "three"), ("s", at("2024-01-01T00:10"), "c", "x"),
+         (None, at("2024-01-01T00:00"), "a", "y"), ("r", None, "a", "lost")],
+        "room string, ts timestamp_ntz, who string, said string")
+    out = distill.discussions_from_log(df, "room", "ts", "1 hour", "who", "said", split=split)
+    assert out.columns == MESSAGES.names
+    got = {}
+    for r in out.orderBy("seq").collect():
+        got.setdefault(r.conv_id, []).append((r.space_id, r.seq, r.text))
+    assert sorted(got.values(), key=repr) == sorted(
+        [[("r", 0, "one"), ("r", 1, "two")], [("r", 2, "three")], [("s", 0, "x")],
+         [(None, 0, "y")]], key=repr)
+
+
+def test_a_hot_room_without_times_or_at_one_moment_is_cut(spark):
+    df = spark.range(6000).selectExpr(
+        "'hot' AS room", "if(id % 2 = 0, timestamp_ntz'2024-01-01 00:00:00', null) AS ts", "id")
+    split = HotSplit(share=60, min_rows=50)
+    timed, tie = distill._timed(df, "ts", None)
+    cut = cut_hot_keys(timed, ["room"], ["ts", *tie], split)
+    sizes = [r["count"] for r in cut.groupBy(PIECE).count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) <= 3 * 50
+    out = distill.sessionize(df, "room", "ts", "1 hour", split=split)
+    assert rows(out.groupBy("session_no").count()) == sorted([(None, 3000), (0, 3000)], key=repr)
+
+
 @pytest.mark.parametrize("split", WAYS)
 def test_pair_replies(spark, split):
     df = messages(spark, (1, 0, "user", ""), (1, 3, "bot", ""), (1, 4, "bot", ""),

@@ -31,6 +31,26 @@ def test_json_export_rejects(spark):
                                 (" \n\t ", "blank"), ('{"a": "x"}', "malformed")], key=repr)
 
 
+def test_json_export_with_more_behind(spark):
+    texts = ['{"a": 1}', ' {"a": 2} \n', '{"a":1}{"a":2}', '{"a":1},{"a":2}', '{"a":1} rubbish',
+             '{"a":1}]', '{"a":1}]}', '[{"a":1}]', '1', '"x"', 'null', '{"a":1}\n{"a":2}', '{"a":"]}"}']
+    df = spark.createDataFrame([(t,) for t in texts], "raw string")
+    good, bad = intake.parse_json_export(
+        df, "raw", T.StructType([T.StructField("a", T.LongType())]))
+    assert rows(good) == sorted([(texts[0], 1), (texts[1], 2)], key=repr)
+    assert rows(bad) == sorted([(t, "malformed") for t in texts[2:]], key=repr)
+
+
+def test_chat_shaped_fields(spark):
+    df = spark.createDataFrame(
+        [("!r:m.org", 1700000000123), ("!s:m.org", 1700000000), ("42", None)],
+        "room string, at long")
+    out = intake.to_messages(df, {"conv_id": "room", "ts": "at"}).collect()
+    assert [str(r.ts) for r in out] == [
+        "2023-11-14 22:13:20.123000", "2023-11-14 22:13:20", "None"]
+    assert out[2].conv_id == 42 and len({r.conv_id for r in out}) == 3
+
+
 def test_json_export_nested(spark):
     schema = T.StructType.fromDDL("content struct<body:string>, sender string")
     df = spark.createDataFrame([('{"sender": "@a", "content": {"body": "hi"}}',)], "raw string")
@@ -54,18 +74,51 @@ def test_line_log_null_line_is_a_reject(spark):
     assert rows(good) == [("a",)] and rows(bad) == [(None,)]
 
 
-@pytest.mark.parametrize("long_list", [False, True])
-def test_public_only(spark, monkeypatch, long_list):
-    if long_list:
-        monkeypatch.setattr(skew, "fits_broadcast", lambda df: False)
+def test_public_only(spark):
     df = spark.createDataFrame(
         [("open", i) for i in range(50)] + [("closed", i) for i in range(40)]
         + [("rare", 1), ("other", 1), (None, 1)], "space string, i int")
     spaces = spark.createDataFrame([("open",), ("open",), ("rare",), (None,)], "space string")
-    out = intake.public_only(df, spaces, "space", skew.HotSplit(share=10, min_rows=5))
+    out = intake.public_only(df, spaces, "space")
     assert rows(out) == sorted([("open", i) for i in range(50)] + [("rare", 1)], key=repr)
 
 
+@pytest.mark.parametrize("kind", ["int", "bigint", "string", "decimal(20,0)"])
+@pytest.mark.parametrize("listed", ["int", "bigint", "string", "smallint"])
+def test_lists_of_other_types(spark, kind, listed):
+    df = spark.range(10).selectExpr(f"cast(id AS {kind}) AS k", "map('a', id) AS m")
+    names = spark.range(5, 20).selectExpr(f"cast(id AS {listed}) AS k", "id AS other")
+    assert sorted(int(r.k) for r in intake.public_only(df, names, "k").collect()) == [5, 6, 7, 8, 9]
+    left = skew.drop_listed(df, names, "k").collect()
+    assert sorted(int(r.k) for r in left) == [0, 1, 2, 3, 4] and left[0].m
+
+
+def test_names_that_no_key_can_be(spark):
+    df = spark.range(3).selectExpr("cast(id AS int) AS k")
+    names = spark.createDataFrame([("1",), ("x",), ("99999999999",), (None,)], "k string")
+    assert rows(intake.public_only(df, names, "k")) == [(1,)]
+    assert rows(skew.drop_listed(df, names, "k")) == [(0,), (2,)]
+
+
+def test_a_list_longer_than_any_broadcast(spark):
+    df = spark.range(0, 2000).selectExpr("cast(if(id % 3 = 0, 7, id) AS int) AS k", "id")
+    names = spark.range(1_000_001).selectExpr("id * 2 + 1 AS k")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert skew.drop_listed(df, names, "k").where("k % 2 = 1").count() == 0
+        assert skew.keep_listed(df, names, "k").count() == 667 + 667
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_building_a_list_plan_starts_no_job(spark):
+    df, names = spark.range(10).withColumnRenamed("id", "k"), spark.range(5).toDF("k")
+    spark.sparkContext.setJobGroup("planning", "")
+    skew.drop_listed(df, names, "k")
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("planning")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_public_only_on_a_stream(spark, tmp_path):
     src = str(tmp_path / "in")
     spark.createDataFrame([("open", 1), ("closed", 2)], "space string, i int").write.parquet(src)
@@ -76,11 +129,3 @@ def test_public_only_on_a_stream(spark, tmp_path):
              .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
     query.awaitTermination()
     assert rows(spark.read.parquet(str(tmp_path / "out"))) == [("open", 1)]
-
-
-def test_size_check(spark):
-    assert skew.fits_broadcast(spark.range(10), rows=10)
-    assert not skew.fits_broadcast(spark.range(11), rows=10)
-    wide = spark.createDataFrame([("x" * 1000,)], "s string")
-    assert not skew.fits_broadcast(wide, size=999)
-    assert skew.fits_broadcast(spark.range(0))

@@ -1,7 +1,6 @@
 import pytest
 
 from colloquary.operators import select
-from colloquary.plans import skew
 from colloquary.plans.worth_reading import worth_reading
 from tests.helpers import messages, rows
 
@@ -26,16 +25,21 @@ def test_top_ties_go_to_the_smaller_id(spark):
     assert rows(per) == [("x", 1, 1), ("x", 3, 2), ("y", 2, 1)]
 
 
-@pytest.mark.parametrize("long_list", [False, True])
-def test_term_filter(spark, monkeypatch, long_list):
-    if long_list:
-        monkeypatch.setattr(skew, "fits_broadcast", lambda df: False)
+def test_term_filter(spark):
     df = messages(spark, (1, 0, "a", "Kernel panic, kernel!"), (1, 1, "b", "Mutex"),
                   (2, 0, "a", "kernel kernel"), (3, 0, "a", "nothing"), (4, 0, "a", None))
-    terms = spark.createDataFrame([("kernel",), ("MUTEX",), ("mutex",), ("heap",)], "term string")
-    split = skew.HotSplit(share=100, min_rows=1)
-    assert rows(select.term_filter(df, terms, 2, split)) == [(1, 2)]
-    assert rows(select.term_filter(df, terms, 1, split)) == [(1, 2), (2, 1)]
+    terms = spark.createDataFrame(
+        [("kernel",), ("MUTEX",), ("mutex!",), ("heap",), (None,), ("++",)], "term string")
+    assert rows(select.term_filter(df, terms, 2)) == [(1, 2)]
+    assert rows(select.term_filter(df, terms, 1)) == [(1, 2), (2, 1)]
+
+
+def test_terms_that_would_never_be_found(spark):
+    df = messages(spark, (1, 0, "a", "C++ and node.js"))
+    terms = spark.createDataFrame([("c++",)], "term string")
+    assert rows(select.term_filter(df, terms, 1)) == [(1, 1)]
+    with pytest.raises(Exception, match="not one word: node.js"):
+        select.term_filter(df, spark.createDataFrame([("node.js",)], "term string"), 1).collect()
 
 
 def test_dedupe(spark):

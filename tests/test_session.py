@@ -1,3 +1,7 @@
+from types import SimpleNamespace
+
+import pytest
+
 from colloquary.session import shared_folder
 
 
@@ -7,8 +11,9 @@ class _Conf(dict):
 
 
 class _Session:
-    def __init__(self, **conf):
+    def __init__(self, master="local[4]", **conf):
         self.conf = _Conf(**conf)
+        self.sparkContext = SimpleNamespace(master=master)
 
 
 def test_folder_is_below_the_one_the_cluster_names():
@@ -19,3 +24,9 @@ def test_folder_is_below_the_one_the_cluster_names():
 
 def test_folder_without_the_setting():
     assert shared_folder(_Session(), "x").startswith("/tmp/spark-")
+
+
+def test_a_cluster_must_name_a_folder():
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(ValueError):
+            shared_folder(_Session(master), "x")

@@ -70,8 +70,9 @@ def test_pairs_equal_a_plain_window(logs):
     assert rows(distill.pair_replies(talk, "user", "bot", SPLIT)) == rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries())
-                                        - {"stream_intake", "stream_activity", "stream_sessions"}))
+@pytest.mark.parametrize("name", sorted(
+    {n[2:] for n in vars(entry) if n.startswith("q_")}
+    - {"stream_intake", "stream_activity", "stream_sessions"}))
 def test_no_query_pairs_everything_or_leaves_the_jvm(spark, name):
     df = entry.queries()[name](spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().toString()
@@ -112,8 +113,9 @@ def _final_plan(df):
     return kept
 
 
-def test_words_are_cut_and_counted_once(spark):
-    df = entry.queries()["key_terms_busy_words"](spark, "/root/testdata/sf0.001")
+@pytest.mark.parametrize("name", ["key_terms_busy_words", "extract_summary_busy_words"])
+def test_words_are_cut_and_counted_once(spark, name):
+    df = entry.queries()[name](spark, "/root/testdata/sf0.001")
     df.collect()
     plan = _final_plan(df)
     assert any("Final Plan" in line for line in plan)
