@@ -15,8 +15,9 @@ How matches are found:
    behind the shared word must be enough for the overlap needed) and a bitmap filter (sets
    whose parities over 128 bits differ by d share (n + m - d) / 2 words at most).
 5. Verification: an entry that has earlier candidates is compared with the nearest of them
-   by bitmap, word by word.  Only entries that fail that and have others are compared with
-   all of their candidates.  So a group of thousands of near copies costs one comparison
+   by bitmap, word by word (by 52-bit hashes), and with ``SOME`` of each list where it is in
+   doubt whether the nearest matches.  Only entries that fail that and have others are
+   looked up again and compared with all of their candidates.  So a group of thousands of near copies costs one comparison
    each, and no pair is missed.
 
 Scale: what travels are entries of some 40 bytes per prefix word; word sets are fetched
@@ -33,23 +34,23 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquary.llm.common import (
-    arrow_schema, bit_place, bit_table, in_batches, keep, ship)
+    BLANKS, arrow_schema, bit_place, bit_table, in_batches, keep, ship)
 
 SIMILARITY = 0.8
 CELLS = 1 << 18
-LIMIT = 500_000  # words remembered per worker
-SMALL = 64  # entries of a list compared at once
-CHARS = 1_000_000  # of text worked through at a time
+LIMIT = 500_000  # sets remembered per task
+ROWS, PAIRS = 200_000, 1 << 18  # postings and comparisons at a time
+SOME = 8  # candidates of an entry in a list that are verified before the others are looked up
+CHARS = 1_000_000  # bytes of text worked through at a time
 
 _LINE = "s1 bigint, s2 bigint, doc bigint, line bigint"
 _ENTRY = "s1 bigint, s2 bigint, doc bigint, line bigint, size int, b1 bigint, b2 bigint, prefix binary"
@@ -57,92 +58,145 @@ _POSTING = "word int, doc bigint, line bigint, size int, at int, b1 bigint, b2 b
 _PAIR = "doc bigint, line bigint, with_doc bigint, with_line bigint, apart int, more boolean"
 _SET = "doc bigint, line bigint, s1 bigint, words binary"
 _VERDICT = "doc bigint, line bigint, s1 bigint, matches boolean"
-_HIT = "word int, doc bigint, line bigint, words binary"
+_ASKING = ("word int, doc bigint, line bigint, s1 bigint, size int, at int, b1 bigint, "
+           "b2 bigint")
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash"""
+def _table(seed: int) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64(seed)).integers(1, 1 << 63, 256, dtype=np.uint64)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > LIMIT:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+
+_LETTERS = _table(1)
+_BLANK = np.isin(np.arange(256), list(BLANKS.encode()))
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_MASK = np.uint64((1 << 52) - 1)
+
+
+def _mixed(x: np.ndarray, factor: int) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(factor)
+    return x ^ x >> np.uint64(29)
+
+
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    held = _POWERS.get(int(base), ())
+    if len(held) < n:
+        held = np.full(max(n, 2 * CHARS), base, dtype=np.uint64)
+        held[0] = 1
+        held = _POWERS[int(base)] = np.multiply.accumulate(held)
+    return held[:n]
 
 
 class Lines:
-    """The lines with words of some texts: where they stand, and their distinct word hashes,
-    one line behind the other, each sorted."""
-
-    def __init__(self, docs: list, texts: list, hashes: WordHashes):
-        self.doc, self.line, counts, words = [], [], [], []
-        for doc, text in zip(docs, texts):
-            if not text or doc is None:
-                continue
-            for number, line in enumerate(text.encode().split(b"\n")):
-                found = line.split()
-                if found:
-                    self.doc.append(doc)
-                    self.line.append(number)
-                    counts.append(len(found))
-                    words.append(found)
-        flat = np.fromiter(map(hashes.__getitem__, chain.from_iterable(words)), dtype=np.uint64,
-                           count=sum(counts))
-        owner = np.repeat(np.arange(len(counts)), counts)
-        order = np.lexsort((flat, owner))
-        flat, owner = flat[order], owner[order]
-        first = np.r_[True, (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])][:len(flat)]
-        self.words, self.owner = flat[first], owner[first]
-        self.sizes = np.bincount(self.owner, minlength=len(counts))
+    """The lines with words of some texts: where they stand, and their distinct words (as
+    hashes of 52 bits), one line behind the other, each sorted.
+
+    Works on the bytes of all texts at once.  A word's hash is a polynomial over its bytes,
+    taken from one running sum as the difference of its ends.
+    """
+
+    def __init__(self, docs: pa.Array, texts: pa.Array):
+        rows = [i for i, ok in enumerate(docs.is_valid().to_pylist()) if ok]
+        docs, texts = docs.take(pa.array(rows, pa.int64())), texts.take(pa.array(rows, pa.int64()))
+        texts = texts.fill_null("")
+        # a line break behind each text; longer offsets than a string's
+        raw = b"".join([t.as_buffer().to_pybytes() + b"\n" for t in texts])
+        ends_of_text = np.cumsum([len(t.as_buffer()) + 1 for t in texts], dtype=np.int64)
+        data = np.frombuffer(raw, dtype=np.uint8)
+        blank = np.concatenate(([True], _BLANK[data]))
+        starts = np.flatnonzero(blank[:-1] & ~blank[1:])
+        ends = np.flatnonzero(~blank[:-1] & blank[1:])
+        with np.errstate(over="ignore"):
+            sums = np.zeros(len(data) + 1, dtype=np.uint64)
+            np.cumsum(_LETTERS[data] * _powers(_STEP, len(data)), out=sums[1:])
+            hashes = (sums[ends] - sums[starts]) * _powers(_BACK, len(data))[starts]
+            hashes = _mixed(_mixed(hashes, 0xBF58476D1CE4E5B9), 0x94D049BB133111EB) & _MASK
+        breaks = np.flatnonzero(data == 10)
+        at_line = np.searchsorted(breaks, starts)  # lines of all texts together
+        lines, owner = np.unique(at_line, return_inverse=True)
+        row = np.searchsorted(ends_of_text, breaks[lines], side="right")
+        first_line = np.concatenate(([0], np.searchsorted(breaks, ends_of_text[:-1])))
+        self.doc = docs.to_numpy(zero_copy_only=False)[row].astype(np.int64)
+        self.line = lines - first_line[row]
+        # sorted by line and hash in one go, some lines at a time
+        words, owners = [], []
+        for low in range(0, len(lines), 4096):
+            a, b = np.searchsorted(owner, [low, low + 4096])
+            key = np.sort((owner[a:b] - low).astype(np.uint64) << np.uint64(52) | hashes[a:b])
+            key = key[np.concatenate(([True], key[1:] != key[:-1]))]
+            words.append(key & _MASK)
+            owners.append((key >> np.uint64(52)).astype(np.int64) + low)
+        self.words = np.concatenate(words) if words else np.zeros(0, np.uint64)
+        self.owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
+        self.sizes = np.bincount(self.owner, minlength=len(lines))
         self.ends = np.cumsum(self.sizes)
-        self.doc = np.array(self.doc, dtype=np.int64)
-        self.line = np.array(self.line, dtype=np.int64)
+        self.starts = self.ends - self.sizes
 
     def __len__(self) -> int:
         return len(self.sizes)
 
-    def digests(self) -> tuple[list[int], list[int]]:
+    def digests(self) -> tuple[np.ndarray, np.ndarray]:
         """128 bits of each set, as two signed numbers."""
-        raw, one, two = self.words.tobytes(), [], []
-        start = 0
-        for end in (8 * self.ends).tolist():
-            a, b = np.frombuffer(xxhash.xxh3_128_digest(raw[start:end]), dtype="<i8")
-            one.append(int(a))
-            two.append(int(b))
-            start = end
-        return one, two
+        if not len(self):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        with np.errstate(over="ignore"):
+            return tuple(_mixed(np.add.reduceat(_mixed(self.words + np.uint64(1), f), self.starts),
+                                f).view(np.int64)
+                         for f in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
+
+    def ranked(self, rarity: np.ndarray) -> np.ndarray:
+        """The words' lower 32 bits, rarest first within each line."""
+        out = np.zeros(len(self.words), dtype=np.uint32)
+        for low in range(0, len(self), 4096):
+            a, b = np.searchsorted(self.owner, [low, low + 4096])
+            key = np.sort((self.owner[a:b] - low).astype(np.uint64) << np.uint64(52)
+                          | rarity[_cell(self.words[a:b])] << np.uint64(32)
+                          | self.words[a:b] & np.uint64(0xFFFFFFFF))
+            out[a:b] = key.astype(np.uint32)
+        return out
+
+    def sets(self, some: np.ndarray) -> pa.Array:
+        """Words of some lines, eight bytes each."""
+        return _binary(self.words.astype("<u8"), self.starts[some], self.sizes[some])
+
+
+def _binary(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Stretches of ``values`` as binary."""
+    at = np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    offsets = np.concatenate(([0], np.cumsum(sizes * values.itemsize))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [
+        None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values[at].tobytes())])
 
 
 def _cell(words: np.ndarray) -> np.ndarray:
-    return (words >> np.uint64(46)).astype(np.int64)  # the top 18 bits
+    return (words >> np.uint64(52 - 18)).astype(np.int64)  # the top 18 bits
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
-    """Ids and texts, about ``CHARS`` characters at a time."""
+def _some_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[Lines]:
+    """Lines of about ``CHARS`` bytes of text at a time."""
     for batch in batches:
-        docs, texts, held = [], [], 0
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            docs.append(doc)
-            texts.append(text.as_py())
-            held += len(texts[-1] or "")
-            if held > CHARS:
-                yield docs, texts
-                docs, texts, held = [], [], 0
-        if docs:
-            yield docs, texts
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes) // CHARS
+        for start, end in zip(*[x.tolist() for x in (
+                np.flatnonzero(np.diff(part, prepend=-1)),
+                np.append(np.flatnonzero(np.diff(part)) + 1, len(part)))]):
+            some = batch.slice(start, end - start)
+            yield Lines(some.column(0), some.column(1))
 
 
 def _surveyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All lines with the digests of their sets; then, with line -1, how many words fell into
     each cell (in place of the digests)."""
-    hashes, counts, kind = WordHashes(), np.zeros(CELLS, dtype=np.int64), arrow_schema(_LINE)
+    counts, kind = np.zeros(CELLS, dtype=np.int64), arrow_schema(_LINE)
 
     def batch(*columns):
         return pa.RecordBatch.from_arrays(
             [pa.array(c, f.type) for c, f in zip(columns, kind)], schema=kind)
 
-    for docs, texts in _texts(batches):
-        lines = Lines(docs, texts, hashes)
+    for lines in _some_lines(batches):
         counts += np.bincount(_cell(lines.words), minlength=CELLS)
         if len(lines):
             yield batch(*lines.digests(), lines.doc, lines.line)
@@ -155,45 +209,38 @@ def prefix_size(size: np.ndarray, t: float) -> np.ndarray:
     return size - np.ceil(t * size - 1e-9).astype(np.int64) + 1
 
 
-def _bitmaps(words: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Parity of the words per bit, two times 64 bits for each owner (in ascending order)."""
+def _bitmaps(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity of the words per bit, two times 64 bits for each line."""
     bit = np.uint64(1) << (words & np.uint64(63))
-    high = (words >> np.uint64(6)) & np.uint64(1) == 1
-    starts = np.searchsorted(owner, np.arange(n))
-    low_bits = np.where(high, np.uint64(0), bit)
-    high_bits = np.where(high, bit, np.uint64(0))
-    return (np.bitwise_xor.reduceat(low_bits, starts), np.bitwise_xor.reduceat(high_bits, starts))
+    high = words & np.uint64(64) != 0
+    return (np.bitwise_xor.reduceat(np.where(high, np.uint64(0), bit), starts),
+            np.bitwise_xor.reduceat(np.where(high, bit, np.uint64(0)), starts))
 
 
 def _entries(batches: Iterator[pa.RecordBatch], rarity: np.ndarray, t: float
              ) -> Iterator[pa.RecordBatch]:
     """Lines whose set has no earlier one in the partition so far."""
-    hashes, kind, seen = WordHashes(), arrow_schema(_ENTRY), {}
-    for docs, texts in _texts(batches):
-        lines = Lines(docs, texts, hashes)
+    kind, seen = arrow_schema(_ENTRY), {}
+    for lines in _some_lines(batches):
         if not len(lines):
             continue
         one, two = lines.digests()
-        b1, b2 = _bitmaps(lines.words, lines.owner, len(lines))
-        # rarest first; of equal cells by hash
-        order = np.lexsort((lines.words, rarity[_cell(lines.words)], lines.owner))
-        ranked = (lines.words[order] & np.uint64(0xFFFFFFFF)).astype("<u4")
-        starts, prefix = lines.ends - lines.sizes, prefix_size(lines.sizes, t)
-        raw, out = ranked.tobytes(), []
-        for i in range(len(lines)):
-            where = (int(lines.doc[i]), int(lines.line[i]))
-            if one[i] not in seen or where < seen[one[i]]:
+        b1, b2 = _bitmaps(lines.words, lines.starts)
+        ranked, prefix = lines.ranked(rarity).astype("<u4"), prefix_size(lines.sizes, t)
+        chosen = []
+        for i, (s1, where) in enumerate(zip(one.tolist(), zip(lines.doc.tolist(),
+                                                              lines.line.tolist()))):
+            if s1 not in seen or where < seen[s1]:
                 if len(seen) > LIMIT:  # forgetting one does no harm: it only travels twice
                     seen.clear()
-                seen[one[i]] = where
-                a = 4 * int(starts[i])
-                out.append((i, raw[a:a + 4 * int(prefix[i])]))
-        at = np.array([i for i, _ in out], dtype=np.int64)
-        columns = [np.array(one)[at], np.array(two)[at], lines.doc[at], lines.line[at],
-                   lines.sizes[at], b1[at].view(np.int64), b2[at].view(np.int64),
-                   [p for _, p in out]] if out else [[]] * 8
+                seen[s1] = where
+                chosen.append(i)
+        at = np.array(chosen, dtype=np.int64)
+        columns = [one[at], two[at], lines.doc[at], lines.line[at], lines.sizes[at],
+                   b1[at].view(np.int64), b2[at].view(np.int64)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, f.type) for c, f in zip(columns, kind)], schema=kind)
+            [pa.array(c, f.type) for c, f in zip(columns, kind)]
+            + [_binary(ranked, lines.starts[at], prefix[at])], schema=kind)
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,72 +267,112 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
-    """From postings sorted by word: for each entry the nearest earlier candidate, and whether
-    there are more."""
+    """From postings sorted by word: for each entry its nearest earlier candidates, and
+    whether there are more."""
     kind = arrow_schema(_PAIR)
 
     def pairs(word, doc, line, size, at, b1, b2):
-        out = []
-        starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-        counts = np.diff(np.r_[starts, len(word)])
-        starts, counts = starts[counts > 1], counts[counts > 1]
-        # lists of like length are worked through together, as a block of rows
-        for n in np.unique(counts):
-            lists = starts[counts == n]
-            step = max(1, (1 << 20) // int(n * min(n, SMALL)))
-            for k in range(0, len(lists), step):
-                some = lists[k:k + step][:, None] + np.arange(n)
-                for a in range(0, int(n), SMALL):
-                    out.append(compare(some[:, a:a + SMALL], some, doc, line, size, at, b1, b2))
-        columns = [np.concatenate(c) for c in zip(*out)] if out else [[]] * 6
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, f.type) for c, f in zip(columns, kind)], schema=kind)
+        found: list[list[np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def screen(i, j):
+            """Pairs (later, earlier, bits apart) that pass all filters."""
+            n, m = size[i], size[j]
+            good = np.minimum(n, m) >= t * np.maximum(n, m) - 1e-9
+            i, j, n, m = i[good], j[good], n[good], m[good]
+            need = np.ceil(t / (1 + t) * (n + m) - 1e-9).astype(np.int32)
+            good = np.minimum(n - at[i], m - at[j]) >= need
+            i, j, spare = i[good], j[good], (n + m - 2 * need)[good]
+            apart = np.bitwise_count(b1[i] ^ b1[j]).astype(np.int32)
+            apart += np.bitwise_count(b2[i] ^ b2[j])
+            good = apart <= spare
+            i, j, apart, spare = i[good], j[good], apart[good], spare[good]
+            if len(i):
+                swap = (doc[i] < doc[j]) | (doc[i] == doc[j]) & (line[i] < line[j])
+                found.append([np.where(swap, j, i), np.where(swap, i, j), apart, spare])
+
+        def flush(least):
+            if held and sum(len(x[0]) for x in held) > least:
+                screen(*map(np.concatenate, zip(*held)))
+                held.clear()
+
+        # entries k places apart, as long as both are in one list
+        apart, i = 1, np.arange(len(word) - 1)
+        while len(i):
+            i = i[word[i] == word[i + apart]]
+            held.append((i, i + apart))
+            flush(PAIRS)
+            apart += 1
+            i = i[:np.searchsorted(i, len(word) - apart)]
+        flush(0)
+        if not found:
+            return None
+        x, y, apart, spare = map(np.concatenate, zip(*found))
+        # of each later entry in each list the nearest; where the bitmaps leave it in doubt
+        # whether that one matches, some more; and whether there are others
+        order = np.lexsort((line[y], doc[y], apart, x))
+        x, y, apart, spare = x[order], y[order], apart[order], spare[order]
+        first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+        many = np.diff(np.append(first, len(x)))
+        rank = np.arange(len(x)) - np.repeat(first, many)
+        doubt = apart[first] + apart[first] ** 2 // 64 + 2 > spare[first]
+        told = np.where(doubt, SOME, 1)
+        good = rank < np.repeat(told, many)
+        more = np.repeat(many > told, many)[good]
+        x, y = x[good], y[good]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(
+            [doc[x], line[x], doc[y], line[y], apart[good], more], kind)], schema=kind)
+
+    def told(batch):
+        return [] if batch is None else [batch]
+
+    held: list[list[np.ndarray]] = []
+
+    def joined():
+        columns = [np.concatenate(c) for c in zip(*held)]
+        columns[5:] = [c.view(np.uint64) for c in columns[5:]]
+        return columns
 
-    def compare(mine, all_of, doc, line, size, at, b1, b2):
-        x, y = mine[:, :, None], all_of[:, None, :]
-        n, m = size[x].astype(np.int64), size[y].astype(np.int64)
-        earlier = (doc[y] < doc[x]) | (doc[y] == doc[x]) & (line[y] < line[x])
-        need = np.ceil(t / (1 + t) * (n + m) - 1e-9).astype(np.int64)
-        left = 1 + np.minimum(n - at[x] - 1, m - at[y] - 1)
-        apart = (np.bitwise_count(b1[x] ^ b1[y]).astype(np.int64)
-                 + np.bitwise_count(b2[x] ^ b2[y]))
-        fits = (earlier & (np.minimum(n, m) >= t * np.maximum(n, m) - 1e-9)
-                & (left >= need) & (n + m - apart >= 2 * need))
-        far = np.where(fits, apart, 1 << 20)
-        best, held = far.argmin(axis=2), fits.sum(axis=2)
-        a, b = np.nonzero(held)
-        i, j = mine[a, b], all_of[a, best[a, b]]
-        far, more = far[a, b, best[a, b]], held[a, b] > 1
-        return doc[i], line[i], doc[j], line[j], far, more
-
-    held = None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        new[5:] = [c.view(np.uint64) for c in new[5:]]
-        held = new if held is None else [np.concatenate(c) for c in zip(held, new)]
-        end = int(np.searchsorted(held[0], held[0][-1]))  # the last list may go on
-        if end:
-            yield pairs(*[c[:end] for c in held])
-            held = [c[end:] for c in held]
-    if held is not None:
-        yield pairs(*held)
-
-
-def _sets(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Word sets of the lines in the bit table."""
-    hashes, kind = WordHashes(), arrow_schema(_SET)
-    for docs, texts in _texts(batches):
-        lines = Lines(docs, texts, hashes)
+        if batch.num_rows:
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        if sum(len(c[0]) for c in held) > ROWS:
+            columns = joined()
+            end = int(np.searchsorted(columns[0], columns[0][-1]))  # the last list may go on
+            if end:
+                yield from told(pairs(*[c[:end] for c in columns]))
+            columns[5:] = [c.view(np.int64) for c in columns[5:]]
+            held = [[c[end:] for c in columns]]
+    if held:
+        yield from told(pairs(*joined()))
+
+
+def _sets(batches: Iterator[pa.RecordBatch], docs: np.ndarray, table: np.ndarray
+          ) -> Iterator[pa.RecordBatch]:
+    """Word sets of the lines in one bit table, which are in documents of the other."""
+    kind = arrow_schema(_SET)
+
+    def concerned():
+        for batch in batches:
+            place = bit_place(pc.fill_null(batch.column(0), 0).to_numpy(zero_copy_only=False),
+                              np.zeros(1, dtype=np.int64))
+            chosen = np.flatnonzero(docs[place >> 3] >> (place & 7) & 1)
+            yield batch.take(pa.array(chosen))
+
+    for lines in _some_lines(concerned()):
         place = bit_place(lines.doc, lines.line)
         chosen = np.flatnonzero(table[place >> 3] >> (place & 7) & 1)
-        one, _ = lines.digests() if len(chosen) else ([], [])
-        raw, starts = lines.words.tobytes(), lines.ends - lines.sizes
-        columns = [lines.doc[chosen], lines.line[chosen], [one[i] for i in chosen],
-                   [raw[8 * starts[i]:8 * lines.ends[i]] for i in chosen]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, f.type) for c, f in zip(columns, kind)], schema=kind)
+        if len(chosen):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(lines.doc[chosen]), pa.array(lines.line[chosen]),
+                 pa.array(lines.digests()[0][chosen]), lines.sets(chosen)], schema=kind)
+
+
+def _sets_of(texts: DataFrame, lines: DataFrame) -> DataFrame:
+    """``doc, line, s1, words`` of the lines ``doc, line`` and a few others."""
+    lines = lines.withColumn("zero", F.lit(0).cast("bigint"))
+    return in_batches(texts, partial(_sets, docs=bit_table(lines, "doc", "zero"),
+                                     table=bit_table(lines)), _SET)
 
 
 def _verified(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
@@ -302,37 +389,37 @@ def _verified(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.Record
 
 def _prefixes(batches: Iterator[pa.RecordBatch], rarity: np.ndarray, t: float
               ) -> Iterator[pa.RecordBatch]:
-    """From ``doc, line, s1, words``: a row for each prefix word."""
-    kind = arrow_schema(_HIT.replace("doc bigint", "s1 bigint, doc bigint"))
+    """From ``doc, line, s1, words``: a posting for each prefix word."""
+    kind = arrow_schema(_ASKING)
     for batch in batches:
-        doc, line, s1, raw = [c.to_pylist() for c in batch.columns]
-        out = []
-        for d, n, s, r in zip(doc, line, s1, raw):
-            words = np.frombuffer(r, dtype="<u8")
-            order = np.lexsort((words, rarity[_cell(words)]))
-            chosen = words[order][:prefix_size(np.array(len(words)), t)]
-            out += [(w, s, d, n, r) for w in chosen.astype(np.uint32).view(np.int32).tolist()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 5, kind)],
-            schema=kind)
+        doc, line, s1 = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+        for i, raw in enumerate(batch.column(3)):
+            words = np.frombuffer(raw.as_buffer(), dtype="<u8")
+            order = np.lexsort((words.astype(np.uint32), rarity[_cell(words)]))
+            n = int(prefix_size(np.array(len(words)), t))
+            b1, b2 = _bitmaps(words, np.zeros(1, dtype=np.int64))
+            chosen = words[order[:n]].astype(np.uint32).view(np.int32)
+            columns = [chosen, [doc[i]] * n, [line[i]] * n, [s1[i]] * n, [len(words)] * n,
+                       np.arange(n), b1.view(np.int64).repeat(n), b2.view(np.int64).repeat(n)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, f.type) for c, f in zip(columns, kind)], schema=kind)
 
 
 def _hits(batches: Iterator[pa.RecordBatch], rarity: np.ndarray, t: float, table: np.ndarray
           ) -> Iterator[pa.RecordBatch]:
-    """Lines and their sets, a row for each prefix word in the bit table."""
-    hashes, kind = WordHashes(), arrow_schema(_HIT)
-    for docs, texts in _texts(batches):
-        lines = Lines(docs, texts, hashes)
-        order = np.lexsort((lines.words, rarity[_cell(lines.words)], lines.owner))
-        ranked = lines.words[order].astype(np.uint32).view(np.int32)
-        starts = lines.ends - lines.sizes
-        at = np.arange(len(ranked)) - np.repeat(starts, lines.sizes)
+    """Postings of all lines for prefix words in the bit table."""
+    kind = arrow_schema(_POSTING)
+    for lines in _some_lines(batches):
+        if not len(lines):
+            continue
+        ranked = lines.ranked(rarity).view(np.int32)
+        at = np.arange(len(ranked)) - np.repeat(lines.starts, lines.sizes)
         place = bit_place(ranked.astype(np.int64), np.zeros(1, dtype=np.int64))
         chosen = np.flatnonzero((table[place >> 3] >> (place & 7) & 1 == 1)
                                 & (at < np.repeat(prefix_size(lines.sizes, t), lines.sizes)))
-        own, raw = lines.owner[chosen], lines.words.tobytes()
-        columns = [ranked[chosen], lines.doc[own], lines.line[own],
-                   [raw[8 * starts[i]:8 * lines.ends[i]] for i in own]]
+        own, (b1, b2) = lines.owner[chosen], _bitmaps(lines.words, lines.starts)
+        columns = [ranked[chosen], lines.doc[own], lines.line[own], lines.sizes[own], at[chosen],
+                   b1[own].view(np.int64), b2[own].view(np.int64)]
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, f.type) for c, f in zip(columns, kind)], schema=kind)
 
@@ -347,10 +434,12 @@ def lost_lines(texts: DataFrame, t: float = SIMILARITY) -> DataFrame:
     """``doc, line, s1`` (part of the digest of its set) of each line that an earlier one
     matches, given ``doc_id, text``.  Lines count from 0."""
     lines = keep(in_batches(texts, _surveyed, _LINE), "lines")
-    rarity = np.zeros(CELLS, dtype=np.int64)
+    uses = np.zeros(CELLS, dtype=np.int64)
     counted = lines.where("line = -1").groupBy("s1").agg(F.sum("s2"))
     for cell, n in counted.collect():  # no more rows than cells
-        rarity[cell] = n
+        uses[cell] = n
+    rarity = np.empty(CELLS, dtype=np.uint64)  # places from rare to frequent
+    rarity[np.argsort(uses, kind="stable")] = np.arange(CELLS, dtype=np.uint64)
     lines = lines.where("line >= 0")
     firsts = keep(lines.groupBy("s1", "s2").agg(F.min(F.struct("doc", "line")).alias("first")),
                   "firsts")
@@ -363,40 +452,43 @@ def lost_lines(texts: DataFrame, t: float = SIMILARITY) -> DataFrame:
     lists = in_batches(entries, _postings, _POSTING).repartition("word")
     lists = lists.sortWithinPartitions("word")
     found = in_batches(lists, partial(_candidates, t=t), _PAIR)
-    other = F.struct("apart", "with_doc", "with_line")
-    nearest = found.groupBy("doc", "line").agg(
-        F.min(other).alias("best"), F.max(other).alias("last"), F.max("more").alias("more"))
-    nearest = keep(nearest.select(
-        "doc", "line", "best.with_doc", "best.with_line",
-        (F.col("more") | (F.col("best") != F.col("last"))).alias("more")), "nearest")
-
+    nearest = keep(found.groupBy("doc", "line", "with_doc", "with_line").agg(
+        F.max("more").alias("more")), "nearest")
     ends = nearest.select("doc", "line").unionAll(
         nearest.select(F.col("with_doc").alias("doc"), F.col("with_line").alias("line")))
-    sets = keep(in_batches(texts, partial(_sets, table=bit_table(ends)), _SET), "sets")
+    sets = keep(_sets_of(texts, keep(ends.distinct(), "ends")), "sets")
     other = sets.select(F.col("doc").alias("with_doc"), F.col("line").alias("with_line"),
                         F.col("words").alias("other"))
     met = nearest.join(sets, ["doc", "line"]).join(other, ["with_doc", "with_line"])
     checked = keep(_any_match(met.select("doc", "line", "s1", "words", "other"), t), "checked")
     matched = checked.where("matches").select("doc", "line", "s1")
 
-    # the few that the nearest does not match, but perhaps another
+    # the few that none of these matches, but perhaps another
     open_ = checked.where(~F.col("matches")).join(
-        nearest.where("more").select("doc", "line"), ["doc", "line"])
-    asking = in_batches(sets.join(open_.select("doc", "line", "s1"), ["doc", "line", "s1"])
-                        .select("doc", "line", "s1", "words"),
-                        partial(_prefixes, rarity=rarity, t=t),
-                        _HIT.replace("doc bigint", "s1 bigint, doc bigint"))
-    asking = keep(asking, "asking")
-    if not asking.isEmpty():
+        nearest.where("more").select("doc", "line").distinct(), ["doc", "line"])
+    open_ = keep(sets.join(open_.select("doc", "line", "s1"), ["doc", "line", "s1"])
+                 .select("doc", "line", "s1", "words"), "open")
+    if not open_.isEmpty():
+        asking = keep(in_batches(open_, partial(_prefixes, rarity=rarity, t=t), _ASKING), "asking")
         table = bit_table(asking.select(F.col("word").cast("bigint").alias("doc"),
                                         F.lit(0).cast("bigint").alias("line")))
-        asked = in_batches(texts, partial(_hits, rarity=rarity, t=t, table=table), _HIT)
-        asked = asked.select("word", F.col("doc").alias("with_doc"),
-                             F.col("line").alias("with_line"), F.col("words").alias("other"))
-        n, m = F.octet_length("words"), F.octet_length("other")
-        met = asking.join(asked, "word").where(
+        asked = in_batches(texts, partial(_hits, rarity=rarity, t=t, table=table), _POSTING)
+        asked = asked.select("word", *[F.col(c).alias(f"with_{c}") for c in asked.columns[1:]])
+        n, m = F.col("size"), F.col("with_size")
+        need = F.ceil(t / (1 + t) * (n + m) - 1e-9)
+        apart = (F.bit_count(F.col("b1").bitwiseXOR(F.col("with_b1")))
+                 + F.bit_count(F.col("b2").bitwiseXOR(F.col("with_b2"))))
+        pairs = asking.join(asked, "word").where(
             (F.struct("with_doc", "with_line") < F.struct("doc", "line"))
-            & (F.least(n, m) >= t * F.greatest(n, m) - 1e-9))
+            & (F.least(n, m) >= t * F.greatest(n, m) - 1e-9)
+            & (1 + F.least(n - F.col("at"), m - F.col("with_at")) - 1 >= need)
+            & (n + m - apart >= 2 * need))
+        pairs = keep(pairs.select("doc", "line", "s1", "with_doc", "with_line").distinct(), "pairs")
+        others = _sets_of(texts, pairs.select(
+            F.col("with_doc").alias("doc"), F.col("with_line").alias("line"))).select(
+            F.col("doc").alias("with_doc"), F.col("line").alias("with_line"),
+            F.col("words").alias("other"))
+        met = pairs.join(open_, ["doc", "line", "s1"]).join(others, ["with_doc", "with_line"])
         matched = matched.unionAll(
             _any_match(met.select("doc", "line", "s1", "words", "other"), t)
             .where("matches").select("doc", "line", "s1"))
@@ -405,21 +497,19 @@ def lost_lines(texts: DataFrame, t: float = SIMILARITY) -> DataFrame:
 
 def _without(texts: pd.Series, numbers: pd.Series, digests: pd.Series) -> pd.Series:
     """Texts without the lines that are named by number and digest."""
-    hashes, out = WordHashes(), []
-    for text, some, s1s in zip(texts, numbers, digests):
-        if text is not None and some is not None:
-            told = {}
-            for number, s1 in zip(some, s1s):
-                told.setdefault(number, set()).add(s1)
-            kept = []
-            for number, line in enumerate(text.split("\n")):
-                if number in told:
-                    digest, _ = Lines([0], [line], hashes).digests()
-                    if digest and digest[0] in told[number]:
-                        continue
-                kept.append(line)
-            text = "\n".join(kept)
-        out.append(text)
+    named = {(i, int(n), int(s1)) for i, (some, s1s) in enumerate(zip(numbers, digests))
+             if some is not None for n, s1 in zip(some, s1s)}
+    lost: dict[int, set[int]] = {}
+    array = pa.array(texts, pa.string())
+    for start in range(0, len(array), 256):
+        own = Lines(pa.array(np.arange(start, min(start + 256, len(array)))),
+                    array.slice(start, 256))
+        for i, n, s1 in zip(own.doc.tolist(), own.line.tolist(), own.digests()[0].tolist()):
+            if (i, n, s1) in named:
+                lost.setdefault(i, set()).add(n)
+    out = list(texts)
+    for i, gone in lost.items():
+        out[i] = "\n".join([x for n, x in enumerate(out[i].split("\n")) if n not in gone])
     return pd.Series(out, dtype=object)
 
 
@@ -428,27 +518,21 @@ def dedup_lines(df: DataFrame, t: float = SIMILARITY) -> DataFrame:
     matches; all rows and columns stay."""
     ship(df.sparkSession)
     texts = df.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    lost = keep(lost_lines(texts, t), "lost")
-    table = bit_table(lost)
+    lost = keep(lost_lines(texts, t).withColumn("zero", F.lit(0).cast("bigint")), "lost")
+    table = bit_table(lost, "doc", "zero")
 
     @F.pandas_udf("boolean")
-    def perhaps(doc: pd.Series, lines: pd.Series) -> pd.Series:
-        counts = lines.to_numpy(dtype=np.int64)
-        starts = np.cumsum(counts) - counts
-        number = np.arange(counts.sum()) - np.repeat(starts, counts)
-        place = bit_place(np.repeat(doc.to_numpy(dtype=np.int64), counts), number)
-        hit = table[place >> 3] >> (place & 7) & 1
-        return pd.Series(np.add.reduceat(hit, starts) > 0 if len(counts) else [], dtype=bool)
+    def perhaps(doc: pd.Series) -> pd.Series:
+        place = bit_place(doc.to_numpy(dtype=np.int64), np.zeros(1, dtype=np.int64))
+        return pd.Series(table[place >> 3] >> (place & 7) & 1 == 1)
 
     without = F.pandas_udf(_without, "string")
-    n_lines = F.coalesce(F.regexp_count("text", F.lit("\n")), F.lit(0)) + 1
-    touched = F.col("doc_id").isNotNull() & perhaps(
-        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), n_lines)
-    flagged = df.withColumn("__touched", touched)
+    doc = F.col("doc_id").cast("bigint")
+    flagged = df.withColumn("__touched", doc.isNotNull() & perhaps(F.coalesce(doc, F.lit(0))))
     by_doc = lost.groupBy(F.col("doc").alias("__doc")).agg(
         F.collect_list(F.struct("line", "s1")).alias("__lost"))
     cut = flagged.where("__touched").join(
-        by_doc, F.col("doc_id").cast("bigint") == F.col("__doc"), "left")
+        by_doc, doc == F.col("__doc"), "left")
     cut = cut.withColumn("text", without(
         F.col("text").cast("string"), F.col("__lost.line"), F.col("__lost.s1")))
     return flagged.where("NOT __touched").select(*df.columns).unionAll(cut.select(*df.columns))
