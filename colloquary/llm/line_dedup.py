@@ -47,7 +47,7 @@ from colloquary.llm.common import (
 
 SIMILARITY = 0.8
 CELLS = 1 << 18
-LIMIT = 500_000  # sets remembered per task
+LIMIT = 200_000  # sets remembered per task
 ROWS, PAIRS = 200_000, 1 << 18  # postings and comparisons at a time
 SOME = 8  # candidates of an entry in a list that are verified before the others are looked up
 CHARS = 1_000_000  # bytes of text worked through at a time
