@@ -109,30 +109,35 @@ class Model:
 
 
 def maximal_segments(values: list[float]) -> list[tuple[int, int, float]]:
-    """(start, end, score) of every maximal scoring segment, in one scan.
+    """(start, end, score) of every maximal scoring segment, in one scan of linear time.
 
-    Candidates are kept with the total before and behind them.  A new one is joined with
-    the last that begins lower, if it ends higher than that one does.
+    Candidates are kept with the totals before and behind them.  A new one is joined with
+    the last that begins lower, if it ends higher than that one does.  Each knows which
+    candidate that is, so that none is passed twice; one that begins lower than all before
+    makes those final.
     """
-    held: list[tuple[int, int, float, float]] = []
+    final: list[tuple[int, int, float]] = []
+    held: list[tuple[int, int, float, float, int]] = []
     total = 0.0
     for i, v in enumerate(values):
-        before, total = total, total + v
+        low, total = total, total + v
         if v <= 0:
             continue
-        start, low = i, before
+        start, at = i, len(held) - 1
         while True:
-            j = len(held) - 1
-            # candidates that begin no lower can't be the left part of anything from here on
-            k = j
-            while k >= 0 and held[k][2] >= low:
-                k -= 1
-            if k < 0 or held[k][3] >= total:
-                held.append((start, i + 1, low, total))
+            while at >= 0 and held[at][2] >= low:
+                at = held[at][4]
+            if at < 0:
+                final += [(s, e, high - lo) for s, e, lo, high, _ in held]
+                held = [(start, i + 1, low, total, -1)]
                 break
-            start, _, low, _ = held[k]
-            del held[k:]
-    return [(s, e, high - low) for s, e, low, high in held]
+            if held[at][3] >= total:
+                held.append((start, i + 1, low, total, at))
+                break
+            start, _, low, _, before = held[at]
+            del held[at:]
+            at = before
+    return final + [(s, e, high - lo) for s, e, lo, high, _ in held]
 
 
 def decay_of(values: np.ndarray, share: np.ndarray) -> float:
