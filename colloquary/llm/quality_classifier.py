@@ -121,7 +121,7 @@ def fit_labellers(patterns: dict[int, int], rounds: int = 200
             right[side] = ((weight * p) @ (table == sign) + 9) / (spoke + 10)
         # and that good texts seldom draw a bad vote, or else any frequent fault would do as
         # what the two classes differ in
-        right = np.clip(right, [[0.001], [0.98]], 0.999)
+        right = np.clip(right, [[0.001], [0.995]], 0.999)
         odds = np.log(share / (1 - share)) + np.zeros(len(keys))
         odds += (table == 1) @ np.log(right[1] / (1 - right[0]))
         odds += (table == -1) @ np.log((1 - right[1]) / right[0])
