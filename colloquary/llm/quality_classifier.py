@@ -119,9 +119,10 @@ def fit_labellers(patterns: dict[int, int], rounds: int = 200
             spoke = (weight * p) @ (table != 0)
             # a prior of ten texts says that rules of thumb are right nine times out of ten
             right[side] = ((weight * p) @ (table == sign) + 9) / (spoke + 10)
-        # and that good texts seldom draw a bad vote, or else any frequent fault would do as
-        # what the two classes differ in
-        right = np.clip(right, [[0.001], [0.995]], 0.999)
+        # Poor texts have one fault or another, so a rule sees at most 2 in 5 of them; good
+        # ones hardly ever draw a bad vote.  Without these bounds the two classes would be
+        # one frequent fault and everything else.
+        right = np.clip(right, [[0.001], [0.999]], [[0.4], [0.9999]])
         odds = np.log(share / (1 - share)) + np.zeros(len(keys))
         odds += (table == 1) @ np.log(right[1] / (1 - right[0]))
         odds += (table == -1) @ np.log((1 - right[1]) / right[0])
