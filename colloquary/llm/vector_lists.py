@@ -12,7 +12,7 @@ Indexing covers every row: a vector goes to the list of its nearest centroid and
 boundary, to those of up to ``COPIES`` - 1 more whose distance is within ``EDGE`` times that.
 
 Searching: a query looks into the lists whose centroids are within ``REACH`` times the
-distance of its nearest one.  Lists are cut by hash into blocks of about ``BLOCK`` rows, so a
+distance of its nearest one, ``FEWEST`` at least.  Lists are cut by hash into blocks of about ``BLOCK`` rows, so a
 list that draws much of the table (copies of one vector, say) is many tasks; each block
 ranks its rows for the queries that came, and only the best k of each travel on.
 
@@ -41,7 +41,7 @@ SAMPLE = 20_000
 LIST, LISTS = 500, 4096
 BLOCK = 4096
 COPIES, EDGE = 3, 1.02
-REACH = 1.12
+REACH, FEWEST = 1.15, 10
 LINKS = 16
 LEAST = 24  # centroids a walk looks at before it may stop
 
@@ -95,8 +95,10 @@ class CentroidGraph:
         apart = self.centroids[some] - vector
         return np.sqrt(np.einsum("ij,ij->i", apart, apart))
 
-    def around(self, vector: np.ndarray, ratio: float) -> list[tuple[float, int]]:
-        """(distance, centroid) of those within ``ratio`` times the nearest, nearest first."""
+    def around(self, vector: np.ndarray, ratio: float, fewest: int = 1
+               ) -> list[tuple[float, int]]:
+        """(distance, centroid) of those within ``ratio`` times the nearest, nearest first, and
+        ``fewest`` of those that were looked at in any case."""
         seen = np.zeros(len(self.centroids), dtype=bool)
         seen[self.entries] = True
         found = list(zip(self._distances(vector, self.entries).tolist(), self.entries.tolist()))
@@ -116,11 +118,12 @@ class CentroidGraph:
                     found.append(item)
                     heappush(heap, item)
                     best = min(best, item[0])
-        return sorted(x for x in found if x[0] <= best * ratio)
+        found.sort()
+        return [x for i, x in enumerate(found) if i < fewest or x[0] <= best * ratio]
 
 
 def _placed(batches: Iterator[pa.RecordBatch], centroids: np.ndarray, ratio: float,
-            most: int | None) -> Iterator[pa.RecordBatch]:
+            fewest: int, most: int | None) -> Iterator[pa.RecordBatch]:
     graph, kind = CentroidGraph(centroids), arrow_schema(_PLACED)
     for batch in batches:
         if not batch.num_rows:
@@ -130,7 +133,7 @@ def _placed(batches: Iterator[pa.RecordBatch], centroids: np.ndarray, ratio: flo
         vectors = flat.reshape(len(ids), -1)
         lists, owner = [], []
         for i, vector in enumerate(vectors):
-            near = graph.around(vector, ratio)[:most]
+            near = graph.around(vector, ratio, fewest)[:most]
             lists += [c for _, c in near]
             owner += [i] * len(near)
         dim = vectors.shape[1]
@@ -191,8 +194,8 @@ def search(df: DataFrame, query: Column, k: int = 10, reach: float = REACH,
         fit = rows.limit(1).toPandas()
     vectors = np.stack(fit.embedding.to_numpy()) if len(fit) else np.zeros((1, 1))
     centroids = balanced_centroids(vectors, min(LISTS, max(1, n // LIST)))
-    placed = keep(in_batches(rows, partial(_placed, centroids=centroids, ratio=EDGE, most=COPIES),
-                             _PLACED), "lists")
+    placed = keep(in_batches(rows, partial(_placed, centroids=centroids, ratio=EDGE, fewest=1,
+                                           most=COPIES), _PLACED), "lists")
     sizes = placed.groupBy("list").agg(F.count(F.lit(1)).alias("n"))
     # as many rows as there are lists
     blocks = F.broadcast(keep(sizes.select("list", F.ceil(F.col("n") / BLOCK).alias("blocks")),
@@ -200,7 +203,7 @@ def search(df: DataFrame, query: Column, k: int = 10, reach: float = REACH,
     held = placed.join(blocks, "list").select(
         "list", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).alias("block"), "vec_id", "embedding")
     asked = in_batches(rows.where(query), partial(_placed, centroids=centroids, ratio=reach,
-                                                  most=None), _PLACED)
+                                                  fewest=FEWEST, most=None), _PLACED)
     asked = asked.join(blocks, "list").select(
         "list", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"),
         "vec_id", "embedding")
