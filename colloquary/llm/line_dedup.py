@@ -50,7 +50,7 @@ CELLS = 1 << 18
 LIMIT = 200_000  # sets remembered per task
 ROWS, PAIRS = 200_000, 1 << 18  # postings and comparisons at a time
 SOME = 8  # candidates of an entry in a list that are verified before the others are looked up
-CHARS = 1_000_000  # bytes of text worked through at a time
+CHARS = 400_000  # bytes of text worked through at a time
 
 _LINE = "s1 bigint, s2 bigint, doc bigint, line bigint"
 _ENTRY = "s1 bigint, s2 bigint, doc bigint, line bigint, size int, b1 bigint, b2 bigint, prefix binary"

@@ -37,7 +37,7 @@ CELLS = 1 << 18
 ROWS = 10_000
 THRESHOLD = 0.5
 EPOCHS, RATE = 6, 2.0
-LIMIT = 500_000  # words remembered per worker
+LIMIT = 100_000  # words remembered per task
 
 _DECORATION = "#*$%&|<>=~^_{}[]\\@+"
 _ENDS = (b".", b"!", b"?", b".\"", b",", b";", b":")

@@ -22,7 +22,7 @@ from itertools import islice
 import numpy as np
 import regex
 
-LIMIT = 500_000  # remembered chunks per worker
+LIMIT = 400_000  # remembered chunks per worker
 LONG = 1_000  # characters; longer chunks are rare and not remembered
 
 # Fixed values of the public word vocabulary
