@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -57,6 +58,15 @@ def in_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterato
     return df.mapInArrow(work, schema)
 
 
+def make_room() -> None:
+    """Drop what a reused worker still remembers for tokenizers, when it is to do other work."""
+    vocabularies = sys.modules.get("colloquary.llm.vocabularies")
+    if vocabularies:
+        vocabularies.byte_bpe.cache_clear()
+        vocabularies.word_bpe.cache_clear()
+    pa.default_memory_pool().release_unused()
+
+
 def rows(batches: Iterator[pa.RecordBatch], step: int = 128) -> Iterator[list[list]]:
     """Columns of Python values, ``step`` rows at a time, so that long texts don't pile up."""
     for batch in batches:

@@ -43,7 +43,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquary.llm.common import (
-    BLANKS, arrow_schema, bit_place, bit_table, in_batches, keep, ship)
+    BLANKS, arrow_schema, bit_place, bit_table, in_batches, keep, make_room,
+    ship)
 
 SIMILARITY = 0.8
 CELLS = 1 << 18
@@ -177,6 +178,7 @@ def _cell(words: np.ndarray) -> np.ndarray:
 
 def _some_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[Lines]:
     """Lines of about ``CHARS`` bytes of text at a time."""
+    make_room()
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
         part = np.cumsum(sizes) // CHARS

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquary.llm.common import arrow_schema, in_batches, rows, ship
+from colloquary.llm.common import arrow_schema, in_batches, make_room, rows, ship
 
 CELLS = 1 << 18
 ROWS = 10_000
@@ -188,6 +188,7 @@ def fit_scorer(texts: list[str], soft: list[float]) -> tuple[np.ndarray, float]:
 
 
 def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    make_room()
     counts: Counter = Counter()
     for (texts,) in rows(batches):
         counts.update(pattern_of(votes(t)) for t in texts)
@@ -248,6 +249,7 @@ class Values(dict):
 
 class Scorer:
     def __init__(self, weights: np.ndarray, bias: float):
+        make_room()
         self.value, self.again, self.bias = Values(weights), float(weights[_AGAIN]), bias
 
     def __call__(self, text: str | None) -> float:

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquary.llm.common import (
-    arrow_schema, bit_place, bit_table, in_batches, keep, rows, ship)
+    arrow_schema, bit_place, bit_table, in_batches, keep, make_room, rows, ship)
 from colloquary.llm.components import components
 
 SHINGLE, SEED, BITS, SHARED = 4, 42, 4, 4
@@ -89,6 +89,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def _printed(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    make_room()
     for docs, texts in rows(batches):
         prints = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64)
         yield pa.RecordBatch.from_arrays(
