@@ -11,8 +11,10 @@ out of reach.
 Indexing covers every row: a vector goes to the list of its nearest centroid and, near a
 boundary, to those of up to ``COPIES`` - 1 more whose distance is within ``EDGE`` times that.
 
-Searching: a query looks into the lists whose centroids are within ``REACH`` times the
-distance of its nearest one, ``FEWEST`` at least.  Lists are cut by hash into blocks of about ``BLOCK`` rows, so a
+Searching: a query looks into the lists whose centroids are within a learnt reach times the
+distance of its nearest one, ``FEWEST`` at least.  The reach is ``REACH`` or more: for
+``TRIED`` of the queries the true neighbours are found in one pass over the index, and it is
+made so wide that a share of ``TARGET`` of them lie in lists that are looked into.  Lists are cut by hash into blocks of about ``BLOCK`` rows, so a
 list that draws much of the table (copies of one vector, say) is many tasks; each block
 ranks its rows for the queries that came, and only the best k of each travel on.
 
@@ -42,10 +44,12 @@ LIST, LISTS = 500, 4096
 BLOCK = 4096
 COPIES, EDGE = 3, 1.02
 REACH, FEWEST = 1.15, 10
+TRIED, TARGET = 256, 0.96
 LINKS = 16
 LEAST = 24  # centroids a walk looks at before it may stop
 
 _PLACED = "list int, vec_id bigint, embedding array<double>"
+_TRUE = "query int, vec_id bigint, score double, list int"
 _FOUND = "query_id bigint, vec_id bigint, score double"
 
 
@@ -166,6 +170,66 @@ def _ranked(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.concat(out)
 
 
+def _true(batches: Iterator[pa.RecordBatch], ids: np.ndarray, asking: np.ndarray, k: int
+          ) -> Iterator[pa.RecordBatch]:
+    """The k nearest ids of each query among these placed rows, with all lists they are in."""
+    squares, limit = (asking ** 2).sum(axis=1), np.full(len(asking), np.inf)
+    none = (np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int32))
+    held = [none] * len(asking)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lists, own = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(2)]
+        points = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
+        sizes = (points ** 2).sum(axis=1)
+        rough = squares[:, None] - 2 * asking @ points.T + sizes[None, :]
+        slack = 1e-9 * (1 + sizes.max() + squares)
+        near = (rough <= (limit ** 2 + slack)[:, None]) & (own[None, :] != ids[:, None])
+        for q in np.flatnonzero(near.any(axis=1)).tolist():
+            some = np.flatnonzero(near[q])
+            exact = np.sqrt(((points[some] - asking[q]) ** 2).sum(axis=1))
+            score, vec, at = map(np.concatenate, zip(held[q], (exact, own[some], lists[some])))
+            order = np.lexsort((vec, score))
+            firsts = np.sort(np.unique(vec[order], return_index=True)[1])
+            if len(firsts) >= k:
+                limit[q] = score[order[firsts[k - 1]]]
+                order = order[score[order] <= limit[q] + 1e-9]
+            held[q] = score[order], vec[order], at[order]
+    columns = [np.repeat(np.arange(len(held)), [len(x[0]) for x in held])]
+    columns += [np.concatenate([none[i]] + [x[i] for x in held]) for i in (1, 0, 2)]
+    kind = arrow_schema(_TRUE)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(c, f.type) for c, f in zip(columns, kind)], schema=kind)
+
+
+def learnt_reach(placed: DataFrame, asking: pd.DataFrame, centroids: np.ndarray, k: int,
+                 least: float) -> float:
+    """``least``, or as much more as these queries need to find their neighbours."""
+    if not len(asking) or len(centroids) <= FEWEST:
+        return least
+    vectors = np.stack(asking.embedding.to_numpy())
+    found = in_batches(placed, partial(_true, ids=asking.vec_id.to_numpy(), asking=vectors, k=k),
+                       _TRUE)
+    found = found.groupBy("query", "vec_id", F.round("score", 9).alias("score")).agg(
+        F.collect_set("list").alias("lists"))
+    found = found.groupBy("query", "vec_id").agg(
+        F.min("score").alias("score"), F.min_by("lists", "score").alias("lists"))
+    best = Window.partitionBy("query").orderBy("score", "vec_id")
+    # k rows a query at most
+    found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ratios = []
+    for vector in vectors:
+        far = np.sqrt(((centroids - vector) ** 2).sum(axis=1))
+        ratio = far / max(far.min(), 1e-300)
+        ratio[np.argsort(far, kind="stable")[:FEWEST]] = 0.0  # looked into in any case
+        ratios.append(ratio)
+    needed = sorted(float(ratios[r["query"]][r["lists"]].min())
+                    for r in found.select("query", "lists").collect())
+    if not needed:
+        return least
+    return max(least, needed[int(np.ceil(TARGET * len(needed))) - 1] * (1 + 1e-9))
+
+
 def usable(df: DataFrame) -> DataFrame:
     """``vec_id, embedding`` (doubles) of the rows that take part."""
     vector = F.col("embedding").cast("array<double>")
@@ -183,7 +247,8 @@ def usable(df: DataFrame) -> DataFrame:
 def search(df: DataFrame, query: Column, k: int = 10, reach: float = REACH,
            sample: int = SAMPLE) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest found of each row that ``query``
-    selects, among all other rows of ``df`` (``vec_id, embedding``)."""
+    selects, among all other rows of ``df`` (``vec_id, embedding``).  ``reach`` is the least
+    that is looked into."""
     ship(df.sparkSession)
     rows = keep(usable(df), "vectors")
     n = rows.count()
@@ -202,6 +267,9 @@ def search(df: DataFrame, query: Column, k: int = 10, reach: float = REACH,
                               "blocks"))
     held = placed.join(blocks, "list").select(
         "list", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).alias("block"), "vec_id", "embedding")
+    tried = rows.where(query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    tried = tried.orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRIED).toPandas()
+    reach = learnt_reach(placed, tried, centroids, k, reach)
     asked = in_batches(rows.where(query), partial(_placed, centroids=centroids, ratio=reach,
                                                   fewest=FEWEST, most=None), _PLACED)
     asked = asked.join(blocks, "list").select(

@@ -80,3 +80,16 @@ def test_lists_are_balanced_and_the_graph_finds_them():
         assert near[0] == far.argmin()
         want = set(np.flatnonzero(far <= far.min() * 1.2 - 1e-12).tolist())
         assert len(want & set(near)) >= 0.9 * len(want)
+
+
+def test_recall_where_lists_are_really_pruned(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(8000, 8)).astype(np.float32))]
+    want = full_search(rows, range(0, 8000, 100))
+    for size in (80, 20, 8):  # from ten times FEWEST lists on
+        monkeypatch.setattr(vector_lists, "LIST", size)
+        got = vector_lists.search(table(spark, [(i, v, 0) for i, v in rows]),
+                                  F.col("vec_id") % 100 == 0, sample=1000).collect()
+        hits = sum(len({i for _, i in near} & {r.vec_id for r in got if r.query_id == q})
+                   for q, near in want.items())
+        assert hits >= 0.9 * 10 * len(want)
