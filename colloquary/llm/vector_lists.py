@@ -1,6 +1,6 @@
 """Operator 10: approximate nearest neighbours with balanced posting lists.
 
-Fitting, on about ``SAMPLE`` vectors at most (those with the smallest hashes of their ids):
+Fitting, on about ``SAMPLE`` vectors at most (those with the smallest hashes):
 the sample is halved again and again, each time across the line between two means and at
 the median, so lists come out balanced; a list's centroid is its mean.  There is a list for
 every ``LIST`` vectors of the table, up to ``LISTS``.  Centroids are linked to their nearest
@@ -22,7 +22,8 @@ Distances are computed on the original vectors in double precision; ties go to t
 vec_id.  Vectors that are null, zero, or hold a null or a number that is not finite take no
 part, nor do rows without an id, nor vectors of another length than most have (of two
 lengths equally frequent the smaller counts).  Rows that share a vec_id are one
-neighbour, the nearest of them.
+neighbour, the nearest of them; rows equal in both are one from the start, and blocks and
+the sample are dealt by id and vector, so an id may hold much of the table.
 """
 
 from __future__ import annotations
@@ -150,21 +151,25 @@ def _placed(batches: Iterator[pa.RecordBatch], centroids: np.ndarray, ratio: flo
 
 
 def _ranked(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The best k rows of a block for each query."""
+    """The best k ids of a block for each query."""
     if not len(rows) or not len(queries):
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+    rows = rows.sort_values("vec_id", kind="stable")
     ids, points = rows.vec_id.to_numpy(), np.stack(rows.embedding.to_numpy())
+    starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])  # of the rows of each id
     asking = np.stack(queries.embedding.to_numpy())
     squares, out = (points ** 2).sum(axis=1), []
     for query, vector in zip(queries.vec_id.to_numpy(), asking):
         rough = squares - 2 * points @ vector + vector @ vector
         rough[ids == query] = np.inf
         # whatever may be among the best once rounding is taken out
-        limit = np.partition(rough, min(k, len(rough)) - 1)[min(k, len(rough)) - 1]
+        nearest, most = np.minimum.reduceat(rough, starts), min(k, len(starts))
+        limit = np.partition(nearest, most - 1)[most - 1]
         slack = 1e-9 * (1 + squares.max() + vector @ vector)
         some = np.flatnonzero((rough <= limit + slack) & np.isfinite(rough))
         exact = np.sqrt(((points[some] - vector) ** 2).sum(axis=1))
-        best = np.lexsort((ids[some], exact))[:k]
+        best = np.lexsort((ids[some], exact))
+        best = best[np.sort(np.unique(ids[some][best], return_index=True)[1])[:k]]
         out.append(pd.DataFrame({"query_id": query, "vec_id": ids[some][best],
                                  "score": exact[best]}))
     return pd.concat(out)
@@ -250,11 +255,11 @@ def search(df: DataFrame, query: Column, k: int = 10, reach: float = REACH,
     selects, among all other rows of ``df`` (``vec_id, embedding``).  ``reach`` is the least
     that is looked into."""
     ship(df.sparkSession)
-    rows = keep(usable(df), "vectors")
+    rows = keep(usable(df).distinct(), "vectors")
     n = rows.count()
     part = int(min(1.0, sample / max(1, n)) * (1 << 32))
-    chosen = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 32)) < part)
-    fit = chosen.orderBy("vec_id").toPandas()  # about ``sample`` rows at most
+    chosen = rows.where(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(1 << 32)) < part)
+    fit = chosen.orderBy("vec_id", "embedding").toPandas()  # about ``sample`` rows at most
     if not len(fit):  # no rows, or too few to be chosen from
         fit = rows.limit(1).toPandas()
     vectors = np.stack(fit.embedding.to_numpy()) if len(fit) else np.zeros((1, 1))
@@ -266,7 +271,8 @@ def search(df: DataFrame, query: Column, k: int = 10, reach: float = REACH,
     blocks = F.broadcast(keep(sizes.select("list", F.ceil(F.col("n") / BLOCK).alias("blocks")),
                               "blocks"))
     held = placed.join(blocks, "list").select(
-        "list", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).alias("block"), "vec_id", "embedding")
+        "list", F.pmod(F.xxhash64("vec_id", "embedding"), F.col("blocks")).alias("block"),
+        "vec_id", "embedding")
     tried = rows.where(query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     tried = tried.orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRIED).toPandas()
     reach = learnt_reach(placed, tried, centroids, k, reach)

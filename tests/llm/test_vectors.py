@@ -93,3 +93,19 @@ def test_recall_where_lists_are_really_pruned(spark, monkeypatch):
         hits = sum(len({i for _, i in near} & {r.vec_id for r in got if r.query_id == q})
                    for q, near in want.items())
         assert hits >= 0.9 * 10 * len(want)
+
+
+def test_an_id_that_many_rows_share(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 4)).astype(np.float32))]
+    near = rows[0][1]
+    many = [(1000, [x + 1e-3 * j for x in near]) for j in range(1, 40)] + [(1001, near)] * 40
+    got = vector_lists.search(table(spark, [(i, v, 0) for i, v in rows + many]),
+                              F.col("vec_id") == 0).collect()
+    nearest = {}
+    for i, v in rows[1:] + many:
+        d = float(np.sqrt(((np.array(v, np.float32).astype(float) - np.array(near)) ** 2).sum()))
+        nearest[i] = min(d, nearest.get(i, d))
+    want = sorted((d, i) for i, d in nearest.items())[:10]
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [
+        (i, pytest.approx(d, abs=1e-12)) for d, i in want]
