@@ -15,8 +15,9 @@ Searching: a query looks into the lists whose centroids are within a learnt reac
 distance of its nearest one, ``FEWEST`` at least.  The reach is ``REACH`` or more: for
 ``TRIED`` of the queries the true neighbours are found in one pass over the index, and it is
 made so wide that a share of ``TARGET`` of them lie in lists that are looked into.  Lists are cut by hash into blocks of about ``BLOCK`` rows, so a
-list that draws much of the table (copies of one vector, say) is many tasks; each block
-ranks its rows for the queries that came, and only the best k of each travel on.
+list that draws much of the table (copies of one vector, say) is many tasks, and so are the
+queries that come to a list, into blocks of about ``ASKING``; each block of rows meets each
+of queries and ranks its rows for them, and only the best k of each travel on.
 
 Distances are computed on the original vectors in double precision; ties go to the smaller
 vec_id.  Vectors that are null, zero, or hold a null or a number that is not finite take no
@@ -42,7 +43,7 @@ from colloquary.llm.common import arrow_schema, in_batches, keep, ship
 
 SAMPLE = 20_000
 LIST, LISTS = 500, 4096
-BLOCK = 4096
+BLOCK, ASKING = 4096, 4096
 COPIES, EDGE = 3, 1.02
 REACH, FEWEST = 1.15, 10
 TRIED, TARGET = 256, 0.96
@@ -266,27 +267,34 @@ def search(df: DataFrame, query: Column, k: int = 10, reach: float = REACH,
     centroids = balanced_centroids(vectors, min(LISTS, max(1, n // LIST)))
     placed = keep(in_batches(rows, partial(_placed, centroids=centroids, ratio=EDGE, fewest=1,
                                            most=COPIES), _PLACED), "lists")
-    sizes = placed.groupBy("list").agg(F.count(F.lit(1)).alias("n"))
-    # as many rows as there are lists
-    blocks = F.broadcast(keep(sizes.select("list", F.ceil(F.col("n") / BLOCK).alias("blocks")),
-                              "blocks"))
-    held = placed.join(blocks, "list").select(
-        "list", F.pmod(F.xxhash64("vec_id", "embedding"), F.col("blocks")).alias("block"),
-        "vec_id", "embedding")
     tried = rows.where(query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     tried = tried.orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRIED).toPandas()
     reach = learnt_reach(placed, tried, centroids, k, reach)
     asked = in_batches(rows.where(query), partial(_placed, centroids=centroids, ratio=reach,
                                                   fewest=FEWEST, most=None), _PLACED)
-    asked = asked.join(blocks, "list").select(
-        "list", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"),
-        "vec_id", "embedding")
+    asked = keep(asked, "asked")
+
+    def blocks(of: DataFrame, size: int, name: str) -> DataFrame:
+        return of.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / size).alias(name))
+
+    # as many rows as there are lists that queries look into
+    both = F.broadcast(keep(blocks(placed, BLOCK, "blocks").join(
+        blocks(asked, ASKING, "parts"), "list"), "blocks"))
+
+    def dealt(of: DataFrame, own: str, other: str, count: str, others: str) -> DataFrame:
+        return of.join(both, "list").select(
+            "list", F.pmod(F.xxhash64("vec_id", "embedding"), F.col(count)).alias(own),
+            F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(others) - 1)).alias(other),
+            "vec_id", "embedding")
+
+    held = dealt(placed, "block", "part", "blocks", "parts")
+    asked = dealt(asked, "part", "block", "parts", "blocks")
 
     def ranked(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         return _ranked(rows, queries, k)
 
-    found = held.groupBy("list", "block").cogroup(asked.groupBy("list", "block")).applyInPandas(
-        ranked, _FOUND)
+    found = held.groupBy("list", "block", "part").cogroup(
+        asked.groupBy("list", "block", "part")).applyInPandas(ranked, _FOUND)
     # a vector may have been found in several lists
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")

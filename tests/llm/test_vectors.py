@@ -109,3 +109,23 @@ def test_an_id_that_many_rows_share(spark):
     want = sorted((d, i) for i, d in nearest.items())[:10]
     assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [
         (i, pytest.approx(d, abs=1e-12)) for d, i in want]
+
+
+def test_queries_of_a_list_are_cut_as_well(spark, monkeypatch):
+    ranked = vector_lists._ranked
+
+    def told(rows, queries, k):
+        assert len(queries) <= 60, len(queries)
+        return ranked(rows, queries, k)
+
+    rows = vectors(300) + [(i, [0.5] * 16) for i in range(300, 600)]
+    monkeypatch.setattr(vector_lists, "_ranked", told)
+    monkeypatch.setattr(vector_lists, "ASKING", 30, raising=False)
+    monkeypatch.setattr(vector_lists, "BLOCK", 100)
+    got = vector_lists.search(table(spark, [(i, v, 0) for i, v in rows]),
+                              F.col("vec_id") % 2 == 0).collect()
+    want = full_search(rows, range(0, 600, 2))
+    assert len(got) == 10 * len(want)
+    for q, near in want.items():
+        assert [r.vec_id for r in sorted((r for r in got if r.query_id == q),
+                                         key=lambda r: r["rank"])] == [i for _, i in near]
