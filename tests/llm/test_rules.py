@@ -97,6 +97,18 @@ def test_labellers_are_estimated():
     assert np.mean(np.array(told) == truth) > 0.95
 
 
+def test_clean_texts_of_other_scripts_draw_no_bad_vote():
+    rng = random.Random(8)
+    for first, size, end in ((0x430, 32, "."), (0x905, 50, "\u0964"), (0x561, 38, "\u0589"),
+                             (0x621, 26, "\u06d4"), (0x4e00, 3000, "\u3002"), (0xe01, 46, "")):
+        known = ["".join(chr(first + rng.randrange(size)) for _ in range(rng.randint(5, 11)))
+                 for _ in range(500)]
+        text = " ".join(rng.choice(known) + end * (i % 9 == 8) for i in range(200))
+        assert min(quality_classifier.votes(text)) >= 0
+        if end:
+            assert min(quality_classifier.votes(text.replace(" ", ""))) >= 0
+
+
 def test_classifier_on_texts_it_has_not_seen(spark):
     rows = _corpus()
     df = documents(spark, [(d, t, a, b, 0) for d, t, a, b, _ in rows], clashing=True)
