@@ -62,15 +62,28 @@ def _between(value: float, good: tuple[float, float], bad_below: float, bad_abov
     return 1 if good[0] <= value <= good[1] else 0
 
 
+_UPPER = bytes(range(65, 91))
+_LETTERS = _UPPER + _UPPER.lower()
+
+
+def _letters(text: str, raw: bytes) -> tuple[int, int]:
+    """Letters and capitals of the whole text."""
+    if text.isascii():
+        return (len(raw) - len(raw.translate(None, _LETTERS)),
+                len(raw) - len(raw.translate(None, _UPPER)))
+    return sum(map(str.isalpha, text)), sum(map(str.isupper, text))
+
+
 def facts(text: str) -> dict[str, float]:
     raw = text.encode()
     words = raw.split()
-    n, letters = max(1, len(words)), max(1, sum(map(str.isalpha, text[:100_000])))
+    letters, upper = _letters(text, raw)
+    n, letters = max(1, len(words)), max(1, letters)
     counts = Counter(words)
     unparted = 0 if text.isascii() else sum(map(len, _UNPARTED.findall(text)))
     return {
         "words": len(words),
-        "upper": sum(map(str.isupper, text[:100_000])) / letters,
+        "upper": upper / letters,
         "shout": (text.count("!") + text.count("\uff01")) / n,
         "decoration": sum(map(text.count, _DECORATION)) / n,
         "top": max(counts.values(), default=0) / n,
@@ -79,7 +92,6 @@ def facts(text: str) -> dict[str, float]:
         "unparted": unparted / letters,
         "pauses": (sum(w.endswith(_ENDS) for w in words) if text.isascii()
                    else len(_PAUSES.findall(text))) / n,
-        "digits": sum(map(str.isdigit, text[:100_000])) / letters,
     }
 
 
@@ -162,7 +174,7 @@ _RUNS = [(re.compile(b"[A-Z]+"), b"A"), (re.compile(b"[a-z\x80-\xff]+"), b"a"),
 
 def cells_of(word: bytes) -> tuple[int, int]:
     """Cell of the word and cell of its shape."""
-    shape = word[:40]
+    shape = word
     for pattern, letter in _RUNS:
         shape = pattern.sub(letter, shape)
     return crc32(word.lower()) % CELLS, crc32(b"\x00" + shape) % CELLS

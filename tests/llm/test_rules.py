@@ -109,6 +109,19 @@ def test_clean_texts_of_other_scripts_draw_no_bad_vote():
             assert min(quality_classifier.votes(text.replace(" ", ""))) >= 0
 
 
+def test_all_of_a_long_text_is_looked_at():
+    calm = prose(11, 20_000, 3000)
+    assert len(calm) > 100_000
+    for a in ("", "\u00e9 "):
+        loud = quality_classifier.votes(a + calm + "\n" + calm.upper() * 2)
+        assert loud[0] == -1 and quality_classifier.votes(a + calm)[0] == 1
+        told = quality_classifier.facts(a + calm.title())
+        assert told["upper"] == (sum(map(str.isupper, a + calm.title()))
+                                 / sum(map(str.isalpha, a + calm.title())))
+    ones = [quality_classifier.cells_of(b"a1" * 20 + end)[1] for end in (b"", b"-", b"A")]
+    assert len(set(ones)) == 3
+
+
 def test_classifier_on_texts_it_has_not_seen(spark):
     rows = _corpus()
     df = documents(spark, [(d, t, a, b, 0) for d, t, a, b, _ in rows], clashing=True)
