@@ -14,11 +14,16 @@ How matches are found:
 4. Within a list, length filter (t n <= m <= n / t), positional filter (what is left
    behind the shared word must be enough for the overlap needed) and a bitmap filter (sets
    whose parities over 128 bits differ by d share (n + m - d) / 2 words at most).
+   Lists are sorted by size, so the length filter ends a scan; while screening only the
+   ``SOME`` nearest earlier ones of each entry are held.  A crowded list (above about
+   ``CROWD``, judged by a sample of documents) is cut into blocks that meet in pairs,
+   each pair in a task of its own.
 5. Verification: an entry that has earlier candidates is compared with the nearest of them
    by bitmap, word by word (by 52-bit hashes), and with ``SOME`` of each list where it is in
    doubt whether the nearest matches.  Only entries that fail that and have others are
-   looked up again and compared with all of their candidates.  So a group of thousands of near copies costs one comparison
-   each, and no pair is missed.
+   looked up again and compared with all of their candidates.  So a group of thousands of
+   near copies costs few comparisons of word sets each, though all its pairs are screened,
+   and no pair is missed.
 
 Scale: what travels are entries of some 40 bytes per prefix word; word sets are fetched
 only for lines that have candidates (a bounded bit table sorts out most others while texts
@@ -39,7 +44,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquary.llm.common import (
@@ -51,6 +56,8 @@ CELLS = 1 << 18
 LIMIT = 200_000  # sets remembered per task
 ROWS, PAIRS = 200_000, 1 << 18  # postings and comparisons at a time
 SOME = 8  # candidates of an entry in a list that are verified before the others are looked up
+HELD = 1 << 19  # pairs that passed the filters held before the nearest are picked
+CROWD, PART = 16_384, 16  # entries of a crowded list; one in so many documents is sampled
 CHARS = 400_000  # bytes of text worked through at a time
 
 _LINE = "s1 bigint, s2 bigint, doc bigint, line bigint"
@@ -269,16 +276,28 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
-    """From postings sorted by word: for each entry its nearest earlier candidates, and
+    """From postings sorted by word and size: for each entry its nearest earlier candidates, and
     whether there are more."""
     kind = arrow_schema(_PAIR)
 
     def pairs(word, doc, line, size, at, b1, b2):
         found: list[list[np.ndarray]] = []
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        total, waiting = np.zeros(len(word), dtype=np.int64), 0  # earlier ones of each entry
+
+        def nearest():
+            """The ``SOME`` nearest earlier ones of each, by entry; where entries begin."""
+            x, y, apart, spare = map(np.concatenate, zip(*found))
+            order = np.lexsort((line[y], doc[y], apart, x))
+            x, y, apart, spare = x[order], y[order], apart[order], spare[order]
+            first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+            rank = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
+            good = rank < SOME
+            found[:] = [[x[good], y[good], apart[good], spare[good]]]
 
         def screen(i, j):
             """Pairs (later, earlier, bits apart) that pass all filters."""
+            nonlocal waiting
             n, m = size[i], size[j]
             good = np.minimum(n, m) >= t * np.maximum(n, m) - 1e-9
             i, j, n, m = i[good], j[good], n[good], m[good]
@@ -292,6 +311,11 @@ def _candidates(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.Reco
             if len(i):
                 swap = (doc[i] < doc[j]) | (doc[i] == doc[j]) & (line[i] < line[j])
                 found.append([np.where(swap, j, i), np.where(swap, i, j), apart, spare])
+                total[:] += np.bincount(found[-1][0], minlength=len(total))
+                waiting += len(i)
+                if waiting > HELD:
+                    nearest()
+                    waiting = 0
 
         def flush(least):
             if held and sum(len(x[0]) for x in held) > least:
@@ -302,6 +326,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.Reco
         apart, i = 1, np.arange(len(word) - 1)
         while len(i):
             i = i[word[i] == word[i + apart]]
+            i = i[size[i] >= t * size[i + apart] - 1e-9]  # sizes grow
             held.append((i, i + apart))
             flush(PAIRS)
             apart += 1
@@ -309,18 +334,17 @@ def _candidates(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.Reco
         flush(0)
         if not found:
             return None
-        x, y, apart, spare = map(np.concatenate, zip(*found))
+        nearest()
+        [(x, y, apart, spare)] = found
         # of each later entry in each list the nearest; where the bitmaps leave it in doubt
         # whether that one matches, some more; and whether there are others
-        order = np.lexsort((line[y], doc[y], apart, x))
-        x, y, apart, spare = x[order], y[order], apart[order], spare[order]
         first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
-        many = np.diff(np.append(first, len(x)))
-        rank = np.arange(len(x)) - np.repeat(first, many)
+        held_of = np.diff(np.append(first, len(x)))
+        rank = np.arange(len(x)) - np.repeat(first, held_of)
         doubt = apart[first] + apart[first] ** 2 // 64 + 2 > spare[first]
         told = np.where(doubt, SOME, 1)
-        good = rank < np.repeat(told, many)
-        more = np.repeat(many > told, many)[good]
+        good = rank < np.repeat(told, held_of)
+        more = np.repeat(total[x[first]] > told, held_of)[good]
         x, y = x[good], y[good]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(
             [doc[x], line[x], doc[y], line[y], apart[good], more], kind)], schema=kind)
@@ -432,6 +456,44 @@ def _any_match(pairs: DataFrame, t: float) -> DataFrame:
         F.max("matches").alias("matches"))
 
 
+def _lists(texts: DataFrame, rarity: np.ndarray, t: float) -> DataFrame:
+    """Postings of the first line of each set."""
+    entries = in_batches(texts, partial(_entries, rarity=rarity, t=t), _ENTRY)
+    entries = entries.repartition("s1").sortWithinPartitions("s1", "s2", "doc", "line")
+    return in_batches(entries, _postings, _POSTING)
+
+
+def crowded_words(texts: DataFrame, rarity: np.ndarray, t: float, sets: int) -> DataFrame:
+    """``word, blocks`` of the words whose lists are to be cut, as a sample tells."""
+    part = PART if sets > PART * CROWD else 1
+    some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(part)) == 0)
+    counted = _lists(some, rarity, t).groupBy("word").agg((F.count(F.lit(1)) * part).alias("n"))
+    return counted.where(F.col("n") > CROWD).select(
+        "word", F.ceil(F.col("n") / (CROWD // 2)).alias("blocks"))
+
+
+def _in_blocks(lists: DataFrame, crowded: DataFrame) -> DataFrame:
+    """``lists`` with those of crowded words cut into lists of two blocks each.  That two of
+    the new lists may get one number only adds pairs to be screened."""
+    own = F.pmod(F.xxhash64("doc", "line"), F.col("blocks"))
+    # fewer rows than there are postings for each CROWD
+    placed = lists.join(F.broadcast(crowded), "word", "left").withColumn("own", own).withColumn(
+        "other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(None).cast("bigint")))
+                           .otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))))
+    word = F.when(F.col("blocks").isNull(), F.col("word")).otherwise(
+        F.hash("word", F.least("own", "other"), F.greatest("own", "other")))
+    return placed.select(word.alias("word"), *lists.columns[1:])
+
+
+def _few(nearest: DataFrame) -> DataFrame:
+    """The ``SOME`` nearest of each line's candidates, where blocks brought it many."""
+    own = Window.partitionBy("doc", "line")
+    ranked = nearest.withColumn(
+        "rank", F.row_number().over(own.orderBy("apart", "with_doc", "with_line"))).withColumn(
+        "more", F.col("more") | (F.count(F.lit(1)).over(own) > SOME))
+    return ranked.where(F.col("rank") <= SOME).drop("rank")
+
+
 def lost_lines(texts: DataFrame, t: float = SIMILARITY) -> DataFrame:
     """``doc, line, s1`` (part of the digest of its set) of each line that an earlier one
     matches, given ``doc_id, text``.  Lines count from 0."""
@@ -449,13 +511,18 @@ def lost_lines(texts: DataFrame, t: float = SIMILARITY) -> DataFrame:
     copies = lines.join(firsts, ["s1", "s2"]).where(
         F.struct("doc", "line") != F.col("first")).select("doc", "line", "s1")
 
-    entries = in_batches(texts, partial(_entries, rarity=rarity, t=t), _ENTRY)
-    entries = entries.repartition("s1").sortWithinPartitions("s1", "s2", "doc", "line")
-    lists = in_batches(entries, _postings, _POSTING).repartition("word")
-    lists = lists.sortWithinPartitions("word")
+    lists, sets = _lists(texts, rarity, t), firsts.count()
+    crowded = None
+    if sets > CROWD:
+        crowded = keep(crowded_words(texts, rarity, t, sets), "crowded")
+        crowded = None if crowded.isEmpty() else crowded
+    if crowded is not None:
+        lists = _in_blocks(lists, crowded)
+    lists = lists.repartition("word").sortWithinPartitions("word", "size")
     found = in_batches(lists, partial(_candidates, t=t), _PAIR)
-    nearest = keep(found.groupBy("doc", "line", "with_doc", "with_line").agg(
-        F.max("more").alias("more")), "nearest")
+    nearest = found.groupBy("doc", "line", "with_doc", "with_line").agg(
+        F.max("more").alias("more"), F.min("apart").alias("apart"))
+    nearest = keep((nearest if crowded is None else _few(nearest)).drop("apart"), "nearest")
     ends = nearest.select("doc", "line").unionAll(
         nearest.select(F.col("with_doc").alias("doc"), F.col("with_line").alias("line")))
     sets = keep(_sets_of(texts, keep(ends.distinct(), "ends")), "sets")

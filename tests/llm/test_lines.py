@@ -1,6 +1,10 @@
 """Line dedup against every pair."""
 
 import random
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 
 from colloquary.llm import line_dedup
 from tests.llm.helpers import documents, odd_rows, prose, same_rows, simple
@@ -93,3 +97,45 @@ def test_shared_words_of_one_letter(spark):
     got = line_dedup.dedup_lines(simple(spark, ["a b c d\ne", "a b c d e", "d c b a", "e e e"]))
     assert sorted(map(tuple, got.select("doc_id", "text").collect())) == [
         (0, "a b c d\ne"), (1, ""), (2, ""), (3, "")]
+
+
+def test_template_lines_are_screened_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "CROWD", 64)
+    rng, rows = random.Random(12), []
+    for doc in range(500):
+        line = [f"t{i}" for i in range(20 + doc % 3)]
+        for i in rng.sample(range(20), 3):
+            line[i] = f"own{doc}x{i}" if doc % 4 else f"own{rng.randint(0, 40)}"
+        rows.append((doc, " ".join(line) + "\nrest of " + str(doc)))
+    texts = documents(spark, [(d, x, "en", "s", 0) for d, x in rows]).select("doc_id", "text")
+    rarity = np.arange(line_dedup.CELLS, dtype=np.uint64)
+    lists = line_dedup._lists(texts, rarity, 0.8)
+    crowded = line_dedup.crowded_words(texts, rarity, 0.8, 1000).cache()
+    assert max(r["count"] for r in lists.groupBy("word").count().collect()) > 128
+    cut = line_dedup._in_blocks(lists, crowded)
+    assert max(r["count"] for r in cut.groupBy("word").count().collect()) <= 128
+    check(spark, rows)
+
+
+def test_screening_holds_few_pairs():
+    n, rng = 5000, np.random.default_rng(2)
+    columns = [np.full(n, 7), np.arange(n), np.zeros(n), np.full(n, 20), np.zeros(n),
+               rng.integers(0, 4, n), np.zeros(n)]
+    kind = line_dedup.arrow_schema(line_dedup._POSTING)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(c.astype(np.int64), pa.int64()).cast(f.type) for c, f in zip(columns, kind)],
+        schema=kind)
+    tracemalloc.start()
+    [out] = line_dedup._candidates(iter([batch]), 0.8)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    near = {}
+    for i, bits in enumerate(columns[5].tolist()):
+        best = min(range(i), key=lambda j: (bin(bits ^ int(columns[5][j])).count("1"), j),
+                   default=None) if i < 300 else near.get(i)
+        near[i] = best
+    first = {}
+    for doc, other in zip(out.column(0).to_pylist(), out.column(2).to_pylist()):
+        first.setdefault(doc, other)
+    assert all(first.get(i) == near[i] for i in range(300))
+    assert peak < 150, peak
