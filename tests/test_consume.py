@@ -37,6 +37,16 @@ def test_turns_without_or_below_zero(spark):
     assert sum(len(r.messages) for r in consume.nested_export(df, part_turns=10).collect()) == 600
 
 
+def test_equal_turns_without_a_number_are_dealt_as_well(spark):
+    df = messages(spark, *[(1, None, None, None)] * 500, *[(2, None, "a", "+1")] * 3, (1, 4, "a", "x"))
+    parts = consume.nested_export(df, part_turns=20).collect()
+    sizes = [len(p.messages) for p in parts if p.conv_id == 1 and p.part is None]
+    assert sum(sizes) == 500 and max(sizes) <= 40
+    assert sum(len(p.messages) for p in parts) == 504
+    bodies = [p.body for p in consume.transcript(df, 20).collect()]
+    assert sum(b.count("\n") + 1 for b in bodies) == 504
+
+
 def test_nested_forms_agree(spark, tmp_path):
     array = consume.nested_export(_talk(spark))
     assert [m.seq for m in array.where("conv_id = 1").first().messages] == [0, 1, 2]
