@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquary.llm import (
-    line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, token_counts,
+    language_model, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, token_counts,
     token_files, toxicity, vector_lists)
 from colloquary.llm.common import table
 from colloquary.llm.vocabularies import path_of
@@ -80,6 +80,10 @@ def op10_vector_lists(spark: SparkSession, sf: str) -> DataFrame:
     return vector_lists.search(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_language_model(spark: SparkSession, sf: str) -> DataFrame:
+    return language_model.learn_and_score(table(spark, sf, "documents"))[1]
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
