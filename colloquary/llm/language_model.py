@@ -47,8 +47,8 @@ from pyspark.sql import functions as F
 from colloquary.llm.common import arrow_schema, in_batches, keep, make_room
 from colloquary.llm.elias_fano import ABSENT, Trie, restore
 
-BLOCK = 2_000_000
-SHARD = 2_500_000  # tokens
+BLOCK = 1_000_000
+SHARD = 1_500_000  # tokens
 SHARE = 10_000
 SLICE = 4_000_000  # bytes of a text cut at a time
 
