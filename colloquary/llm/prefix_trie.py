@@ -44,7 +44,7 @@ STRETCH = 10_000  # turns of a conversation hashed together
 PART = 20_000
 FEW = 2_000
 IDS = 10_000  # joined to one string
-SPLIT = HotSplit(min_rows=5_000)
+SPLIT = HotSplit(min_rows=250)
 
 KEY = ["depth", "k1", "k2"]
 

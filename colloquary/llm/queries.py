@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquary.llm import (
     language_model, line_dedup, mixing, packing, prefix_trie, quality_classifier, quality_rules, simhash, token_counts,
-    token_files, toxicity, vector_lists)
+    token_files, toxicity, vector_lists, whitening)
 from colloquary.llm.common import table
 from colloquary.llm.vocabularies import path_of
 from colloquary.session import shared_folder
@@ -84,6 +84,10 @@ def op11_language_model(spark: SparkSession, sf: str) -> DataFrame:
     return language_model.learn_and_score(table(spark, sf, "documents"))[1]
 
 
+def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf, "conversations"))
 
@@ -105,10 +109,10 @@ names AS (
     SELECT conv_id, conv_id - conv_id % 100 AS base,
            xor(4294967295::BIGINT, list_reduce(
                list_prepend(4294967295::BIGINT, list_transform(
-                   string_split(conv_id::VARCHAR, ''), x -> ascii(x)::BIGINT)),
-               (c, b) -> list_reduce(
+                   string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+               lambda c, b: list_reduce(
                    list_prepend(xor(c, b), range(8)),
-                   (r, i) -> xor(r >> 1, CASE WHEN r & 1 = 1 THEN 3988292384 ELSE 0 END))))
+                   lambda r, i: xor(r >> 1, CASE WHEN r & 1 = 1 THEN 3988292384 ELSE 0 END))))
                % 6 AS h
     FROM (SELECT DISTINCT conv_id FROM said)),
 parts AS (
