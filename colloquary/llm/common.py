@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import sys
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -25,15 +26,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-BATCH_ROWS = "2000"
+BATCH_ROWS, BATCH_BYTES = "2000", str(8 << 20)
 
 
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it, and hand them
-    batches of fewer rows than Spark's usual 10,000: texts are long."""
+    batches of fewer rows and bytes than Spark's usual 10,000 and 64 MB or more: texts are
+    long."""
     size = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(size, "10000") == "10000":
         spark.conf.set(size, BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
@@ -58,13 +61,25 @@ def in_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterato
     return df.mapInArrow(work, schema)
 
 
-def make_room() -> None:
-    """Drop what a reused worker still remembers for tokenizers, when it is to do other work."""
-    vocabularies = sys.modules.get("colloquary.llm.vocabularies")
-    if vocabularies:
-        vocabularies.byte_bpe.cache_clear()
-        vocabularies.word_bpe.cache_clear()
+def give_back() -> None:
+    """Return freed memory to the machine; workers are reused, and allocators keep it."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim:
+        trim(0)
+
+
+# what modules remember from one task to the next
+remembered: list[Callable[[], None]] = []
+
+
+def make_room(but: Callable | None = None) -> None:
+    """Drop what a reused worker still remembers, ``but`` for one, when it is to do other work."""
+    for forget in remembered:
+        if forget != but:
+            forget()
+    give_back()
 
 
 def rows(batches: Iterator[pa.RecordBatch], step: int = 128) -> Iterator[list[list]]:

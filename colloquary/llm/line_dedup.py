@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquary.llm.common import (
-    BLANKS, arrow_schema, bit_place, bit_table, in_batches, keep, make_room,
+    BLANKS, arrow_schema, bit_place, bit_table, in_batches, keep, make_room, remembered,
     ship)
 
 SIMILARITY = 0.8
@@ -87,6 +87,7 @@ def _mixed(x: np.ndarray, factor: int) -> np.ndarray:
 
 
 _POWERS: dict[int, np.ndarray] = {}
+remembered.append(_POWERS.clear)
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:

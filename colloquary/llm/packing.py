@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquary.llm.common import arrow_schema, in_batches, rows
+from colloquary.llm.common import arrow_schema, in_batches, make_room, rows
 from colloquary.llm.vocabularies import byte_bpe
 
 TIERS = (256, 512, 1024, 2048)
@@ -103,6 +103,7 @@ def step_groups(costs: list[int], tokens: list[int], step_tokens: int = STEP_TOK
 
 def _packed(batches: Iterator[pa.RecordBatch], path: str, tiers: tuple[int, ...], end_id: int,
             size: int) -> Iterator[pa.RecordBatch]:
+    make_room(but=byte_bpe.cache_clear)
     kind, tokenizer = arrow_schema(SCHEMA), byte_bpe(path)
     # sequences are numbered within the partition
     base = TaskContext.get().partitionId() << 40

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquary.llm.common import arrow_schema, in_batches, rows
+from colloquary.llm.common import arrow_schema, in_batches, remembered, rows
 
 SPACE = "▁"  # fixed value: how the vocabulary writes a blank
 WORDS = 500_000  # remembered per worker, and as many pairs
@@ -168,6 +168,9 @@ def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
+remembered.append(counter.cache_clear)
+
+
 def _count(batches: Iterator[pa.RecordBatch], path: str, schema: str) -> Iterator[pa.RecordBatch]:
     count, kind = counter(path), arrow_schema(schema)
 

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from colloquary.llm.common import arrow_schema, in_batches, keep, rows
+from colloquary.llm.common import arrow_schema, in_batches, keep, make_room, rows
 from colloquary.llm.vocabularies import word_bpe
 
 BITS = 18
@@ -150,6 +150,7 @@ def decode(payload: bytes, table: Table) -> np.ndarray:
 
 def _tokenised(batches: Iterator[pa.RecordBatch], path: str, end_id: int
                ) -> Iterator[pa.RecordBatch]:
+    make_room(but=word_bpe.cache_clear)
     tokenizer, end = word_bpe(path), np.array([end_id], dtype="<u2").tobytes()
     for ids, texts in rows(batches):
         raw = [r + end for r in tokenizer.encode(texts)]

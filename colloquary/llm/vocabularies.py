@@ -22,6 +22,8 @@ from itertools import islice
 import numpy as np
 import regex
 
+from colloquary.llm.common import remembered
+
 LIMIT = 400_000  # remembered chunks per worker
 LONG = 1_000  # characters; longer chunks are rare and not remembered
 
@@ -153,7 +155,12 @@ class WordBpe(Remembered):
         self.ends = np.array([b.endswith(b" ") and b != b" " for b in order])
 
     def cut(self, text: str) -> list[bytes]:
-        return text.encode().split()
+        raw = text.encode()
+        # Letters are lower-cased anyway; done here, fewer chunks are new.  Not so where there
+        # may be special strings, or marks (U+0300 to U+036F begin with these bytes), which
+        # join some letters of one case only.
+        as_it_is = b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw
+        return (raw if as_it_is else raw.lower()).split()
 
     def encode_new(self, chunks: list[str]) -> list[bytes]:
         # upper and lower case are told apart by letter, not by what stands around them
@@ -177,3 +184,6 @@ def byte_bpe(path: str) -> ByteBpe:
 @cache
 def word_bpe(path: str) -> WordBpe:
     return WordBpe(path)
+
+
+remembered += [byte_bpe.cache_clear, word_bpe.cache_clear]

@@ -10,7 +10,7 @@ import sentencepiece
 from tokenizers import Tokenizer, models
 
 from colloquary.llm import packing, token_counts, token_files
-from colloquary.llm.vocabularies import ByteBpe, WordBpe, path_of
+from colloquary.llm.vocabularies import ByteBpe, WordBpe, path_of, word_bpe
 from tests.llm.helpers import ODD_TEXTS, documents, odd_rows, prose
 
 PIECES, BYTES, WORDS = (path_of(n) for n in (
@@ -192,3 +192,14 @@ def test_empty_token_file(spark, tmp_path):
     folder = str(tmp_path / "f")
     token_files.write_token_file(documents(spark, []), folder, WORDS, 49_408)
     assert token_files.read_token_file(spark, folder).count() == 0
+
+
+def test_letters_are_lowered_as_the_library_does():
+    """Marks join some letters of one case only; special strings are in lower case."""
+    path = path_of("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["J̌ Å ÀÉ Straße İI", "THE The the, THE.", "<|STARTOFTEXT|> A",
+             "x<|endoftext|>Y", "ΑΣ ǅ K", "Don'T I'LL"]
+    for text, ids in zip(texts, word_bpe(path).encode(texts)):
+        assert np.frombuffer(ids, "<u2").tolist() == library.encode(
+            text, add_special_tokens=False).ids
