@@ -44,7 +44,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquary.llm.common import arrow_schema, in_batches, keep, make_room
+from colloquary.llm.common import arrow_schema, give_back, in_batches, keep, make_room
 from colloquary.llm.elias_fano import ABSENT, Trie, restore
 
 BLOCK = 1_000_000
@@ -293,6 +293,7 @@ _OUT = "kind tinyint, name string, shard int, number bigint, data binary"
 def _learnt(cells: list[tuple[str, bytes]], shard: int, given: dict[int, int]
             ) -> Iterator[dict]:
     """Build one shard's trie and answer its blocks."""
+    give_back()
     read = [_unpack(data) for _, data in cells]
     lists = [(c, w.astype(np.uint64) | h.astype(np.uint64) << np.uint64(32))
              for c, _, w, h, _, _ in read]
@@ -389,6 +390,7 @@ _SCORES = ("doc_id bigint, row bigint, trains boolean, n_tokens bigint, n_known
 def _told(data: bytes, answers: list[bytes], shards: int, busy: np.ndarray, totals: Totals
           ) -> pa.RecordBatch:
     """Scores of the pieces in a block."""
+    give_back()
     block = _Read.of(data)
     pairs = _pairs(block, shards, busy)
     share = np.empty(len(pairs.words), dtype=np.uint16)
