@@ -35,6 +35,9 @@ SEARCH = ["the", "que", "der"]
 PHRASES = ["of-the", "de la", "The."]
 PART = 3  # small, so that the fixtures show discussions of several parts
 SALT = "not-a-secret-only-for-checks"
+_ROOM = """CASE WHEN user_id % 7 = 0 THEN NULL WHEN user_id % 7 = 1 THEN '007'
+  WHEN user_id % 7 = 2 THEN '7' WHEN user_id % 7 = 3 THEN '1e3'
+  WHEN user_id % 7 = 4 THEN '2024-01-01' WHEN user_id % 7 = 5 THEN 'a b/c=%d:' ELSE 'true' END"""
 LINE = r"^<(\w+)> (.*)$"
 RULES = dict(zip(["emails", "addresses", "tokens", "numbers"], DEFAULT_RULES))
 # low enough that every key of the fixtures is cut into pieces
@@ -180,6 +183,41 @@ def q_remove_from_archive(spark, sf):
     return spark.read.schema(events.schema).parquet(path)
 
 
+def q_remove_from_archive_text_partitions(spark, sf):
+    """rooms whose names look like numbers, or are missing"""
+    path = shared_folder(spark, "archive")
+    events = _events(spark, sf).withColumn("room", F.expr(_ROOM))
+    archive_store.write_archive(events, path, "room")
+    asked = events.where("event_type = 'purchase' AND user_id % 5 = 0").select("user_id")
+    archive_store.remove_from_archive(spark, path, "room", asked, "user_id")
+    return archive_store.read_archive(spark, path, "room").select(*events.columns)
+
+
+def q_capture_live(spark, sf):
+    """every event delivered twice, then the whole stream again from its beginning"""
+    path = shared_folder(spark, "captured")
+    stream = _event_stream(spark, sf).withColumn("day", F.col("ts").cast("date"))
+    for i in range(2):
+        live.capture_live(stream.unionByName(stream), path, "day", ["event_id"], _CONTENT,
+                          shared_folder(spark, "checkpoint"), f"run{i}")
+    return archive_store.read_archive(spark, path, "day", stream.schema)
+
+
+def _moments(events: DataFrame) -> DataFrame:
+    return events.where("event_type = 'purchase'").select(
+        "user_id", (F.col("ts") + F.expr("interval 90 minutes")).alias("moment"))
+
+
+def q_states_at(spark, sf):
+    events = _events(spark, sf)
+    return archive.states_at(events, _moments(events), names=EVENTS)
+
+
+def q_states_at_busy_keys(spark, sf):
+    events = _events(spark, sf)
+    return archive.states_at(events, _moments(events), names=EVENTS, split=CUT_ALL)
+
+
 def q_as_of(spark, sf):
     return archive.as_of(_events(spark, sf), "2024-01-15 12:00:00", EVENTS)
 
@@ -423,6 +461,20 @@ def q_stream_sessions(spark, sf):
     return _run_live(spark, stream, "sessions")
 
 
+def q_stream_sessions_busy_rooms(spark, sf):
+    folder = shared_folder(spark, "rooms")
+    live.run_sessions(_event_stream(spark, sf), "user_id", "ts", "6 hours", "1 hour",
+                      f"{folder}/rows", f"{folder}/checkpoint")
+    return spark.read.schema("user_id bigint, session_start timestamp_ntz, "
+                             "session_end timestamp_ntz, n bigint").parquet(f"{folder}/rows")
+
+
+def q_stream_replies(spark, sf):
+    replies = live.stream_replies(_event_stream(spark, sf), "user_id", "ts", "event_type",
+                                  "event_id", "click", "purchase", "12 hours", "1 hour")
+    return _run_live(spark, replies, "replies")
+
+
 # --- composed ----------------------------------------------------------------
 
 def q_worth_reading(spark, sf):
@@ -458,6 +510,14 @@ _VERSIONS = """
     WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
   WHERE rn = 1 OR before IS DISTINCT FROM event_type"""
 
+_STATES_AT = """
+  WITH last AS (SELECT user_id AS who, ts AS at, max(event_id) AS id FROM events GROUP BY ALL),
+  asked AS (SELECT user_id, ts + INTERVAL 90 MINUTE AS moment FROM events
+            WHERE event_type = 'purchase')
+  SELECT a.user_id, a.moment, e.event_id, e.ts, e.event_type, e.value, e.props
+  FROM asked a ASOF LEFT JOIN last l ON a.user_id = l.who AND a.moment >= l.at
+  LEFT JOIN events e ON e.event_id = l.id"""
+
 _SESSIONS = """numbered AS (
   SELECT * EXCLUDE (fresh),
          (sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id
@@ -582,6 +642,12 @@ def _own_sql() -> dict[str, str]:
         "remove_from_archive": """
           SELECT *, ts::date AS day FROM events WHERE user_id NOT IN (
             SELECT user_id FROM events WHERE event_type = 'purchase' AND user_id % 5 = 0)""",
+        "remove_from_archive_text_partitions": f"""
+          SELECT *, {_ROOM} AS room FROM events WHERE user_id NOT IN (
+            SELECT user_id FROM events WHERE event_type = 'purchase' AND user_id % 5 = 0)""",
+        "capture_live": "SELECT *, ts::date AS day FROM events",
+        "states_at": _STATES_AT,
+        "states_at_busy_keys": _STATES_AT,
         "as_of": _rank("2024-01-15 12:00:00"),
         "nearest_capture": """
           SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id
@@ -709,6 +775,24 @@ def _own_sql() -> dict[str, str]:
         "stream_sessions": f"""
           WITH {_SESSION_WINDOWS} SELECT * FROM sessions
           WHERE session_end <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+        "stream_sessions_busy_rooms": f"""
+          WITH {_SESSION_WINDOWS} SELECT * FROM sessions WHERE session_end <= (
+            SELECT max(first) - INTERVAL 6 HOUR FROM (
+              SELECT min(ts) AS first FROM events
+              GROUP BY user_id, time_bucket(INTERVAL 6 HOUR, ts)
+              HAVING any_value(time_bucket(INTERVAL 6 HOUR, ts)) + INTERVAL 6 HOUR
+                     <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)))""",
+        "stream_replies": """
+          SELECT q.user_id, q.event_id AS question, q.ts AS asked_at,
+                 a.answer.id AS answer, a.answer.at AS answered_at
+          FROM events q LEFT JOIN (
+            SELECT q.event_id AS question, min({'at': a.ts, 'id': a.event_id}) AS answer
+            FROM events q JOIN events a ON a.user_id = q.user_id AND a.ts > q.ts
+                 AND a.ts <= q.ts + INTERVAL 12 HOUR
+            WHERE q.event_type = 'click' AND a.event_type = 'purchase'
+            GROUP BY q.event_id) a ON a.question = q.event_id
+          WHERE q.event_type = 'click'
+            AND q.ts + INTERVAL 12 HOUR < (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
         "worth_reading": f"""
           WITH {_SCORED},
           best AS (SELECT conv_id, score FROM scored ORDER BY score DESC, conv_id LIMIT 10),

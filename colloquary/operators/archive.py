@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquary.functions.masking import as_json, digest
-from colloquary.plans.skew import HotSplit, cut_hot_keys, with_previous
+from colloquary.plans.skew import (
+    HOT, PIECE, HotSplit, by_piece, cut_hot_keys, in_piece, null_safe_join, with_previous)
 
 
 @dataclass(frozen=True)
@@ -75,6 +76,41 @@ def as_of(captures: DataFrame, at: str, names: Names = Names()) -> DataFrame:
             .select("__row.*"))
 
 
+def states_at(captures: DataFrame, moments: DataFrame, moment: str = "moment",
+              names: Names = Names(), split: HotSplit = HotSplit()) -> DataFrame:
+    """``as_of`` for many moments at once: each row of ``moments`` (key and moment) with the
+    other columns of its key's latest capture not after it; nulls where there is none.
+
+    Captures and moments are put in one order per key, and the last capture is carried
+    forward, so both sides are shuffled once, by key and piece, and a key with many of both
+    costs their sum, not their product.  Of two captures of one time the larger id counts.
+    A moment that is null, or asked of a key that is null, has no capture before it unless
+    captures have that null key; repeated moments are answered each.
+    """
+    keys, order = [names.key], ["__at", "__asked", "__id"]
+    state = [c for c in captures.columns if c != names.key]
+    known = captures.where(F.col(names.captured_at).isNotNull()).select(
+        names.key, F.col(names.captured_at).cast("timestamp_ntz").alias("__at"),
+        F.lit(False).alias("__asked"), F.col(names.capture_id).cast("bigint").alias("__id"),
+        F.struct(*state).alias("__state"))
+    asked = moments.select(
+        F.col(names.key), F.col(moment).cast("timestamp_ntz").alias("__at"),
+        F.lit(True).alias("__asked"), F.lit(None).cast("bigint").alias("__id"),
+        F.lit(None).cast(known.schema["__state"].dataType).alias("__state"))
+    cut = cut_hot_keys(known.unionByName(asked), keys, order, split)
+    # what a piece of a hot key starts from: the last capture in all pieces before it
+    last = cut.where(HOT).groupBy(*keys, PIECE).agg(F.max_by("__state", F.when(
+        ~F.col("__asked"), F.struct(*order))).alias("__last"))
+    carried = last.select(*keys, PIECE, F.last("__last", ignorenulls=True).over(
+        by_piece(keys).rowsBetween(Window.unboundedPreceding, -1)).alias("__carry"))
+    # no more pieces than stated in plans.skew
+    rows = null_safe_join(cut, F.broadcast(carried), [*keys, PIECE], "left")
+    until = in_piece(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = F.coalesce(F.last("__state", ignorenulls=True).over(until), F.col("__carry"))
+    return (rows.withColumn("__held", held).where("__asked")
+            .select(names.key, F.col("__at").alias(moment), "__held.*"))
+
+
 def nearest_capture(captures: DataFrame, at: str, names: Names = Names()) -> DataFrame:
     """Id of the capture per key closest to ``at``, before or after; ties go to the smaller id.
 

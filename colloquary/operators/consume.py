@@ -17,27 +17,30 @@ def _parts(messages: DataFrame, part_turns: int, carry: list[str] = []
     """Group by discussion and block of ``part_turns`` numbers of ``seq``.
 
     A discussion may hold a third of everything; its blocks do not, as ``seq`` is
-    unique in it.  Turns without a number have no block: they are dealt by hash to as many
-    rows of null ``part`` as they would fill twice over.  Equal ones are counted first
-    and numbered, so that they are dealt as others are.
+    unique in it.  Turns without a number have no block: those of a discussion are dealt by
+    hash to as many rows of null ``part`` as they would fill twice over.  Equal ones are
+    counted first and numbered, so that they are dealt as others are.
     """
     part = F.floor(F.col("seq") / part_turns).alias("part")
-    lost = messages.where(F.col("seq").isNull()).agg(F.count(F.lit(1))).scalar()
     kept = ["conv_id", "author", "text", *carry]
     equal = messages.where(F.col("seq").isNull()).groupBy(*kept).agg(
         F.count(F.lit(1)).alias("__n"))
+    # one row per discussion with such turns
+    lost = equal.groupBy(F.col("conv_id").alias("__conv")).agg(F.sum("__n").alias("__lost"))
+    equal = equal.join(lost, F.col("conv_id").eqNullSafe(F.col("__conv"))).drop("__conv")
     piece = F.floor((F.col("__n") - 1) / part_turns)
     equal = equal.withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("bigint"), piece)))
     least = F.least(F.lit(part_turns).cast("bigint"), F.col("__n") - F.col("__piece") * part_turns)
     equal = equal.withColumn("__turn", F.explode(F.sequence(F.lit(1).cast("bigint"), least)))
     no = F.lit(None).cast("bigint")
     messages = messages.where(F.col("seq").isNotNull()).select(
-        *kept, "seq", no.alias("__piece"), no.alias("__turn")).unionByName(equal.select(
+        *kept, "seq", no.alias("__piece"), no.alias("__turn"), no.alias("__lost")
+    ).unionByName(equal.select(
             *kept, F.lit(None).cast(messages.schema["seq"].dataType).alias("seq"),
-            "__piece", "__turn"))
+            "__piece", "__turn", "__lost"))
     deal = F.when(F.col("seq").isNull(), F.pmod(
         F.xxhash64("author", "text", "__piece", "__turn"),
-        F.ceil(2 * lost / part_turns) + 1)).alias("__deal")
+        F.ceil(2 * F.col("__lost") / part_turns) + 1)).alias("__deal")
     said = F.sort_array(F.collect_list(F.struct("seq", "author", "text")))
     return messages.groupBy("conv_id", part, deal, *carry), said, ["conv_id", "part", *carry]
 

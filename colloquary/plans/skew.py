@@ -25,6 +25,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
 PIECE = "__piece"
@@ -166,7 +167,12 @@ def _listed(df: DataFrame, names: DataFrame, key: str, how: str) -> DataFrame:
     shuffle, which is what lets adaptive execution split a hot key.
     """
     kind = df.schema[key].dataType.simpleString()
-    named = names.select(F.col(key).try_cast(kind).alias(key)).where(F.col(key).isNotNull())
+    given, named = F.col(key), F.col(key).try_cast(kind)
+    source = names.schema[key].dataType
+    if source not in (df.schema[key].dataType, T.StringType()):
+        # 1.5 is nobody's number, though it can be made 1
+        named = F.when(named.try_cast(source.simpleString()) == given, named)
+    named = names.select(named.alias(key)).where(F.col(key).isNotNull())
     return df.join(named, key, how).select(*df.columns)
 
 

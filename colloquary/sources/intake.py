@@ -27,8 +27,8 @@ def to_messages(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """Project a table onto the messages shape.
 
     ``mapping`` goes from message column to source column; what it leaves out
-    becomes a null of the right type.  A discussion's id may be text: a number stays that
-    number, anything else becomes its hash.  A time may be a number of seconds or
+    becomes a null of the right type.  A discussion's id may be text: a number as it is usually
+    written stays that number, anything else ("007", " 7") becomes its hash.  A time may be a number of seconds or
     milliseconds since 1970 (UTC, which the session's zone is).
     """
     unknown = set(mapping) - set(MESSAGES.names)
@@ -39,12 +39,15 @@ def to_messages(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
         source = mapping.get(field.name)
         kind = df.schema[source].dataType if source else None
         if field.name == "conv_id" and isinstance(kind, T.StringType):
-            return F.coalesce(F.col(source).try_cast("bigint"), F.xxhash64(source)).alias("conv_id")
+            number = F.col(source).try_cast("bigint")
+            same = number.cast("string") == F.col(source)
+            return F.when(F.col(source).isNotNull(), F.when(same, number).otherwise(
+                F.xxhash64(source))).alias("conv_id")
         if field.name == "ts" and isinstance(kind, T.NumericType):
             # no conversation was held before 1973 in milliseconds or after 5138 in seconds
             seconds = F.when(F.abs(F.col(source)) >= 10**11, F.col(source) / 1000.0).otherwise(
                 F.col(source))
-            return F.timestamp_micros((seconds * 1_000_000).cast("bigint")).cast(
+            return F.timestamp_micros((seconds * 1_000_000).try_cast("bigint")).cast(
                 "timestamp_ntz").alias("ts")
         if source == field.name and kind == field.dataType:
             return F.col(source)

@@ -1,3 +1,6 @@
+import datetime as dt
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,6 +8,7 @@ from colloquary.operators import archive
 from colloquary.operators.respect import honour_removals
 from colloquary.plans.capture_run import capture_run
 from colloquary.plans.skew import HotSplit
+from colloquary.schemas import CAPTURES
 from colloquary.sources import archive_store
 from tests.helpers import at, captures, rows
 
@@ -201,3 +205,26 @@ def test_empty_input(spark):
     assert archive.versions(empty, ["state"]).count() == 0
     assert archive.snapshot_diff(empty, empty, "key", ["state"]).count() == 0
     assert archive.gap_report(empty).count() == 0
+
+
+@pytest.mark.parametrize("split", [HotSplit(), HotSplit(share=1000, min_rows=3)])
+def test_states_at_many_moments(spark, split):
+    """Equal to one ``as_of`` per moment, ties, nulls and repeats included."""
+    start = dt.datetime(2024, 1, 1)
+    rng = random.Random(3)
+    captures = [(rng.choice([1, 1, 1, 2, 3, None]), i, rng.choice([None, *[
+        start + dt.timedelta(hours=rng.randrange(40))] * 9]), f"s{i % 4}", None)
+        for i in range(300)]
+    moments = [(rng.choice([1, 1, 2, 3, 4, None]), start + dt.timedelta(hours=rng.randrange(-3, 45)))
+               for _ in range(120)] + [(1, None), (1, start), (1, start)]
+    df = spark.createDataFrame(captures, CAPTURES)
+    found = archive.states_at(df, spark.createDataFrame(
+        moments, "key long, moment timestamp_ntz"), split=split)
+    assert found.columns == ["key", "moment", "capture_id", "captured_at", "state", "value"]
+    want = []
+    for key, moment in moments:
+        before = [(c[2], c[1], c) for c in captures
+                  if c[0] == key and c[2] and moment and c[2] <= moment]
+        best = max(before)[2][1:] if before else (None,) * 4
+        want.append((key, moment, *best))
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)

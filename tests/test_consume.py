@@ -103,3 +103,15 @@ def test_empty_input(spark):
     assert consume.transcript(empty).count() == 0
     assert consume.nested_export(empty).count() == 0
     assert consume.keyword_search(empty, ["a"], False).count() == 0
+
+
+def test_turns_without_a_number_are_dealt_per_discussion(spark):
+    said = spark.range(100).select(F.col("id").alias("conv_id")).join(
+        spark.range(100).select(F.col("id").alias("turn"))).select(
+        "conv_id", F.lit(None).cast("long").alias("seq"), F.lit("u").alias("author"),
+        F.concat(F.lit("t"), "turn").alias("text"))
+    parts = consume.nested_export(said, part_turns=10).groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.size("messages")).alias("turns"),
+        F.max(F.size("messages")).alias("most"))
+    told = parts.agg(F.avg("n"), F.min("turns"), F.max("turns"), F.max("most")).first()
+    assert told[0] <= 21 and (told[1], told[2]) == (100, 100) and told[3] <= 25

@@ -129,3 +129,17 @@ def test_public_only_on_a_stream(spark, tmp_path):
              .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
     query.awaitTermination()
     assert rows(spark.read.parquet(str(tmp_path / "out"))) == [("open", 1)]
+
+
+def test_text_ids_stay_apart(spark):
+    texts = ["7", " 7 ", "+7", "007", "7.0", None, "room", "-3"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, room string")
+    ids = [r.conv_id for r in intake.to_messages(df, {"conv_id": "room", "seq": "i"}).orderBy(
+        "seq").collect()]
+    assert ids[0] == 7 and ids[5] is None and ids[7] == -3 and len(set(ids)) == len(texts)
+
+
+def test_times_that_are_none(spark):
+    df = spark.createDataFrame([(float("nan"),), (float("inf"),), (None,), (1.5e9,)], "t double")
+    out = intake.to_messages(df, {"ts": "t"}).collect()
+    assert [r.ts is None for r in out] == [True, True, True, False]

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 
 from colloquary.plans.skew import HotSplit
+from colloquary.sources import archive_store
 from colloquary.streaming import live
 from tests.helpers import at, rows
 
@@ -83,3 +84,108 @@ def test_run_available_goes_on_where_it_stopped(spark, tmp_path):
         spark.range(start, start + 10).coalesce(1).write.mode("append").parquet(source)
         live.run_available(spark.readStream.schema("id long").parquet(source), sink, checkpoint)
     assert sorted(r.id for r in spark.read.parquet(sink).collect()) == list(range(20))
+
+
+CAPTURE = "id long, day string, said string"
+
+
+@pytest.fixture
+def captured(spark, tmp_path):
+    """Feed rows to ``capture_live``; returns what the archive then holds."""
+    path = str(tmp_path / "archive")
+
+    def run(source, checkpoint, rows_=(), name="live"):
+        if rows_:
+            spark.createDataFrame(rows_, CAPTURE).coalesce(1).write.mode("append").parquet(
+                str(tmp_path / source))
+        stream = spark.readStream.schema(CAPTURE).parquet(str(tmp_path / source))
+        live.capture_live(stream, path, "day", ["id"], ["said"], str(tmp_path / checkpoint), name)
+        return sorted(map(tuple, archive_store.read_archive(
+            spark, path, "day").select("id", "day", "said").collect()), key=str)
+
+    run.path = path
+    return run
+
+
+def test_capture_live_takes_each_capture_once(captured):
+    first = [(1, "001", "a"), (2, "1", "b"), (2, "1", "b"), (3, None, "c")]
+    once = sorted({*first}, key=str)
+    assert captured("in", "c1", first) == once
+    # sent again later, by the same source and by another, with one changed
+    assert captured("in", "c1", [*first, (2, "1", "B")]) == sorted([*once, (2, "1", "B")], key=str)
+    assert captured("other", "c2", first, "second") == sorted([*once, (2, "1", "B")], key=str)
+    # all of it again from the beginning, under a new name
+    assert captured("in", "c3", name="third") == sorted([*once, (2, "1", "B")], key=str)
+
+
+def test_capture_live_killed_before_a_batch_is_noted(spark, captured, monkeypatch):
+    def killed(*_):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(live, "note_batch", killed)
+        with pytest.raises(Exception):
+            captured("in", "c1", [(1, "x", "a"), (2, "y", "b")])
+    # written, not noted: Spark delivers the batch again
+    assert captured("in", "c1") == [(1, "x", "a"), (2, "y", "b")]
+    assert archive_store.last_batch(spark, captured.path, "live") == 0
+
+
+def test_noted_batches_are_passed_over(spark, captured):
+    captured("in", "c1", [(1, "x", "a")])
+    archive_store.note_batch(spark, captured.path, "live", 7)
+    assert captured("in", "c1", [(2, "x", "b")]) == [(1, "x", "a")]
+
+
+def test_sessions_of_busy_rooms(spark, tmp_path):
+    """In several batches, like those of a table; rooms with a third of the rows cost no more."""
+    minutes = [0, 5, 29, 31, 60, 95, 180, 205, 234, 300, 301, 420, 1000, 1400]
+    data = [(f"r{i % 3}", m + i) for i in range(9) for m in minutes]
+    data += [("busy", m / 7) for m in range(2000)]
+    data.sort(key=lambda r: r[1])
+    start = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    timed = [(room, start + dt.timedelta(minutes=m)) for room, m in data]
+    source, sink, checkpoint = (str(tmp_path / d) for d in ("in", "out", "checkpoint"))
+    for part in range(0, len(timed), 800):
+        spark.createDataFrame(timed[part:part + 800], "room string, ts timestamp").coalesce(
+            1).write.mode("append").parquet(source)
+        live.run_sessions(spark.readStream.schema("room string, ts timestamp").parquet(source),
+                          "room", "ts", "30 minutes", "10 minutes", sink, checkpoint)
+    got = rows(spark.read.parquet(sink))
+    table = spark.createDataFrame(timed, "room string, ts timestamp")
+    want = rows(live.stream_sessions(table, "room", "ts", "30 minutes", "10 minutes"))
+    # the last ones are not final yet
+    last = max(r[1] for r in want) - dt.timedelta(hours=12)
+    assert [r for r in want if r[2] < last] == [r for r in got if r[2] < last]
+    assert set(got) <= set(want) and len(got) > 10
+
+
+REPLIES = "room string, turn long, who string, ts timestamp"
+
+
+def test_replies_come_out_once_final(spark, tmp_path):
+    def told(turn, room, who, t):
+        return (room, turn, who, at(t).replace(tzinfo=dt.timezone.utc))
+
+    batches = [
+        [told(1, "x", "user", "2024-01-01T00:00"), told(2, "x", "user", "2024-01-01T00:10"),
+         told(3, "x", "bot", "2024-01-01T00:44")],
+        [told(5, "x", "bot", "2024-01-01T00:20"), told(6, "y", "user", "2024-01-01T00:30"),
+         told(4, "x", "bot", "2024-01-01T00:20")],
+        [told(7, "x", "bot", "2024-01-01T09:00"), told(8, "y", "bot", "2024-01-01T01:30")],
+        [told(9, "y", "bot", "2024-01-01T00:31"), told(10, "x", "user", "2024-01-01T10:00")],
+    ]
+    source, sink, checkpoint = (str(tmp_path / d) for d in ("in", "out", "checkpoint"))
+    seen = []
+    for batch in batches:
+        spark.createDataFrame(batch, REPLIES).coalesce(1).write.mode("append").parquet(source)
+        stream = live.stream_replies(spark.readStream.schema(REPLIES).parquet(source), "room",
+                                     "ts", "who", "turn", "user", "bot", "1 hour", "30 minutes")
+        live.run_available(stream, sink, checkpoint)
+        seen.append(sorted(r[1] for r in rows(spark.read.schema(stream.schema).parquet(sink))))
+    # exactly an hour later still answers; what comes after the watermark does not
+    assert rows(spark.read.schema(stream.schema).parquet(sink)) == [
+        ("x", 1, at("2024-01-01T00:00"), 4, at("2024-01-01T00:20")),
+        ("x", 2, at("2024-01-01T00:10"), 4, at("2024-01-01T00:20")),
+        ("y", 6, at("2024-01-01T00:30"), 8, at("2024-01-01T01:30"))]
+    assert seen[0] == seen[1] == []

@@ -84,3 +84,11 @@ def test_removed_people_are_in_no_output(spark):
 def test_credit(spark):
     df = messages(spark, (1, 0, "a", "xx"), (2, 0, "a", None), (2, 1, "b", "y"), (2, 2, "a", "z"))
     assert rows(respect.credit_report(df)) == [("a", 3, 3, 2), ("b", 1, 1, 1)]
+
+
+def test_a_listed_number_is_not_cut_short(spark):
+    df = spark.createDataFrame([(1,), (2,), (None,)], "who int")
+    listed = spark.createDataFrame([(1.5,), (2.0,), (None,), (1e300,)], "who double")
+    assert [r.who for r in respect.honour_removals(df, listed, "who").collect()] == [1, None]
+    texts = spark.createDataFrame([("1",), (" 2",), ("x",)], "who string")
+    assert [r.who for r in respect.honour_removals(df, texts, "who").collect()] == [None]

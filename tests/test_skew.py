@@ -72,7 +72,8 @@ def test_pairs_equal_a_plain_window(logs):
 
 @pytest.mark.parametrize("name", sorted(
     {n[2:] for n in vars(entry) if n.startswith("q_")}
-    - {"stream_intake", "stream_activity", "stream_sessions"}))
+    - {"stream_intake", "stream_activity", "stream_sessions", "stream_sessions_busy_rooms",
+       "stream_replies"}))
 def test_no_query_pairs_everything_or_leaves_the_jvm(spark, name):
     df = entry.queries()[name](spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().toString()
