@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colloquary.functions.masking import DEFAULT_RULES
-from colloquary.operators import archive, consume, distill, respect, select
+from colloquary.operators import (
+    archive, compare, consume, distill, intervals, respect, select, sketches)
 from colloquary.plans.capture_run import capture_run
 from colloquary.plans.skew import HotSplit
 from colloquary.plans.worth_reading import worth_reading
 from colloquary.session import shared_folder
-from colloquary.sources import archive_store, intake
+from colloquary.sources import any_export, archive_store, intake
 from colloquary.streaming import live
 
 try:
@@ -38,6 +39,8 @@ SALT = "not-a-secret-only-for-checks"
 _ROOM = """CASE WHEN user_id % 7 = 0 THEN NULL WHEN user_id % 7 = 1 THEN '007'
   WHEN user_id % 7 = 2 THEN '7' WHEN user_id % 7 = 3 THEN '1e3'
   WHEN user_id % 7 = 4 THEN '2024-01-01' WHEN user_id % 7 = 5 THEN 'a b/c=%d:' ELSE 'true' END"""
+_MIXED = """CASE event_id % 4 WHEN 0 THEN concat('[', props, ']') WHEN 1 THEN concat(props, '}')
+  ELSE props END"""
 LINE = r"^<(\w+)> (.*)$"
 RULES = dict(zip(["emails", "addresses", "tokens", "numbers"], DEFAULT_RULES))
 # low enough that every key of the fixtures is cut into pieces
@@ -475,6 +478,57 @@ def q_stream_replies(spark, sf):
     return _run_live(spark, replies, "replies")
 
 
+# --- versions in time, counted differences, sketches, exports of any shape ------
+
+def _spans(events: DataFrame) -> DataFrame:
+    return events.where("event_type = 'signup'").select(
+        "user_id", F.col("event_id").alias("signup"), F.col("ts").alias("span_from"),
+        (F.col("ts") + F.expr("interval 36 hours")).alias("span_to"))
+
+
+def q_validity(spark, sf):
+    return intervals.validity(_events(spark, sf), ["event_type"], EVENTS)
+
+
+def q_overlapping(spark, sf):
+    events = _events(spark, sf)
+    held = intervals.validity(events, ["event_type"], EVENTS).select(
+        "user_id", "event_id", "event_type", "valid_from", "valid_to")
+    return intervals.overlapping(held, _spans(events), ["user_id"])
+
+
+def q_counted_difference(spark, sf):
+    """who did what on which day, in January and February"""
+    events = _events(spark, sf).withColumn("weekday", F.dayofweek("ts"))
+    return compare.counted_difference(
+        events.where(F.month("ts") == 1), events.where(F.month("ts") != 1),
+        ["event_type", "weekday", "user_id"])
+
+
+def q_merged_sketches(spark, sf):
+    """all days; estimates are told as right or wrong by a bound of six in a hundred"""
+    events = _events(spark, sf)
+    told = sketches.merge_sketches(
+        sketches.daily_sketches(events, ["event_type"], "ts", "user_id"), ["event_type"])
+    exact = events.groupBy("event_type").agg(F.countDistinct("user_id").alias("exact"))
+    return told.join(exact, "event_type").select(
+        "event_type", "n", (F.abs(F.col("people") - F.col("exact")) <= 0.06 * F.col("exact")
+                            ).cast("int").alias("close"))
+
+
+def q_parse_any_export(spark, sf):
+    """props as they are for half of the events, as a list or text for others, cut short for some"""
+    events = _events(spark, sf).select("event_id", F.expr(_MIXED).alias("props"))
+    return any_export.parse_any_export(events, "props", {
+        "k": ("$.k", "int"), "first": ("$[0].k", "int")})[0].select("event_id", "k", "first")
+
+
+def q_parse_any_export_rejects(spark, sf):
+    events = _events(spark, sf).select("event_id", F.expr(_MIXED).alias("props"))
+    return any_export.parse_any_export(events, "props", {})[1].groupBy("reason").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
 # --- composed ----------------------------------------------------------------
 
 def q_worth_reading(spark, sf):
@@ -510,6 +564,10 @@ _VERSIONS = """
     WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
   WHERE rn = 1 OR before IS DISTINCT FROM event_type"""
 
+_VALIDITY = f"""
+  SELECT *, ts AS valid_from, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS valid_to
+  FROM ({_VERSIONS})"""
+
 _STATES_AT = """
   WITH last AS (SELECT user_id AS who, ts AS at, max(event_id) AS id FROM events GROUP BY ALL),
   asked AS (SELECT user_id, ts + INTERVAL 90 MINUTE AS moment FROM events
@@ -793,6 +851,32 @@ def _own_sql() -> dict[str, str]:
             GROUP BY q.event_id) a ON a.question = q.event_id
           WHERE q.event_type = 'click'
             AND q.ts + INTERVAL 12 HOUR < (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+        "validity": _VALIDITY,
+        "overlapping": f"""
+          WITH v AS ({_VALIDITY}), s AS (
+            SELECT user_id, event_id AS signup, ts AS span_from,
+                   ts + INTERVAL 36 HOUR AS span_to FROM events WHERE event_type = 'signup')
+          SELECT v.user_id, v.event_id, v.event_type, v.valid_from, v.valid_to, s.signup,
+                 s.span_from, s.span_to
+          FROM v JOIN s ON v.user_id = s.user_id AND v.valid_from < s.span_to
+               AND (v.valid_to IS NULL OR v.valid_to > s.span_from)
+               AND (v.valid_to IS NULL OR v.valid_to > v.valid_from)""",
+        "counted_difference": """
+          SELECT event_type, (dayofweek(ts) + 1)::int AS weekday, user_id,
+                 count(*) FILTER (WHERE month(ts) = 1) AS in_a,
+                 count(*) FILTER (WHERE month(ts) <> 1) AS in_b
+          FROM events GROUP BY 1, 2, 3""",
+        "merged_sketches": """
+          SELECT event_type, count(*) AS n, 1 AS close FROM events GROUP BY event_type""",
+        "parse_any_export": """
+          SELECT event_id,
+                 CASE WHEN event_id % 4 > 1 THEN (props ->> '$.k')::int END AS k,
+                 CASE WHEN event_id % 4 = 0 THEN (props ->> '$.k')::int END AS first
+          FROM events WHERE event_id % 4 <> 1 AND props IS NOT NULL""",
+        "parse_any_export_rejects": """
+          SELECT CASE WHEN props IS NULL THEN 'null' ELSE 'malformed' END AS reason,
+                 count(*) AS n
+          FROM events WHERE props IS NULL OR event_id % 4 = 1 GROUP BY 1""",
         "worth_reading": f"""
           WITH {_SCORED},
           best AS (SELECT conv_id, score FROM scored ORDER BY score DESC, conv_id LIMIT 10),
