@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import json
 import os
+import re
 import unicodedata
 from array import array
 from functools import cache
@@ -31,6 +32,9 @@ LONG = 1_000  # characters; longer chunks are rare and not remembered
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 
+# a single stop or comma between a plain letter or digit and a blank
+_STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?![^ \t\n\x0b\x0c\r])")
+
 
 def path_of(name: str) -> str:
     import public_tokenizers
@@ -160,7 +164,9 @@ class WordBpe(Remembered):
         # may be special strings, or marks (U+0300 to U+036F begin with these bytes), which
         # join some letters of one case only.
         as_it_is = b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw
-        return (raw if as_it_is else raw.lower()).split()
+        # and what ends a sentence or clause is a word of its own, so words with and without
+        # are the same chunk
+        return (raw if as_it_is else _STOP.sub(rb" \1", raw.lower())).split()
 
     def encode_new(self, chunks: list[str]) -> list[bytes]:
         # upper and lower case are told apart by letter, not by what stands around them

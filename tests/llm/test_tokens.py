@@ -199,7 +199,8 @@ def test_letters_are_lowered_as_the_library_does():
     path = path_of("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
     texts = ["J̌ Å ÀÉ Straße İI", "THE The the, THE.", "<|STARTOFTEXT|> A",
-             "x<|endoftext|>Y", "ΑΣ ǅ K", "Don'T I'LL"]
+             "x<|endoftext|>Y", "ΑΣ ǅ K", "Don'T I'LL",
+             "a, b. c., d,. e5. é, .f, g,h.i x,\n y.\x1c z.\xa0 it's. 's, 1,"]
     for text, ids in zip(texts, word_bpe(path).encode(texts)):
         assert np.frombuffer(ids, "<u2").tolist() == library.encode(
             text, add_special_tokens=False).ids
