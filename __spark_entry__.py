@@ -196,6 +196,16 @@ def q_remove_from_archive_text_partitions(spark, sf):
     return archive_store.read_archive(spark, path, "room").select(*events.columns)
 
 
+def q_lay_out_archive(spark, sf):
+    """written in two halves, then laid out for one user"""
+    path = shared_folder(spark, "archive")
+    events = _events(spark, sf).withColumn("room", F.expr(_ROOM))
+    for half in (0, 1):
+        archive_store.write_archive(events.where(F.col("event_id") % 2 == half), path, "room")
+    archive_store.lay_out_archive(spark, path, "room", "user_id")
+    return archive_store.read_archive(spark, path, "room").select(*events.columns)
+
+
 def q_capture_live(spark, sf):
     """every event delivered twice, then the whole stream again from its beginning"""
     path = shared_folder(spark, "captured")
@@ -703,6 +713,7 @@ def _own_sql() -> dict[str, str]:
         "remove_from_archive_text_partitions": f"""
           SELECT *, {_ROOM} AS room FROM events WHERE user_id NOT IN (
             SELECT user_id FROM events WHERE event_type = 'purchase' AND user_id % 5 = 0)""",
+        "lay_out_archive": f"SELECT *, {_ROOM} AS room FROM events",
         "capture_live": "SELECT *, ts::date AS day FROM events",
         "states_at": _STATES_AT,
         "states_at_busy_keys": _STATES_AT,

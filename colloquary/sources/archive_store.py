@@ -16,7 +16,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,9 +92,11 @@ class _Files:
 def rewrite_archive(spark: SparkSession, path: str, by: str,
                     touched: Callable[[DataFrame], DataFrame],
                     rewrite: Callable[[DataFrame], DataFrame],
+                    key: str | None = None,
                     step: Callable[[str], None] = lambda name: None) -> int:
     """Replace every partition that has a row of ``touched(archive)`` by ``rewrite`` of it, and
-    return how many were.  Both functions are given ``by`` as text.
+    return how many were.  Both functions are given ``by`` as text.  With ``key``, the new files
+    are laid out for it (``lay_out_archive``).
 
     In order, each step safe to repeat:
 
@@ -123,13 +125,22 @@ def rewrite_archive(spark: SparkSession, path: str, by: str,
     mark = concerned.select(F.col(by).alias("__by"))
     # null-safe, because rows without a value are a partition too
     inside = stored.join(mark, stored[by].eqNullSafe(mark["__by"]), "left_semi")
-    rewrite(inside).hint("rebalance", by).write.partitionBy(by).parquet(f"{aside}/new")
+    _written(rewrite(inside), by, key).parquet(f"{aside}/new")
     step("new")
     _plan(by, concerned, aside)
     step("plan")
     return _swap(spark, path, aside, step)
 
 
+def _written(rows: DataFrame, by: str, key: str | None) -> DataFrameWriter:
+    if key is None:
+        return rows.hint("rebalance", by).write.partitionBy(by)
+    # ranges of the key within each partition; adaptive execution joins small ones, and a key
+    # that holds much of the data is one range, spread over row groups
+    ranged = rows.repartitionByRange(by, key).sortWithinPartitions(by, key)
+    return ranged.write.partitionBy(by).option(f"parquet.bloom.filter.enabled#{key}", "true")
+
+
 def _plan(by: str, concerned: DataFrame, aside: str) -> None:
     """The journal, complete once it is there at all: Spark commits a table's files, and the
     mark of success after them."""
@@ -185,6 +196,21 @@ def recover_archive(spark: SparkSession, path: str,
                 files.delete(aside)
 
 
+def lay_out_archive(spark: SparkSession, path: str, by: str, key: str, files: int = 2) -> int:
+    """Rewrite the partitions of at least ``files`` files, crash-safe, so that few files and row
+    groups hold any one ``key``; returns how many partitions were.
+
+    Appending leaves many small files, each with all keys.  Within a partition rows come to lie
+    in ranges of the key, sorted, so that the least and largest key of a row group tell most of
+    them apart, and a Bloom filter per row group the rest; reading one key skips the others.
+    """
+    def crowded(stored: DataFrame) -> DataFrame:
+        at = stored.select(by, F.input_file_name().alias("__file")).distinct()
+        return at.groupBy(by).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= files)
+
+    return rewrite_archive(spark, path, by, crowded, lambda rows: rows, key)
+
+
 def remove_from_archive(spark: SparkSession, path: str, by: str, removals: DataFrame,
                         key: str) -> None:
     """Take everything by or about those on the list out of the archive at ``path``, which is

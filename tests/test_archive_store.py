@@ -38,7 +38,7 @@ def rewrite(spark, path, step=lambda name: None):
         return drop_listed(rows, gone, "who").where(~F.coalesce(F.col("room") == "7", F.lit(False)))
 
     return store.rewrite_archive(spark, path, "room", lambda rows: keep_listed(rows, gone, "who"),
-                                 rest, step)
+                                 rest, step=step)
 
 
 def wanted(rows):
@@ -121,3 +121,37 @@ def test_nothing_to_remove(spark, tmp_path):
     none = spark.createDataFrame([(99,)], "who long")
     store.remove_from_archive(spark, path, "room", none, "who")
     assert held(spark, path) == sorted(rows, key=str)
+
+
+def read_rows(df):
+    """Rows that the scan hands on, after it has skipped row groups."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value()
+               for i in range(leaves.size()))
+
+
+def test_laid_out_for_one_key(spark, tmp_path):
+    """As many files as appends before; then one key skips nearly all row groups."""
+    path = str(tmp_path / "a")
+    for part in range(6):
+        store.write_archive(spark.range(4000).selectExpr(
+            "id * 7919 % 4001 AS who", f"concat('said {part} ', id) AS said",
+            "CASE id % 3 WHEN 0 THEN '007' WHEN 1 THEN NULL ELSE '1e3' END AS room"), path, "room")
+    store.write_archive(spark.createDataFrame([(1, "only one file", "alone")], SCHEMA), path, "room")
+    before = held(spark, path)
+    with_key = lambda: store.read_archive(spark, path, "room").where("who = 1234")
+    found, read = sorted(map(tuple, with_key().collect()), key=str), read_rows(with_key())
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "32k")
+    try:
+        assert store.lay_out_archive(spark, path, "room", "who") == 3
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert held(spark, path) == before
+    assert sorted(map(tuple, with_key().collect()), key=str) == found
+    assert len(found) == 6 and read_rows(with_key()) < read / 2
+    missing = store.read_archive(spark, path, "room").where("who = 4000000")
+    assert read_rows(missing) == 0
+    # what is in one file already is left alone
+    assert store.lay_out_archive(spark, path, "room", "who", files=100) == 0
