@@ -6,5 +6,5 @@ Every function takes and returns plain DataFrames.  The packages are
 * ``operators``  preservation, selection, distillation, respect, consumption
 * ``streaming``  the same intake and activity counts over live streams
 * ``functions``  column expressions shared by the operators
-* ``plans``      handling of hot keys, checked broadcasts, and two composed runs
+* ``plans``      handling of hot keys, and two composed runs
 """
