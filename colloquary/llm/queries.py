@@ -51,7 +51,9 @@ def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
-    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2
+    """Every fourth document, by id; a null id is one like ''."""
+    text = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
+    return F.pmod(F.crc32(text.cast("binary")), F.lit(4)) == 2
 
 
 def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
