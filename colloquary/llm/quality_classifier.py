@@ -1,21 +1,22 @@
 """Operator 2: a quality classifier from weak labels.
 
 Labellers: ``LABELLERS`` are overlapping rules of thumb.  Each says good, bad or nothing
-about a text.  How right they are is estimated by expectation-maximisation, within bounds
-set by hand (``fit_labellers``): a labeller is taken to be right on nearly all good texts and
-to see at most 2 in 5 of the bad ones, so one bad vote is usually enough for a fault.  The
-price is that a rule that is wrong on many good texts is not found out; rules therefore
-count characters, know the sentence ends of other scripts, and say nothing about words
-where a script doesn't part them.
-It assumes that a labeller that speaks is right with a probability of its own for good and
-for bad texts, whatever the others say, and alternates between how likely each text is good
-and how often each labeller is right.  Texts with equal votes are equal to it, so it works
-on the counts of vote patterns over the whole corpus, of which there are 3**7 at most.
+about a text.  How right they are is estimated by expectation-maximisation without bounds
+(``fit_labellers``), under a prior of a few texts.  Texts are good or of one of several kinds
+of bad, since poor texts have one fault or another; a labeller that speaks is right with a
+probability of its own for each kind, whatever the others say.  There are as many kinds as
+the votes bear out (Bayesian information criterion): one for each labeller to begin with,
+taken away while that costs less likelihood than its parameters are worth.  So a fault that
+several labellers see in the same texts is a kind of bad text, and the single votes of a
+labeller that nothing goes along with are its errors on good ones.  (Where fewer than three
+labellers see a fault, votes alone don't tell how right each is; the prior then decides.)
+Texts with equal votes are equal to it, so it works on the counts of vote patterns over the
+whole corpus, of which there are 3**9 at most.
 
 Scorer: the posterior of its votes is a text's soft label, and about ``ROWS`` texts at most
-(those with the smallest hashes of their ids) train a logistic scorer over words hashed to
-``CELLS`` cells, along with the words' shapes and signs of repetition.  Its score decides,
-not the rules: ``kept`` from ``THRESHOLD`` on.
+(those with the smallest hashes of id and text, repeated rows once) train a logistic scorer
+over words hashed to ``CELLS`` cells, along with the words' shapes and signs of repetition.
+Its score decides, not the rules: ``kept`` from ``THRESHOLD`` on.
 
 Null and empty texts get no vote and the scorer's bias; they are rejected, having nothing
 to learn from.  With fewer texts that any labeller speaks about than 2, or posteriors that
@@ -64,6 +65,8 @@ def _between(value: float, good: tuple[float, float], bad_below: float, bad_abov
 
 _UPPER = bytes(range(65, 91))
 _LETTERS = _UPPER + _UPPER.lower()
+# letters and digits; whatever isn't ASCII is taken for letters
+_WRITTEN = _LETTERS + b"0123456789" + bytes(range(128, 256))
 
 
 def _letters(text: str, raw: bytes) -> tuple[int, int]:
@@ -88,8 +91,11 @@ def facts(text: str) -> dict[str, float]:
         "decoration": sum(map(text.count, _DECORATION)) / n,
         "top": max(counts.values(), default=0) / n,
         "distinct": len(counts) / n,
+        "again": sum(map(bytes.__eq__, words, words[1:])) / n,
         "long": (sum(map(len, words)) - len(raw) + len(text)) / n,
         "unparted": unparted / letters,
+        "written": 1 - sum(map(len, raw.translate(None, _WRITTEN).split()))
+        / max(1, sum(map(len, words))),
         "pauses": (sum(w.endswith(_ENDS) for w in words) if text.isascii()
                    else len(_PAUSES.findall(text))) / n,
     }
@@ -106,9 +112,11 @@ LABELLERS = {
     else 0,
     "decoration": lambda f: _between(f["decoration"], (0.0, 0.05), 0.0, 0.25)
     if _of_words(f, 0) else 0,
+    "letters": lambda f: _between(f["written"], (0.85, 1.0), 0.75, 1.0) if f["words"] >= 20 else 0,
     "repetition": lambda f: _between(f["top"], (0.0, 0.12), 0.0, 0.25) if _of_words(f, 20) else 0,
     "variety": lambda f: 0 if not _of_words(f, 20) else 1 if f["distinct"] * f["words"] ** 0.3 > 1.2
     else -1 if f["distinct"] * f["words"] ** 0.3 < 0.5 else 0,
+    "stutter": lambda f: _between(f["again"], (0.0, 0.05), 0.0, 0.2) if _of_words(f, 5) else 0,
     "word length": lambda f: _between(f["long"], (3.0, 9.0), 2.0, 14.0) if _of_words(f, 5) else 0,
     "pauses": lambda f: _between(f["pauses"], (0.04, 0.25), 0.01, 0.6) if _of_words(f, 30) else 0,
 }
@@ -136,7 +144,37 @@ def votes_of(pattern: int) -> list[int]:
     return out[::-1]
 
 
-def fit_labellers(patterns: dict[int, int], rounds: int = 200
+PRIOR = 2.0  # texts per labeller and kind that stand for what is thought of it beforehand
+
+
+def _climb(table: np.ndarray, weight: np.ndarray, belongs: np.ndarray, rounds: int
+           ) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """(log likelihood with the prior, P(kind | votes), P(good vote | kind, it speaks), shares)
+    by expectation-maximisation from ``belongs``, a row per pattern and a column per kind."""
+    yes, no = (table > 0).astype(float), (table < 0).astype(float)
+    # rules of thumb are thought right on nine in ten good texts; of bad ones nothing is known
+    thought = np.full((belongs.shape[1], 1), 0.5)
+    thought[0] = 0.9
+    before = -np.inf
+    for _ in range(rounds):
+        mass = belongs * weight[:, None]
+        share = (mass.sum(axis=0) + 1) / (weight.sum() + belongs.shape[1])
+        said = mass.T @ yes
+        good_vote = (said + PRIOR * thought) / (said + mass.T @ no + PRIOR)
+        joint = np.log(share) + yes @ np.log(good_vote).T + no @ np.log1p(-good_vote).T
+        top = joint.max(axis=1, keepdims=True)
+        whole = top + np.log(np.exp(joint - top).sum(axis=1, keepdims=True))
+        belongs = np.exp(joint - whole)
+        now = float(weight @ whole[:, 0] + np.log(share).sum()
+                    + PRIOR * (thought * np.log(good_vote)
+                               + (1 - thought) * np.log1p(-good_vote)).sum())
+        if now - before < 1e-7 * abs(now) / len(weight):
+            break
+        before = now
+    return now, belongs, good_vote, share
+
+
+def fit_labellers(patterns: dict[int, int], rounds: int = 500
                   ) -> tuple[dict[int, float], np.ndarray, float]:
     """(how likely each pattern is good, P(right) of each labeller for bad and good texts,
     share of good texts) by expectation-maximisation."""
@@ -145,27 +183,38 @@ def fit_labellers(patterns: dict[int, int], rounds: int = 200
         return {}, np.full((2, len(LABELLERS)), 0.75), 0.5
     table = np.array([votes_of(p) for p in keys])
     weight = np.array([patterns[p] for p in keys], dtype=float)
-    # to begin with, one bad vote counts for more than many good ones
-    good = np.where((table < 0).any(axis=1), 0.2, 0.9)
-    for _ in range(rounds):
-        share = (weight @ good + 1) / (weight.sum() + 2)
-        right = np.empty((2, table.shape[1]))
-        for side, (sign, p) in enumerate(((-1, 1 - good), (1, good))):
-            spoke = (weight * p) @ (table != 0)
-            # a prior of ten texts says that rules of thumb are right nine times out of ten
-            right[side] = ((weight * p) @ (table == sign) + 9) / (spoke + 10)
-        # Poor texts have one fault or another, so a rule sees at most 2 in 5 of them; good
-        # ones hardly ever draw a bad vote.  Without these bounds the two classes would be
-        # one frequent fault and everything else.
-        right = np.clip(right, [[0.001], [0.999]], [[0.4], [0.9999]])
-        odds = np.log(share / (1 - share)) + np.zeros(len(keys))
-        odds += (table == 1) @ np.log(right[1] / (1 - right[0]))
-        odds += (table == -1) @ np.log((1 - right[1]) / right[0])
-        new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        if abs(new - good).max() < 1e-9:
+    price = 0.5 * (table.shape[1] + 1) * np.log(weight.sum() + 1)
+
+    def climb(belongs: np.ndarray, rounds: int = rounds // 5):
+        fitted = _climb(table, weight, belongs, rounds)
+        return fitted[0] - price * belongs.shape[1], fitted
+
+    def start(bad: np.ndarray) -> np.ndarray:
+        """A kind per column of ``bad``, which parts a text among those it is true of."""
+        odds = np.c_[np.where(bad.any(axis=1), 0.25, 9.0), bad + 1e-3]
+        return odds / odds.sum(axis=1, keepdims=True)
+
+    # restarts: every labeller has its kind; one kind for any bad vote; one for most votes
+    bad_votes, voted = table < 0, [j for j in range(table.shape[1]) if (table[:, j] < 0).any()]
+    best = climb(start(bad_votes[:, voted]))
+    while best[1][1].shape[1] > 1:
+        belongs, fewer = best[1][1], []
+        for k in range(1, belongs.shape[1]):
+            others = np.delete(belongs, k, axis=1)
+            others[:, 0] += belongs[:, k]
+            fewer.append(climb(others))
+        found = max(fewer, key=lambda f: f[0])
+        if found[0] < best[0]:
             break
-        good = new
-    return dict(zip(keys, good.tolist())), right, float(share)
+        best = found
+    for bad in (bad_votes.any(axis=1), table.sum(axis=1) < 0):
+        best = max(best, climb(start(bad[:, None])), key=lambda f: f[0])
+    _, belongs, good_vote, share = climb(best[1][1], rounds)[1]
+    right = np.full((2, table.shape[1]), 0.5)
+    right[1] = good_vote[0]
+    if len(share) > 1:
+        right[0] = 1 - share[1:] @ good_vote[1:] / share[1:].sum()
+    return dict(zip(keys, belongs[:, 0].tolist())), right, float(share[0])
 
 
 _RUNS = [(re.compile(b"[A-Z]+"), b"A"), (re.compile(b"[a-z\x80-\xff]+"), b"a"),
@@ -257,8 +306,9 @@ def train(df: DataFrame, n_rows: int = ROWS) -> tuple[np.ndarray, float]:
     patterns = dict(voted.groupBy("pattern").agg(F.sum("n")).collect())
     good, _, _ = fit_labellers(patterns)
     part = int(min(1.0, n_rows / max(1, sum(patterns.values()))) * (1 << 32))
+    # by id and text, and repeats once: rows that share an id or are copies don't swell it
     sample = texts.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()
-                         & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < part))
+                         & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 32)) < part)).distinct()
     # one task trains, on as many texts as the parameter says
     fitted = in_batches(sample.repartition(1), partial(_trained, good=good),
                         "weights binary, bias double").collect()

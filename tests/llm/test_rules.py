@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -97,6 +98,101 @@ def test_labellers_are_estimated():
     assert np.mean(np.array(told) == truth) > 0.95
 
 
+def _drawn(seed, right, share=0.7, n=20_000):
+    rng, m = np.random.default_rng(seed), len(quality_classifier.LABELLERS)
+    truth = rng.random(n) < share
+    correct = rng.random((n, m)) < right[truth.astype(int)]
+    votes = np.where(rng.random((n, m)) < 0.8, np.where(correct == truth[:, None], 1, -1), 0)
+    return Counter(quality_classifier.pattern_of(v.tolist()) for v in votes)
+
+
+def test_accuracies_between_chance_and_certainty_are_found():
+    m = len(quality_classifier.LABELLERS)
+    right = np.random.default_rng(5).uniform(0.55, 0.95, (2, m))
+    right[:, 3] = 0.5  # one that knows nothing
+    _, found, share = quality_classifier.fit_labellers(_drawn(6, right))
+    assert abs(found - right).max() < 0.05 and abs(share - 0.7) < 0.02
+
+
+def test_a_noisy_labeller_does_not_condemn_clean_texts():
+    m = len(quality_classifier.LABELLERS)
+
+    def of(*bad):
+        return quality_classifier.pattern_of([-1 if j in bad else 1 for j in range(m)])
+
+    good, found, share = quality_classifier.fit_labellers({of(): 780, of(3): 195, of(0, 1): 25})
+    assert good[of()] > 0.99 and good[of(3)] > 0.99 and good[of(0, 1)] < 0.01
+    assert abs(found[1][3] - 0.8) < 0.02 and abs(share - 0.975) < 0.01
+
+
+def test_each_kind_of_fault_is_a_kind_of_bad_text():
+    m = len(quality_classifier.LABELLERS)
+    rng, patterns, truth = np.random.default_rng(7), Counter(), Counter()
+    for _ in range(20_000):
+        # two faults, four labellers see each: fewer than three leave the rates undetermined
+        kind = rng.choice(3, p=[0.85, 0.1, 0.05])
+        sees = [0.02 if kind == 0 or not 4 * kind > j >= 4 * kind - 4 else 0.7 for j in range(m)]
+        p = quality_classifier.pattern_of(np.where(rng.random(m) < sees, -1, 1).tolist())
+        patterns[p] += 1
+        truth[p] += kind == 0
+    good, found, share = quality_classifier.fit_labellers(patterns)
+    assert abs(share - 0.85) < 0.01 and abs(found[1] - 0.98).max() < 0.01
+    hit = sum(truth[p] if good[p] > 0.5 else patterns[p] - truth[p] for p in patterns)
+    assert hit > 0.98 * 20_000
+
+
+def test_estimate_equals_a_plain_one():
+    m = len(quality_classifier.LABELLERS)
+    patterns = _drawn(8, np.random.default_rng(9).uniform(0.6, 0.9, (2, m)), n=400)
+    keys = sorted(p for p in patterns if any(quality_classifier.votes_of(p)))
+    good = {p: 0.8 if sum(quality_classifier.votes_of(p)) >= 0 else 0.3 for p in keys}
+    table = np.array([quality_classifier.votes_of(p) for p in keys])
+    start = np.array([[good[p], 1 - good[p]] for p in keys])
+    _, got, vote, share = quality_classifier._climb(
+        table, np.array([patterns[p] for p in keys], dtype=float), start, 12)
+    for _ in range(12):  # one text, one labeller after another
+        part = [1.0, 1.0]
+        says = [[[prior, 2 - prior] for _ in range(m)] for prior in (1.8, 1.0)]
+        for p in keys:
+            for kind, belongs in enumerate((good[p], 1 - good[p])):
+                part[kind] += patterns[p] * belongs
+                for j, v in enumerate(quality_classifier.votes_of(p)):
+                    if v:
+                        says[kind][j][v < 0] += patterns[p] * belongs
+        for p in keys:
+            both = []
+            for kind in (0, 1):
+                chance = part[kind] / sum(part)
+                for j, v in enumerate(quality_classifier.votes_of(p)):
+                    if v:
+                        chance *= says[kind][j][v < 0] / sum(says[kind][j])
+                both.append(chance)
+            good[p] = both[0] / sum(both)
+    assert np.allclose(got[:, 0], [good[p] for p in keys], atol=1e-9)
+    assert np.allclose(vote[0], [a / (a + b) for a, b in says[0]]) and np.isclose(
+        share[0], part[0] / sum(part))
+
+
+def test_an_id_with_many_rows_does_not_swell_the_sample(spark, monkeypatch):
+    sizes = []
+    fit = quality_classifier.in_batches
+
+    def counted(df, work, schema):
+        if schema.startswith("weights"):
+            sizes.append(df.count())
+        return fit(df, work, schema)
+
+    monkeypatch.setattr(quality_classifier, "in_batches", counted)
+    same = prose(0, 20, 300)
+    ids = spark.range(5000).withColumn("text", F.lit(same))
+    for of, texts in ((["id"], False), (["id", "text"], True)):  # ids that are sure to be drawn
+        busy = ids.orderBy(F.pmod(F.xxhash64(*of), F.lit(1 << 32))).first().id
+        rows = [(busy if i % 3 == 0 else 10_000 + i, same if texts and i % 3 == 0
+                 else prose(i, 20, 300), "en", "s", 0) for i in range(3000)]
+        quality_classifier.train(documents(spark, rows), 200)
+    assert max(sizes) < 400
+
+
 def test_clean_texts_of_other_scripts_draw_no_bad_vote():
     rng = random.Random(8)
     for first, size, end in ((0x430, 32, "."), (0x905, 50, "\u0964"), (0x561, 38, "\u0589"),
