@@ -7,9 +7,10 @@ move from one to the other, in a random direction with such odds that nobody's e
 number of copies changes, until one of the two has no fraction any more.  What is moved are
 words, not copies, so the words taken from a source stay what they were.
 
-The documents of a source are dealt by hash to blocks of about ``BLOCK`` rows; a block ends
-with one document that still has a fraction, and those meet in a tree, ``FAN`` blocks at
-a time, until each source has a single one left.  Of that document the fraction is taken as
+The documents of a source are dealt by hash to blocks of about ``BLOCK`` rows (sources of a
+single block share a task, each for itself); a block ends with one document that still has
+a fraction, and those meet in a tree, ``FAN`` blocks at a time, until each source has a
+single one left.  Of that document the fraction is taken as
 its first words, so that the source's words are the target to within one.
 
 Whatever is random is a hash of document ids and the seed, and documents meet in the
@@ -39,7 +40,7 @@ BLOCK, FAN = 4096, 64
 SEED = 7
 
 _STATE = ("doc_id bigint, n bigint, source string, size bigint, source_size bigint, "
-          "target double, whole bigint, fraction double, block bigint")
+          "target double, whole bigint, fraction double, block bigint, blocks bigint")
 
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
@@ -124,11 +125,19 @@ def pivot(sizes: list[int], fractions: list[float], names: list, seed: int
 
 def _rounding(seed: int, level: int):
     def rounded(group: pd.DataFrame) -> pd.DataFrame:
+        """Rows of one block of a large source, or all of many small ones."""
         rank = [_chance(seed, level, d, n) for d, n in zip(group.doc_id, group.n)]
-        group = group.assign(rank=rank).sort_values(["rank", "doc_id", "n"], kind="stable")
+        own = pd.factorize(group.source, use_na_sentinel=False)[0]
+        group = group.assign(own=own, rank=rank).sort_values(["own", "rank", "doc_id", "n"],
+                                                             kind="stable")
         names = list(zip(group.doc_id.tolist(), group.n.tolist()))
-        out, _ = pivot(group["size"].tolist(), group.fraction.tolist(), names, seed + level)
-        return group.assign(fraction=out).drop(columns="rank")
+        sizes, fractions = group["size"].tolist(), group.fraction.tolist()
+        ends = (group.own.diff() != 0).to_numpy().nonzero()[0].tolist() + [len(group)]
+        out: list[float] = []
+        for start, end in zip(ends, ends[1:]):
+            out += pivot(sizes[start:end], fractions[start:end], names[start:end],
+                         seed + level)[0]
+        return group.assign(fraction=out).drop(columns=["own", "rank"])
     return rounded
 
 
@@ -148,32 +157,43 @@ def mix(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHAR
     sized = sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("rows"))
     sized = keep(sized.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rows") - 1))
                               .alias("n")).drop("rows"), "sizes")
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = keep(source_targets(per_source, weights, share, most), "targets")
+    per_source = keep(sized.groupBy("source").agg(
+        F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")), "sources")
+    targets = source_targets(per_source.drop("rows"), weights, share, most)
+    # blocks of a source by its own rows
+    counted = per_source.select(F.col("source").alias("__source"),
+                                F.ceil(F.col("rows") / BLOCK).alias("blocks"))
+    named = keep(targets.join(counted, targets.source.eqNullSafe(counted["__source"]))
+                 .drop("source"), "targets")
     # no hint: the two sides are joined by what their sizes turn out to be
-    named = targets.withColumnRenamed("source", "__source")
     wanted = sized.join(named, sized.source.eqNullSafe(named["__source"]), "left").drop("__source")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(ratio)
-    rows = sized.count()
-    blocks = max(1, -(-rows // BLOCK))
+    rows, blocks = per_source.agg(F.coalesce(F.sum("rows"), F.lit(0)),
+                                  F.ceil(F.coalesce(F.max("rows"), F.lit(0)) / BLOCK)).first()
+    pools = max(1, -(-rows // BLOCK))
     state = wanted.select(
         "doc_id", "n", "source", "size", "source_size", "target",
         F.when(F.col("size") > 0, whole).otherwise(0).cast("bigint").alias("whole"),
         F.when(F.col("size") > 0, ratio - whole).otherwise(0.0).alias("fraction"),
-        F.pmod(F.xxhash64("doc_id", "n", F.lit(seed)), F.lit(blocks)).alias("block"))
+        F.pmod(F.xxhash64("doc_id", "n", F.lit(seed)), F.col("blocks")).alias("block"), "blocks")
     state = keep(state, "fractions")
     is_open = (F.col("fraction") > 0) & (F.col("fraction") < 1)
     done, level, open_rows = [state.where(~is_open)], 0, state.where(is_open)
     while True:
-        rounded = keep(open_rows.groupBy("source", "block").applyInPandas(
-            _rounding(seed, level), _STATE), "rounded")
-        if blocks == 1:
+        # a block of a large source is a group; small sources share groups of about as many rows
+        small, last = F.col("blocks") <= 1, blocks <= 1
+        grouped = open_rows.groupBy(
+            F.when(~small, F.col("source")), F.when(~small, F.col("block")),
+            F.when(small, F.pmod(F.xxhash64("source"), F.lit(pools))))
+        rounded = keep(grouped.applyInPandas(_rounding(seed, level), _STATE), "rounded")
+        if last:
             done.append(rounded)  # with the last open one of each source
             break
-        done.append(rounded.where(~is_open))
-        blocks, level = -(-blocks // FAN), level + 1
-        open_rows = rounded.where(is_open).withColumn("block", F.floor(F.col("block") / FAN))
+        done.append(rounded.where(~is_open | small))
+        open_rows = rounded.where(is_open & ~small).withColumns({
+            "block": F.floor(F.col("block") / FAN), "blocks": F.ceil(F.col("blocks") / FAN)})
+        blocks, pools, level = -(-blocks // FAN), max(1, pools // FAN), level + 1
     copies = F.col("whole") + F.col("fraction")
     return reduce(DataFrame.unionByName, done).select(
         "doc_id", "n", "source", "size", "source_size", "target",

@@ -65,6 +65,32 @@ def test_targets_and_sums(spark, monkeypatch):
     assert len(first) == len(some)
 
 
+def test_large_and_many_small_sources(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, " ".join(["w"] * rng.choice([0, 1, 5, 40])), "en",
+             "hot" if i % 3 == 0 else f"s{rng.randrange(400)}" if i % 50 else None, 0)
+            for i in range(1500)]
+    rows += [(7, "a b c", "en", "s1", 0)] * 60  # one id, more rows than a block
+    monkeypatch.setattr(mixing, "BLOCK", 30)
+    monkeypatch.setattr(mixing, "FAN", 4)
+    groups = []
+    frame = type(spark.range(1))
+    group_by = frame.groupBy
+
+    def counted(df, *by):
+        if len(by) == 3 and not isinstance(by[0], str):  # that of the rounding
+            groups.append((df.count(), df.select(*[c.alias(str(i)) for i, c in enumerate(by)])
+                           .distinct().count()))
+        return group_by(df, *by)
+
+    monkeypatch.setattr(frame, "groupBy", counted)
+    some = check(spark, rows)
+    monkeypatch.undo()
+    assert len({r.source for r in some}) > 300
+    # a group holds some thirty rows, however many sources there are
+    assert groups[0][1] < 3 * groups[0][0] / 30 and len(groups) > 1
+
+
 def test_odd_rows(spark):
     check(spark, odd_rows())
     check(spark, [])
