@@ -24,6 +24,7 @@ or without any, every score is that class, or 0.  Only texts are looked at.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -181,6 +182,9 @@ def passages(model: Model, text: str | None) -> list[tuple[int, int, float]]:
             for a, b, s in segments if model.decay * s - edge > -np.log(SIGNIFICANT)]
 
 
+STEPS = (0.01, 0.02)  # of the features while the curve is fitted: 601 by 692 at most
+
+
 def features(best: float, total: float) -> list[float]:
     return [1.0, min(best, 60.0) / 10.0, np.log1p(min(total, 1e6))]
 
@@ -201,22 +205,33 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
          pa.array(counts[kind, label, place])], names=["part", "cell", "n"])
 
 
+FINE = 1 << 20  # parts of one; sums of whole numbers don't depend on the order
+
+
 def _best(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """Texts with words, and the sum of n exp(-lambda S) of their best segments."""
+    count = total = 0
     for (texts,) in rows(batches):
-        found = [words_of(t) for t in texts]
-        best = [max([0.0, *(s for *_, s in maximal_segments(model.values(w)))]) for w in found]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([len(w) for w in found if w], pa.int64()),
-             pa.array([b for w, b in zip(found, best) if w], pa.float64())],
-            names=["words", "best"])
+        for words in filter(None, map(words_of, texts)):
+            best = max([0.0, *(s for *_, s in maximal_segments(model.values(words)))])
+            count += 1
+            total += round(len(words) * float(np.exp(-model.decay * best)) * FINE)
+    yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64()),
+                                      pa.array([total / FINE], pa.float64())],
+                                     names=["texts", "total"])
 
 
 def _described(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """How many texts have which label and features, these in steps of ``STEPS``."""
+    counts: Counter = Counter()
     for texts, labels in rows(batches):
-        told = [describe(model, t) for t in texts]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(labels, pa.int32()), pa.array([b for b, *_ in told], pa.float64()),
-             pa.array([t for _, t, _ in told], pa.float64())], names=["label", "best", "total"])
+        for text, label in zip(texts, labels):
+            _, best, total = features(*describe(model, text)[:2])
+            counts[label, round(best / STEPS[0]), round(total / STEPS[1])] += 1
+    kinds = list(zip(*counts)) or [(), (), ()]
+    yield pa.RecordBatch.from_arrays(
+        [*(pa.array(k, pa.int32()) for k in kinds), pa.array(list(counts.values()), pa.int64())],
+        names=["label", "best", "total", "n"])
 
 
 def _values(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -231,13 +246,13 @@ def _values(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
         names=["value", "n"])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Newton's method with a ridge."""
+def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Newton's method with a ridge; ``n`` is how often each row occurs."""
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) + ridge * np.r_[0.0, w[1:]]
-        curvature = (x.T * (p * (1 - p) + 1e-9)) @ x + ridge * np.eye(len(w))
+        gradient = x.T @ (n * (p - y)) + ridge * np.r_[0.0, w[1:]]
+        curvature = (x.T * (n * (p * (1 - p) + 1e-9))) @ x + ridge * np.eye(len(w))
         step = np.linalg.solve(curvature, gradient)
         w -= step
         if abs(step).max() < 1e-8:
@@ -273,15 +288,20 @@ def train(documents: DataFrame, labels: DataFrame, n_rows: int = ROWS) -> Model:
     seen = seen.groupBy("value").agg(F.sum("n")).collect()  # as many as there are values
     values, share = np.array(seen, dtype=float).reshape(-1, 2).T
     model.decay = decay_of(values / 100, share / max(1.0, share.sum()))
-    best = np.array(in_batches(fit.where("label = 0").select("text"),
-                               partial(_best, model=model), "words bigint, best double").collect())
+    best = in_batches(fit.where("label = 0").select("text"), partial(_best, model=model),
+                      "texts bigint, total double")
     # the mean of n exp(-lambda S) is 1 / K for best segments of random texts
-    if len(best):
-        model.rate = 1 / float(np.mean(best[:, 0] * np.exp(-model.decay * best[:, 1])))
-    told = np.array(in_batches(fit, partial(_described, model=model),
-                               "label int, best double, total double").collect())
-    x = np.array([features(b, t) for b, t in told[:, 1:]])
-    model.curve = tuple(_logistic(x, told[:, 0]))
+    whole = F.sum((F.col("total") * FINE).cast("decimal(38,0)"))
+    texts, total = best.agg(F.sum("texts"), whole).first()
+    if texts:
+        model.rate = texts / (float(total) / FINE)
+    told = in_batches(fit, partial(_described, model=model),
+                      "label int, best int, total int, n bigint")
+    told = told.groupBy("label", "best", "total").agg(F.sum("n"))
+    # as many as there are steps, in one order
+    told = np.array(sorted(map(tuple, told.collect())), dtype=float)
+    x = np.column_stack([np.ones(len(told)), told[:, 1] * STEPS[0], told[:, 2] * STEPS[1]])
+    model.curve = tuple(_logistic(x, told[:, 0], told[:, 3]))
     return model
 
 

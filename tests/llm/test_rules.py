@@ -309,6 +309,29 @@ def test_toxicity_on_texts_it_has_not_seen(spark):
     assert spans and text[spans[0][0]:spans[0][1]].startswith("scumbag")
 
 
+def test_toxicity_equals_a_plain_fit(spark):
+    rows = _toxic_corpus(300)
+    rows += [(0, *rows[0][1:])] * 150  # one id with a third of all rows
+    df = documents(spark, [(d, t, "en", "s", 0) for d, t, *_ in rows])
+    labels = spark.createDataFrame(sorted({(r[0], int(r[-1])) for r in rows}),
+                                   "doc_id int, label int")
+    model = toxicity.train(df, labels)
+    told = dict(sorted({(r[0], int(r[-1])) for r in rows}))
+    clean = [toxicity.words_of(t) for d, t, *_ in rows if not told[d]]
+    best = [max([0.0] + [s for *_, s in toxicity.maximal_segments(model.values(w))]) for w in clean]
+    mean = sum(len(w) * np.exp(-model.decay * b) for w, b in zip(clean, best)) / len(clean)
+    assert np.isclose(model.rate, 1 / mean, rtol=1e-5)
+    x = np.array([toxicity.features(*toxicity.describe(model, t)[:2]) for _, t, *_ in rows])
+    y = np.array([told[d] for d, *_ in rows], dtype=float)
+    w = np.zeros(3)
+    for _ in range(20_000):  # steepest descent, row by row
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= 0.002 * (x.T @ (p - y) + [0.0, *w[1:]])
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(df, model).collect()}
+    for (d, *_), score in zip(rows, 1 / (1 + np.exp(-x @ w))):
+        assert abs(got[d] - score) < 0.02
+
+
 def test_toxicity_without_labels_or_texts(spark):
     empty = spark.createDataFrame([], "doc_id long, label int")
     odd = documents(spark, odd_rows(), clashing=True)
