@@ -37,7 +37,7 @@ lines.  A row without a doc_id keeps all its lines and removes none.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -52,7 +52,7 @@ from colloquary.llm.common import (
     ship)
 
 SIMILARITY = 0.8
-CELLS = 1 << 18
+CELLS, SPAN = 1 << 18, 1 << 12  # cells of word counts; those that travel in one row
 LIMIT = 200_000  # sets remembered per task
 ROWS, PAIRS = 200_000, 1 << 18  # postings and comparisons at a time
 SOME = 8  # candidates of an entry in a list that are verified before the others are looked up
@@ -60,7 +60,8 @@ HELD = 1 << 19  # pairs that passed the filters held before the nearest are pick
 CROWD, PART = 16_384, 16  # entries of a crowded list; one in so many documents is sampled
 CHARS = 400_000  # bytes of text worked through at a time
 
-_LINE = "s1 bigint, s2 bigint, doc bigint, line bigint"
+_LINE = "s1 bigint, s2 bigint, doc bigint, line bigint, counts binary"
+_COUNTS = "s1 bigint, counts binary"
 _ENTRY = "s1 bigint, s2 bigint, doc bigint, line bigint, size int, b1 bigint, b2 bigint, prefix binary"
 _POSTING = "word int, doc bigint, line bigint, size int, at int, b1 bigint, b2 bigint"
 _PAIR = "doc bigint, line bigint, with_doc bigint, with_line bigint, apart int, more boolean"
@@ -104,10 +105,12 @@ class Lines:
     hashes of 52 bits), one line behind the other, each sorted.
 
     Works on the bytes of all texts at once.  A word's hash is a polynomial over its bytes,
-    taken from one running sum as the difference of its ends.
+    taken from one running sum as the difference of its ends.  ``wanted`` may tell, given
+    document ids and line numbers, which lines are wanted; others are not cut into words.
     """
 
-    def __init__(self, docs: pa.Array, texts: pa.Array):
+    def __init__(self, docs: pa.Array, texts: pa.Array,
+                 wanted: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None):
         rows = [i for i, ok in enumerate(docs.is_valid().to_pylist()) if ok]
         docs, texts = docs.take(pa.array(rows, pa.int64())), texts.take(pa.array(rows, pa.int64()))
         texts = texts.fill_null("")
@@ -115,6 +118,15 @@ class Lines:
         raw = b"".join([t.as_buffer().to_pybytes() + b"\n" for t in texts])
         ends_of_text = np.cumsum([len(t.as_buffer()) + 1 for t in texts], dtype=np.int64)
         data = np.frombuffer(raw, dtype=np.uint8)
+        ids = docs.to_numpy(zero_copy_only=False).astype(np.int64)
+        breaks = np.flatnonzero(data == 10)
+        row = np.searchsorted(ends_of_text, breaks, side="right")
+        first_line = np.concatenate(([0], np.searchsorted(breaks, ends_of_text[:-1])))
+        number = np.arange(len(breaks)) - first_line[row]
+        if wanted is not None:
+            good, sizes = wanted(ids[row], number), np.diff(breaks, prepend=-1)
+            data = data[np.repeat(good, sizes)]
+            row, number, breaks = row[good], number[good], np.cumsum(sizes[good]) - 1
         blank = np.concatenate(([True], _BLANK[data]))
         starts = np.flatnonzero(blank[:-1] & ~blank[1:])
         ends = np.flatnonzero(~blank[:-1] & blank[1:])
@@ -123,13 +135,10 @@ class Lines:
             np.cumsum(_LETTERS[data] * _powers(_STEP, len(data)), out=sums[1:])
             hashes = (sums[ends] - sums[starts]) * _powers(_BACK, len(data))[starts]
             hashes = _mixed(_mixed(hashes, 0xBF58476D1CE4E5B9), 0x94D049BB133111EB) & _MASK
-        breaks = np.flatnonzero(data == 10)
-        at_line = np.searchsorted(breaks, starts)  # lines of all texts together
-        lines, owner = np.unique(at_line, return_inverse=True)
-        row = np.searchsorted(ends_of_text, breaks[lines], side="right")
-        first_line = np.concatenate(([0], np.searchsorted(breaks, ends_of_text[:-1])))
-        self.doc = docs.to_numpy(zero_copy_only=False)[row].astype(np.int64)
-        self.line = lines - first_line[row]
+        words_in = np.diff(np.searchsorted(starts, breaks), prepend=0)
+        lines = np.flatnonzero(words_in)
+        owner = np.repeat(np.arange(len(lines)), words_in[lines])
+        self.doc, self.line = ids[row[lines]], number[lines]
         # sorted by line and hash in one go, some lines at a time
         words, owners = [], []
         for low in range(0, len(lines), 4096):
@@ -184,7 +193,9 @@ def _cell(words: np.ndarray) -> np.ndarray:
     return (words >> np.uint64(52 - 18)).astype(np.int64)  # the top 18 bits
 
 
-def _some_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[Lines]:
+def _some_lines(batches: Iterator[pa.RecordBatch],
+                wanted: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
+                ) -> Iterator[Lines]:
     """Lines of about ``CHARS`` bytes of text at a time."""
     make_room()
     for batch in batches:
@@ -194,12 +205,12 @@ def _some_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[Lines]:
                 np.flatnonzero(np.diff(part, prepend=-1)),
                 np.append(np.flatnonzero(np.diff(part)) + 1, len(part)))]):
             some = batch.slice(start, end - start)
-            yield Lines(some.column(0), some.column(1))
+            yield Lines(some.column(0), some.column(1), wanted)
 
 
 def _surveyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All lines with the digests of their sets; then, with line -1, how many words fell into
-    each cell (in place of the digests)."""
+    the cells, ``SPAN`` of them to a row, whose number is in place of a digest."""
     counts, kind = np.zeros(CELLS, dtype=np.int64), arrow_schema(_LINE)
 
     def batch(*columns):
@@ -209,9 +220,23 @@ def _surveyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for lines in _some_lines(batches):
         counts += np.bincount(_cell(lines.words), minlength=CELLS)
         if len(lines):
-            yield batch(*lines.digests(), lines.doc, lines.line)
-    seen = np.flatnonzero(counts)
-    yield batch(seen, counts[seen], np.zeros(len(seen)), np.full(len(seen), -1))
+            yield batch(*lines.digests(), lines.doc, lines.line, [None] * len(lines))
+    n = CELLS // SPAN
+    yield batch(np.arange(n), np.zeros(n), np.zeros(n), np.full(n, -1),
+                [x.tobytes() for x in counts.astype("<i8").reshape(n, SPAN)])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the same cells, added up."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for at, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+            held = sums.setdefault(at, np.zeros(SPAN, dtype="<i8"))
+            held += np.frombuffer(raw.as_buffer(), dtype="<i8")
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(sums.keys(), pa.int64()),
+         pa.array([x.tobytes() for x in sums.values()], pa.binary())],
+        schema=arrow_schema(_COUNTS))
 
 
 def prefix_size(size: np.ndarray, t: float) -> np.ndarray:
@@ -386,13 +411,15 @@ def _sets(batches: Iterator[pa.RecordBatch], docs: np.ndarray, table: np.ndarray
             chosen = np.flatnonzero(docs[place >> 3] >> (place & 7) & 1)
             yield batch.take(pa.array(chosen))
 
-    for lines in _some_lines(concerned()):
-        place = bit_place(lines.doc, lines.line)
-        chosen = np.flatnonzero(table[place >> 3] >> (place & 7) & 1)
-        if len(chosen):
+    def wanted(doc, line):
+        place = bit_place(doc, line)
+        return table[place >> 3] >> (place & 7) & 1 == 1
+
+    for lines in _some_lines(concerned(), wanted):
+        if len(lines):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(lines.doc[chosen]), pa.array(lines.line[chosen]),
-                 pa.array(lines.digests()[0][chosen]), lines.sets(chosen)], schema=kind)
+                [pa.array(lines.doc), pa.array(lines.line), pa.array(lines.digests()[0]),
+                 lines.sets(np.arange(len(lines)))], schema=kind)
 
 
 def _sets_of(texts: DataFrame, lines: DataFrame) -> DataFrame:
@@ -500,17 +527,20 @@ def lost_lines(texts: DataFrame, t: float = SIMILARITY) -> DataFrame:
     matches, given ``doc_id, text``.  Lines count from 0."""
     lines = keep(in_batches(texts, _surveyed, _LINE), "lines")
     uses = np.zeros(CELLS, dtype=np.int64)
-    counted = lines.where("line = -1").groupBy("s1").agg(F.sum("s2"))
-    for cell, n in counted.collect():  # no more rows than cells
-        uses[cell] = n
+    counted = lines.where("line = -1").select("s1", "counts")
+    counted = in_batches(in_batches(counted, _summed, _COUNTS).repartition("s1"), _summed, _COUNTS)
+    for at, raw in counted.collect():  # CELLS / SPAN rows
+        uses[at * SPAN:(at + 1) * SPAN] = np.frombuffer(raw, dtype="<i8")
     rarity = np.empty(CELLS, dtype=np.uint64)  # places from rare to frequent
     rarity[np.argsort(uses, kind="stable")] = np.arange(CELLS, dtype=np.uint64)
-    lines = lines.where("line >= 0")
-    firsts = keep(lines.groupBy("s1", "s2").agg(F.min(F.struct("doc", "line")).alias("first")),
-                  "firsts")
-    # a line of the text that stands for its set, and all others
-    copies = lines.join(firsts, ["s1", "s2"]).where(
-        F.struct("doc", "line") != F.col("first")).select("doc", "line", "s1")
+    lines = lines.where("line >= 0").select("s1", "s2", "doc", "line")
+    firsts = keep(lines.groupBy("s1", "s2").agg(
+        F.count(F.lit(1)).alias("n"), F.min("doc").alias("first")), "firsts")
+    # of sets that several lines have, the line of the text that stands for it, and all others
+    again = keep(lines.join(firsts.where("n > 1").drop("n"), ["s1", "s2"]), "again")
+    least = again.where("doc = first").groupBy("s1", "s2").agg(F.min("line").alias("least"))
+    copies = again.join(least, ["s1", "s2"]).where("doc > first OR line > least").select(
+        "doc", "line", "s1")
 
     lists, sets = _lists(texts, rarity, t), firsts.count()
     crowded = None
@@ -519,7 +549,9 @@ def lost_lines(texts: DataFrame, t: float = SIMILARITY) -> DataFrame:
         crowded = None if crowded.isEmpty() else crowded
     if crowded is not None:
         lists = _in_blocks(lists, crowded)
-    lists = lists.repartition("word").sortWithinPartitions("word", "size")
+    # one number to sort by, which is cheaper than two
+    by = F.shiftleft(F.col("word").cast("bigint"), 32) + F.col("size")
+    lists = lists.repartition("word").sortWithinPartitions(by)
     found = in_batches(lists, partial(_candidates, t=t), _PAIR)
     nearest = found.groupBy("doc", "line", "with_doc", "with_line").agg(
         F.max("more").alias("more"), F.min("apart").alias("apart"))
@@ -569,11 +601,12 @@ def _without(texts: pd.Series, numbers: pd.Series, digests: pd.Series) -> pd.Ser
     """Texts without the lines that are named by number and digest."""
     named = {(i, int(n), int(s1)) for i, (some, s1s) in enumerate(zip(numbers, digests))
              if some is not None for n, s1 in zip(some, s1s)}
+    keys = np.array(sorted({i << 32 | n for i, n, _ in named}), dtype=np.int64)
     lost: dict[int, set[int]] = {}
     array = pa.array(texts, pa.string())
     for start in range(0, len(array), 256):
         own = Lines(pa.array(np.arange(start, min(start + 256, len(array)))),
-                    array.slice(start, 256))
+                    array.slice(start, 256), lambda i, n: np.isin(i << 32 | n, keys))
         for i, n, s1 in zip(own.doc.tolist(), own.line.tolist(), own.digests()[0].tolist()):
             if (i, n, s1) in named:
                 lost.setdefault(i, set()).add(n)
