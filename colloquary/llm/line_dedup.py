@@ -25,7 +25,8 @@ How matches are found:
    near copies costs few comparisons of word sets each, though all its pairs are screened,
    and no pair is missed.
 
-Scale: what travels are entries of some 40 bytes per prefix word; word sets are fetched
+Scale: what travels are entries of some 40 bytes per prefix word; entries are written once,
+with their prefixes, for the sample, the lists and the second look-up; word sets are fetched
 only for lines that have candidates (a bounded bit table sorts out most others while texts
 are read), and only documents that lose a line are joined with the list of those.
 Frequent words are last in the order of rarity, so they head lists only for lines that
@@ -58,7 +59,7 @@ ROWS, PAIRS = 200_000, 1 << 18  # postings and comparisons at a time
 SOME = 8  # candidates of an entry in a list that are verified before the others are looked up
 HELD = 1 << 19  # pairs that passed the filters held before the nearest are picked
 CROWD, PART = 16_384, 16  # entries of a crowded list; one in so many documents is sampled
-CHARS = 400_000  # bytes of text worked through at a time
+CHARS = 150_000  # bytes of text worked through at a time
 
 _LINE = "s1 bigint, s2 bigint, doc bigint, line bigint, counts binary"
 _COUNTS = "s1 bigint, counts binary"
@@ -71,12 +72,8 @@ _ASKING = ("word int, doc bigint, line bigint, s1 bigint, size int, at int, b1 b
            "b2 bigint")
 
 
-def _table(seed: int) -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(seed)).integers(1, 1 << 63, 256, dtype=np.uint64)
-
-
-_LETTERS = _table(1)
-_BLANK = np.isin(np.arange(256), list(BLANKS.encode()))
+# 1 for a blank, 0 for any other byte
+_BLANK = bytes(int(chr(i) in BLANKS) for i in range(256))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MASK = np.uint64((1 << 52) - 1)
@@ -126,13 +123,17 @@ class Lines:
         if wanted is not None:
             good, sizes = wanted(ids[row], number), np.diff(breaks, prepend=-1)
             data = data[np.repeat(good, sizes)]
+            raw = data.tobytes()
             row, number, breaks = row[good], number[good], np.cumsum(sizes[good]) - 1
-        blank = np.concatenate(([True], _BLANK[data]))
-        starts = np.flatnonzero(blank[:-1] & ~blank[1:])
-        ends = np.flatnonzero(~blank[:-1] & blank[1:])
+        blank = np.frombuffer(b"\x01" + raw.translate(_BLANK), dtype=bool)
+        starts = np.flatnonzero(blank[:-1] > blank[1:])
+        ends = np.flatnonzero(blank[:-1] < blank[1:])
         with np.errstate(over="ignore"):
             sums = np.zeros(len(data) + 1, dtype=np.uint64)
-            np.cumsum(_LETTERS[data] * _powers(_STEP, len(data)), out=sums[1:])
+            letters = data.astype(np.uint64)
+            letters += np.uint64(1)  # so that a zero byte counts
+            letters *= _powers(_STEP, len(data))
+            np.cumsum(letters, out=sums[1:])
             hashes = (sums[ends] - sums[starts]) * _powers(_BACK, len(data))[starts]
             hashes = _mixed(_mixed(hashes, 0xBF58476D1CE4E5B9), 0x94D049BB133111EB) & _MASK
         words_in = np.diff(np.searchsorted(starts, breaks), prepend=0)
@@ -278,27 +279,34 @@ def _entries(batches: Iterator[pa.RecordBatch], rarity: np.ndarray, t: float
             + [_binary(ranked, lines.starts[at], prefix[at])], schema=kind)
 
 
+def _unfolded(batch: pa.RecordBatch, some: np.ndarray) -> list[np.ndarray]:
+    """A posting for each prefix word of some entries, by columns."""
+    doc, line, size, b1, b2 = [batch.column(i).to_numpy(zero_copy_only=False)
+                               for i in range(2, 7)]
+    prefixes = batch.column(7).take(pa.array(some)).to_pylist()
+    counts = np.array([len(p) // 4 for p in prefixes], dtype=np.int64)
+    own = np.repeat(some, counts)
+    at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    words = np.frombuffer(b"".join(prefixes), dtype="<i4")
+    return [words, doc[own], line[own], size[own], at, b1[own], b2[own]]
+
+
+def _told(columns: list[np.ndarray]) -> pa.RecordBatch:
+    kind = arrow_schema(_POSTING)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, f.type) for c, f in zip(columns, kind)], schema=kind)
+
+
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From entries sorted by set, document and line: postings of the first of each set."""
     before = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        s1, s2, doc, line, size, b1, b2 = [
-            batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+        s1, s2 = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(2)]
         new = np.r_[(s1[0], s2[0]) != before, (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])]
         before = (s1[-1], s2[-1])
-        prefixes = [p for p, keep_it in zip(batch.column(7).to_pylist(), new) if keep_it]
-        counts = np.array([len(p) // 4 for p in prefixes], dtype=np.int64)
-        if not len(counts):
-            continue
-        own = np.repeat(np.flatnonzero(new), counts)
-        at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        words = np.frombuffer(b"".join(prefixes), dtype="<i4")
-        columns = [words, doc[own], line[own], size[own], at, b1[own], b2[own]]
-        kind = arrow_schema(_POSTING)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, f.type) for c, f in zip(columns, kind)], schema=kind)
+        yield _told(_unfolded(batch, np.flatnonzero(new)))
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
@@ -431,14 +439,22 @@ def _sets_of(texts: DataFrame, lines: DataFrame) -> DataFrame:
 
 def _verified(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
     kind = arrow_schema(_VERDICT)
-    for batch in batches:
-        doc, line, s1 = [batch.column(i) for i in range(3)]
-        good = []
-        for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-            x, y = np.frombuffer(a, dtype="<u8"), np.frombuffer(b, dtype="<u8")
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            good.append(both >= t * (len(x) + len(y) - both) - 1e-9)
-        yield pa.RecordBatch.from_arrays([doc, line, s1, pa.array(good, pa.bool_())], schema=kind)
+    for whole in batches:
+        # some pairs at a time: a pair's number and a word of 52 bits fill 64
+        for start in range(0, whole.num_rows, 4096):
+            batch = whole.slice(start, 4096)
+            keys, sizes = [], []
+            for i in (3, 4):
+                sets = batch.column(i).to_pylist()
+                sizes.append(np.array([len(x) // 8 for x in sets], dtype=np.int64))
+                keys.append(np.repeat(np.arange(len(sets), dtype=np.uint64), sizes[-1])
+                            << np.uint64(52) | np.frombuffer(b"".join(sets), dtype="<u8"))
+            key = np.sort(np.concatenate(keys))
+            shared = key[1:][key[1:] == key[:-1]] >> np.uint64(52)
+            both = np.bincount(shared.astype(np.int64), minlength=batch.num_rows)
+            good = both >= t * (sizes[0] + sizes[1] - both) - 1e-9
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(good)], schema=kind)
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], rarity: np.ndarray, t: float
@@ -459,23 +475,13 @@ def _prefixes(batches: Iterator[pa.RecordBatch], rarity: np.ndarray, t: float
                 [pa.array(c, f.type) for c, f in zip(columns, kind)], schema=kind)
 
 
-def _hits(batches: Iterator[pa.RecordBatch], rarity: np.ndarray, t: float, table: np.ndarray
-          ) -> Iterator[pa.RecordBatch]:
-    """Postings of all lines for prefix words in the bit table."""
-    kind = arrow_schema(_POSTING)
-    for lines in _some_lines(batches):
-        if not len(lines):
-            continue
-        ranked = lines.ranked(rarity).view(np.int32)
-        at = np.arange(len(ranked)) - np.repeat(lines.starts, lines.sizes)
-        place = bit_place(ranked.astype(np.int64), np.zeros(1, dtype=np.int64))
-        chosen = np.flatnonzero((table[place >> 3] >> (place & 7) & 1 == 1)
-                                & (at < np.repeat(prefix_size(lines.sizes, t), lines.sizes)))
-        own, (b1, b2) = lines.owner[chosen], _bitmaps(lines.words, lines.starts)
-        columns = [ranked[chosen], lines.doc[own], lines.line[own], lines.sizes[own], at[chosen],
-                   b1[own].view(np.int64), b2[own].view(np.int64)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, f.type) for c, f in zip(columns, kind)], schema=kind)
+def _hits(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Postings of entries for prefix words in the bit table."""
+    for batch in batches:
+        columns = _unfolded(batch, np.arange(batch.num_rows))
+        place = bit_place(columns[0].astype(np.int64), np.zeros(1, dtype=np.int64))
+        chosen = np.flatnonzero(table[place >> 3] >> (place & 7) & 1)
+        yield _told([c[chosen] for c in columns])
 
 
 def _any_match(pairs: DataFrame, t: float) -> DataFrame:
@@ -484,18 +490,26 @@ def _any_match(pairs: DataFrame, t: float) -> DataFrame:
         F.max("matches").alias("matches"))
 
 
-def _lists(texts: DataFrame, rarity: np.ndarray, t: float) -> DataFrame:
-    """Postings of the first line of each set."""
-    entries = in_batches(texts, partial(_entries, rarity=rarity, t=t), _ENTRY)
+def _entered(texts: DataFrame, rarity: np.ndarray, t: float) -> DataFrame:
+    return in_batches(texts, partial(_entries, rarity=rarity, t=t), _ENTRY)
+
+
+def _lists(texts: DataFrame, rarity: np.ndarray, t: float, entries: DataFrame | None = None
+           ) -> DataFrame:
+    """Postings of the first line of each set, from ``entries`` if these are at hand."""
+    entries = _entered(texts, rarity, t) if entries is None else entries
     entries = entries.repartition("s1").sortWithinPartitions("s1", "s2", "doc", "line")
     return in_batches(entries, _postings, _POSTING)
 
 
-def crowded_words(texts: DataFrame, rarity: np.ndarray, t: float, sets: int) -> DataFrame:
+def crowded_words(texts: DataFrame, rarity: np.ndarray, t: float, sets: int,
+                  entries: DataFrame | None = None) -> DataFrame:
     """``word, blocks`` of the words whose lists are to be cut, as a sample tells."""
     part = PART if sets > PART * CROWD else 1
-    some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(part)) == 0)
-    counted = _lists(some, rarity, t).groupBy("word").agg((F.count(F.lit(1)) * part).alias("n"))
+    entries = _entered(texts, rarity, t) if entries is None else entries
+    some = entries.where(F.pmod(F.xxhash64("doc"), F.lit(part)) == 0)
+    counted = _lists(texts, rarity, t, some).groupBy("word").agg(
+        (F.count(F.lit(1)) * part).alias("n"))
     return counted.where(F.col("n") > CROWD).select(
         "word", F.ceil(F.col("n") / (CROWD // 2)).alias("blocks"))
 
@@ -542,10 +556,11 @@ def lost_lines(texts: DataFrame, t: float = SIMILARITY) -> DataFrame:
     copies = again.join(least, ["s1", "s2"]).where("doc > first OR line > least").select(
         "doc", "line", "s1")
 
-    lists, sets = _lists(texts, rarity, t), firsts.count()
+    entries, sets = keep(_entered(texts, rarity, t), "entries"), firsts.count()
+    lists = _lists(texts, rarity, t, entries)
     crowded = None
     if sets > CROWD:
-        crowded = keep(crowded_words(texts, rarity, t, sets), "crowded")
+        crowded = keep(crowded_words(texts, rarity, t, sets, entries), "crowded")
         crowded = None if crowded.isEmpty() else crowded
     if crowded is not None:
         lists = _in_blocks(lists, crowded)
@@ -574,7 +589,7 @@ def lost_lines(texts: DataFrame, t: float = SIMILARITY) -> DataFrame:
         asking = keep(in_batches(open_, partial(_prefixes, rarity=rarity, t=t), _ASKING), "asking")
         table = bit_table(asking.select(F.col("word").cast("bigint").alias("doc"),
                                         F.lit(0).cast("bigint").alias("line")))
-        asked = in_batches(texts, partial(_hits, rarity=rarity, t=t, table=table), _POSTING)
+        asked = in_batches(entries, partial(_hits, table=table), _POSTING)
         asked = asked.select("word", *[F.col(c).alias(f"with_{c}") for c in asked.columns[1:]])
         n, m = F.col("size"), F.col("with_size")
         need = F.ceil(t / (1 + t) * (n + m) - 1e-9)
