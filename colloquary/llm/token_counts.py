@@ -6,7 +6,9 @@ decided locally: two neighbours stand in an encoding if and only if the pair, en
 its own, gives just these two.  So each prefix looks at the tokens that end there and
 takes the one that fits behind the last token of the prefix before it; its count is that
 prefix's count plus one.  No piece of the vocabulary goes on over a blank, therefore each
-distinct word is solved once and remembered, and counts of words are added up.
+distinct word is remembered, and counts of words are added up.  Nor does any hold certain
+neighbours, such as a letter and then a full stop; a new word is cut there, and each distinct
+chunk is solved once.
 
 ``prefix_tokens[i]`` is the number of tokens of the first i characters, for i = 0 up to
 the length of the text.  Truncation and budget questions are answered from it without
@@ -35,7 +37,8 @@ from pyspark.sql import functions as F
 from colloquary.llm.common import arrow_schema, in_batches, remembered, rows
 
 SPACE = "▁"  # fixed value: how the vocabulary writes a blank
-WORDS = 500_000  # remembered per worker, and as many pairs
+WORDS = 500_000  # remembered per worker, and as many chunks and pairs
+ROWS = 512  # texts whose new words are solved together; the more, the more they share
 FLUSH = 2_000_000  # characters in a batch that goes back to Spark
 LONG = 200  # characters; longer words are not remembered
 
@@ -54,11 +57,30 @@ class PrefixCounter:
             library.id_to_piece(i): library.get_score(i) for i in range(library.get_piece_size())
             if not (library.is_control(i) or library.is_unknown(i) or library.is_byte(i)
                     or library.is_unused(i))}
-        self.tails = {p[n:] for p in self.score for n in range(len(p))}
+        self.chunk = self.chunk_pattern()
+        self.chunks: dict[str, bytes] = {}
         self.edges: dict[str, tuple[list, list]] = {}
         self.steps: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
+    def chunk_pattern(self) -> re.Pattern:
+        """Matches the chunks of a word, one after the other.
+
+        Two tokens of which one ends and the other begins with neighbours that no piece holds
+        always fit, so what stands behind them doesn't depend on what stands before.
+        """
+        before = {(p[i], p[i + 1]) for p in self.score for i in range(len(p) - 1)}
+        held = {c for pair in before for c in pair}
+        alone = {c for c in map(chr, range(128)) if c not in held}
+        # signs that no piece holds behind anything but another one, or a blank
+        first = {c for c in held if not c.isalpha() and not c.isdecimal() and c != SPACE}
+        while lost := {b for a, b in before if b in first and a not in first and a != SPACE}:
+            first -= lost
+        one, some = [("[" + "".join(map(re.escape, sorted(x))) + "]") if x else "(?!)"
+                     for x in (alone, first)]
+        other = "[^" + "".join(map(re.escape, sorted(alone | first))) + SPACE + "]"
+        return re.compile(f"{SPACE}*(?:{some})*{other}+|{SPACE}*(?:{some})+|{SPACE}+|{one}")
+
     def merged(self, text: str) -> list:
         """Merge the best-scored pair, the leftmost of equals, until none is left.
 
@@ -118,35 +140,49 @@ class PrefixCounter:
     def solve(self, words: list[str]) -> list[bytes]:
         """For each word by how much the count rises or falls with each character, as signed
         bytes.  Of sorted words only what differs from the one before is worked out."""
-        score, tails, pairs, fit = self.score, self.tails, self.pairs, self.fit
-        last, count, out, known = [""], [0], [], ""
+        score, pairs, fit = self.score, self.pairs, self.fit
+        last, count, rise, out, known = [""], [0], [], [], ""
         for word in words:
             same = len(commonprefix((known, word)))
             known = word
-            del last[same + 1:], count[same + 1:]
+            del last[same + 1:], count[same + 1:], rise[same:]
             for end in range(same + 1, len(word) + 1):
                 for start in range(end - 1, -1, -1):
                     token = word[start:end]
-                    if token not in tails and start < end - 1:
-                        raise ValueError(f"no token ends at {end} of {word!r}")
                     if token in score or start == end - 1:
                         before = last[start]
                         fits = pairs.get((before, token))
                         # one token at most fits, so the first found is it
                         if fits or fits is None and fit(before, token):
-                            last.append(token)
-                            # a character that the vocabulary lacks is spelled in bytes
-                            count.append(count[start] + (
-                                1 if token in score else len(token.encode())))
                             break
-            out.append(array("b", map(sub, count[1:], count)).tobytes())
+                else:
+                    raise ValueError(f"no token ends at {end} of {word!r}")
+                last.append(token)
+                # a character that the vocabulary lacks is spelled in bytes
+                n = count[start] + (1 if token in score else len(token.encode()))
+                rise.append(n - count[-1])
+                count.append(n)
+            out.append(array("b", rise).tobytes())
         return out
 
+    def learn(self, words: list[str]) -> None:
+        """Put words that are new into ``steps``."""
+        cut, chunks = list(map(self.chunk.findall, words)), self.chunks
+        new = sorted(set().union(*cut).difference(chunks))
+        chunks.update(zip(new, self.solve(new)))
+        known = chunks.__getitem__
+        self.steps.update(zip(words, [b"".join(map(known, x)) for x in cut]))
+        for chunk in new:
+            if len(chunk) > LONG:
+                del chunks[chunk]
+        if len(chunks) > WORDS:
+            self.chunks = dict(islice(chunks.items(), WORDS // 2))
+
     def prefixes(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [_RUN.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         steps, out = self.steps, []
-        new = sorted(set().union(*cut).difference(steps))
-        steps.update(zip(new, self.solve(new)))
+        new = list(set().union(*cut).difference(steps))
+        self.learn(new)
         for words in cut:
             rise = np.frombuffer(b"".join(map(steps.__getitem__, words)), dtype=np.int8)
             counts = np.cumsum(rise, dtype=np.int32) if words else np.zeros(1, dtype=np.int32)
@@ -182,7 +218,7 @@ def _count(batches: Iterator[pa.RecordBatch], path: str, schema: str) -> Iterato
             names=kind.names)
 
     ids, sizes, parts, held = [], [], [], 0
-    for some_ids, texts in rows(batches):
+    for some_ids, texts in rows(batches, ROWS):
         for key, text, counts in zip(some_ids, texts, count.prefixes(texts)):
             ids.append(key)
             sizes.append(len(text.encode()) if text else 0)

@@ -81,6 +81,24 @@ def test_every_prefix(spark, pieces):
         assert counts.tolist() == [len(pieces.encode(text[:i])) for i in range(len(text) + 1)]
 
 
+def test_words_are_cut_where_no_piece_holds_the_neighbours(pieces, monkeypatch):
+    counter, solved = token_counts.PrefixCounter(PIECES), []
+    solve = counter.solve
+    monkeypatch.setattr(counter, "solve", lambda words: solved.extend(words) or solve(words))
+    words = ["hello,", "hello.", "hello.\nhello", "hello", "hello...", "hello$$$", "7hello42,"]
+    counter.prefixes([" ".join(words)])
+    assert solved.count("▁hello") == 1 and not any("lo" in w and w[-1] != "o" for w in solved)
+    # signs of all kinds between letters, digits, blanks and line breaks
+    rng, texts = random.Random(8), []
+    signs = "".join(sorted({c for p in counter.score for c in p if not c.isalnum()})) + "\n\t\x00²´"
+    for _ in range(60):
+        texts.append("".join(rng.choice([
+            rng.choice(signs), rng.choice("abestön "), rng.choice("17 .com's"), rng.choice(
+                [".com", "'s", "...", ").", "\n\n", "//", "²", "日", "km²"])]) for _ in range(40)))
+    for text, counts in zip(texts, counter.prefixes(texts)):
+        assert counts.tolist() == [len(pieces.encode(text[:i])) for i in range(len(text) + 1)]
+
+
 def test_counts_and_what_they_answer(spark, pieces):
     df = token_counts.prefix_counts(documents(spark, clashing=True), PIECES)
     got = df.select("doc_id", "n_bytes", token_counts.token_count().alias("n"),
