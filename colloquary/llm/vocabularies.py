@@ -33,7 +33,8 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 
 # a single stop or comma between a plain letter or digit and a blank
-_STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?![^ \t\n\x0b\x0c\r])")
+# (the sign first: that is what a search can skip to)
+_STOP = re.compile(rb"[.,](?<=[a-z0-9].)(?![^ \t\n\x0b\x0c\r])")
 
 
 def path_of(name: str) -> str:
@@ -72,6 +73,10 @@ class Remembered:
     def odd(self, chunk: str) -> bool:
         return len(chunk) > LONG or any(s in chunk for s in self.special)
 
+    def spelled(self, chunks: list) -> list[str]:
+        """Chunks as strings."""
+        return chunks
+
     def by_library(self, chunk: str) -> bytes:
         return array("H", self.library.encode(chunk, add_special_tokens=False).ids).tobytes()
 
@@ -82,10 +87,14 @@ class Remembered:
         new = set().union(*cut).difference(known) if cut else ()
         once = {}
         if new:
-            named = [(c, c.decode() if isinstance(c, bytes) else c) for c in new]
-            plain = [(c, s) for c, s in named if not self.odd(s)]
-            once = {c: self.by_library(s) for c, s in named if self.odd(s)}
-            known.update(zip([c for c, _ in plain], self.encode_new([s for _, s in plain])))
+            new = list(new)
+            named = self.spelled(new)
+            together = "\n".join(named)  # one look at all of them mostly tells that none is odd
+            if max(map(len, named)) > LONG or any(s in together for s in self.special):
+                once = {c: self.by_library(s) for c, s in zip(new, named) if self.odd(s)}
+                new = [c for c in new if c not in once]
+                named = self.spelled(new)
+            known.update(zip(new, self.encode_new(named)))
         if once:
             whole = [b"".join([known[c] if c in known else once[c] for c in x]) for x in cut]
         else:
@@ -166,13 +175,18 @@ class WordBpe(Remembered):
         as_it_is = b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw
         # and what ends a sentence or clause is a word of its own, so words with and without
         # are the same chunk
-        return (raw if as_it_is else _STOP.sub(rb" \1", raw.lower())).split()
+        return (raw if as_it_is else _STOP.sub(rb" \g<0>", raw.lower())).split()
+
+    def spelled(self, chunks: list) -> list[str]:
+        return [c.decode() for c in chunks]
 
     def encode_new(self, chunks: list[str]) -> list[bytes]:
         # upper and lower case are told apart by letter, not by what stands around them
         plain = [s.lower() if s.isascii() else
                  "".join(map(str.lower, unicodedata.normalize("NFC", s))) for s in chunks]
-        lowered = list(map(self.words.findall, plain))
+        find = self.words.findall
+        # letters alone are one word
+        lowered = [[s] if s.isascii() and s.isalpha() else find(s) for s in plain]
         ranks = np.asarray(self.merging.encode_ordinary(
             "".join([w + " " for words in lowered for w in words])), dtype=np.int64)
         ids, ends = self.id_of[ranks], np.flatnonzero(self.ends[ranks]) + 1

@@ -66,6 +66,21 @@ def test_a_small_memory_gives_the_same(monkeypatch):
     assert len(mine.known) < 1000
 
 
+@pytest.mark.parametrize("kind,path,special", [
+    (ByteBpe, BYTES, "<|endoftext|>"), (WordBpe, WORDS, "<|startoftext|>")])
+def test_chunks_are_looked_at_together(monkeypatch, kind, path, special):
+    mine, library, asked = kind(path), Tokenizer.from_file(path), []
+    odd = mine.odd
+    monkeypatch.setattr(mine, "odd", lambda chunk: asked.append(chunk) or odd(chunk))
+    plain = [prose(s, 100) for s in range(3)] + ["A.\nB, c... (d). e,.f é. 7. x.,\t$,$ it's."]
+    for texts in (plain, ["some " + special + "Text here.", "y" * 1500 + " . end", *plain]):
+        asked.clear()
+        for text, raw in zip(texts, mine.encode(texts)):
+            assert np.frombuffer(raw, np.uint16).tolist() == library.encode(
+                text, add_special_tokens=False).ids
+        assert bool(asked) == (texts is not plain)
+
+
 def test_pairs_fit_as_merging_says():
     c, rng = token_counts.PrefixCounter(PIECES), random.Random(1)
     some = [p for p in c.score if len(p) < 8]
