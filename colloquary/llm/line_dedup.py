@@ -49,8 +49,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquary.llm.common import (
-    BLANKS, arrow_schema, bit_place, bit_table, in_batches, keep, make_room, remembered,
-    ship)
+    BLANKS, arrow_schema, bit_place, bit_table, give_back, in_batches, keep, make_room,
+    remembered, ship)
 
 SIMILARITY = 0.8
 CELLS, SPAN = 1 << 18, 1 << 12  # cells of word counts; those that travel in one row
@@ -194,17 +194,21 @@ def _cell(words: np.ndarray) -> np.ndarray:
     return (words >> np.uint64(52 - 18)).astype(np.int64)  # the top 18 bits
 
 
+def _portions(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Where rows of about ``CHARS`` bytes begin and end."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes) // CHARS
+    return zip(np.flatnonzero(np.diff(part, prepend=-1)).tolist(),
+               np.append(np.flatnonzero(np.diff(part)) + 1, len(part)).tolist())
+
+
 def _some_lines(batches: Iterator[pa.RecordBatch],
                 wanted: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
                 ) -> Iterator[Lines]:
     """Lines of about ``CHARS`` bytes of text at a time."""
     make_room()
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
-        part = np.cumsum(sizes) // CHARS
-        for start, end in zip(*[x.tolist() for x in (
-                np.flatnonzero(np.diff(part, prepend=-1)),
-                np.append(np.flatnonzero(np.diff(part)) + 1, len(part)))]):
+        for start, end in _portions(batch.column(1)):
             some = batch.slice(start, end - start)
             yield Lines(some.column(0), some.column(1), wanted)
 
@@ -612,23 +616,27 @@ def lost_lines(texts: DataFrame, t: float = SIMILARITY) -> DataFrame:
     return copies.unionAll(matched).distinct()
 
 
-def _without(texts: pd.Series, numbers: pd.Series, digests: pd.Series) -> pd.Series:
+def _without(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Texts without the lines that are named by number and digest."""
-    named = {(i, int(n), int(s1)) for i, (some, s1s) in enumerate(zip(numbers, digests))
-             if some is not None for n, s1 in zip(some, s1s)}
-    keys = np.array(sorted({i << 32 | n for i, n, _ in named}), dtype=np.int64)
-    lost: dict[int, set[int]] = {}
-    array = pa.array(texts, pa.string())
-    for start in range(0, len(array), 256):
-        own = Lines(pa.array(np.arange(start, min(start + 256, len(array)))),
-                    array.slice(start, 256), lambda i, n: np.isin(i << 32 | n, keys))
-        for i, n, s1 in zip(own.doc.tolist(), own.line.tolist(), own.digests()[0].tolist()):
-            if (i, n, s1) in named:
-                lost.setdefault(i, set()).add(n)
-    out = list(texts)
-    for i, gone in lost.items():
-        out[i] = "\n".join([x for n, x in enumerate(out[i].split("\n")) if n not in gone])
-    return pd.Series(out, dtype=object)
+    make_room()
+    for texts, numbers, digests in batches:
+        array, out = pa.array(texts, pa.string()), list(texts)
+        for start, end in _portions(array):
+            named = {(i, int(n), int(s1)) for i in range(start, end) if numbers[i] is not None
+                     for n, s1 in zip(numbers[i], digests[i])}
+            if not named:
+                continue
+            keys = np.array(sorted({i << 32 | n for i, n, _ in named}), dtype=np.int64)
+            own = Lines(pa.array(np.arange(start, end)), array.slice(start, end - start),
+                        lambda i, n: np.isin(i << 32 | n, keys))
+            lost: dict[int, set[int]] = {}
+            for i, n, s1 in zip(own.doc.tolist(), own.line.tolist(), own.digests()[0].tolist()):
+                if (i, n, s1) in named:
+                    lost.setdefault(i, set()).add(n)
+            for i, gone in lost.items():
+                out[i] = "\n".join([x for n, x in enumerate(out[i].split("\n")) if n not in gone])
+        yield pd.Series(out, dtype=object)
+        give_back()
 
 
 def dedup_lines(df: DataFrame, t: float = SIMILARITY) -> DataFrame:
@@ -644,6 +652,7 @@ def dedup_lines(df: DataFrame, t: float = SIMILARITY) -> DataFrame:
         place = bit_place(doc.to_numpy(dtype=np.int64), np.zeros(1, dtype=np.int64))
         return pd.Series(table[place >> 3] >> (place & 7) & 1 == 1)
 
+    # by the hints of its arguments called once for each task, not for each batch
     without = F.pandas_udf(_without, "string")
     doc = F.col("doc_id").cast("bigint")
     flagged = df.withColumn("__touched", doc.isNotNull() & perhaps(F.coalesce(doc, F.lit(0))))

@@ -4,6 +4,7 @@ import random
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 from colloquary.llm import line_dedup
@@ -139,3 +140,21 @@ def test_screening_holds_few_pairs():
         first.setdefault(doc, other)
     assert all(first.get(i) == near[i] for i in range(300))
     assert peak < 150, peak
+
+
+def test_long_texts_are_cut_a_portion_at_a_time():
+    # 256 texts of 40 kB each, of which every line is looked at
+    texts = [prose(i, 6000, 300) for i in range(4)] * 64
+    array, lines = pa.array(texts), []
+    for start in range(4):
+        own = line_dedup.Lines(pa.array([start]), array.slice(start, 1))
+        lines.append([(n, s1) for n, s1 in zip(own.line.tolist(), own.digests()[0].tolist())])
+    numbers = pd.Series([[n for n, _ in lines[i % 4]] for i in range(256)])
+    digests = pd.Series([[s1 for _, s1 in lines[i % 4][:-1]] + [0] for i in range(256)])
+    want = pd.Series([t.split("\n")[lines[i % 4][-1][0]] for i, t in enumerate(texts)])
+    tracemalloc.start()
+    out = list(line_dedup._without(iter([(pd.Series(texts), numbers, digests)])))
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert [t.strip() for t in out[0]] == [t.strip() for t in want]
+    assert peak < 120, peak
