@@ -2,10 +2,12 @@
 
 import random
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql.functions import spark_partition_id
 
 from colloquary.llm import line_dedup
 from tests.llm.helpers import documents, odd_rows, prose, same_rows, simple
@@ -158,3 +160,50 @@ def test_long_texts_are_cut_a_portion_at_a_time():
     tracemalloc.stop()
     assert [t.strip() for t in out[0]] == [t.strip() for t in want]
     assert peak < 120, peak
+
+
+def test_lists_travel_in_few_rows_and_come_back_whole():
+    texts = [prose(i, 400, 300) for i in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(texts)], names=["d", "t"])
+    rarity = np.arange(line_dedup.CELLS, dtype=np.uint64)
+    entries = list(line_dedup._entries(iter([batch]), rarity, 0.8))
+    want = {}
+    for e in entries:
+        for word, *rest in zip(*[c.tolist() for c in line_dedup._unfolded(e)]):
+            want.setdefault(word, []).append(tuple(rest))
+    # dealt by two tasks, met in one
+    none = np.zeros(0, dtype=np.int32)
+    parcels = [p for part in (entries[:1], entries[1:])
+               for p in line_dedup._parcels(line_dedup._of_others(iter(part), none), 4)]
+    assert sum(p.num_rows for p in parcels) <= 8 < sum(map(len, want.values())) / 20
+    whole = pa.Table.from_batches(parcels).sort_by("parcel").to_batches()
+    got, order = {}, []
+    for out in line_dedup._unpacked(iter(whole)):
+        for word, *rest in zip(*[c.to_pylist() for c in out.columns]):
+            got.setdefault(word, []).append(tuple(rest))
+            order.append((word, rest[2]))
+    assert order == sorted(order)
+    assert {w: sorted(x) for w, x in got.items()} == {
+        w: sorted(x) for w, x in want.items() if len(x) > 1}
+
+
+def test_copies_of_a_common_line_stay_spread(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BUSY", 50)
+    rows = [(1, 1, d, 0) for d in range(1, 900)] + [(1, 1, 0, 7), (1, 1, 0, 3), (9, 9, 5, 5)]
+    rows += [(2, s2, d, n) for s2 in (1, 2) for d, n in [(8, 4), (6, 5), (6, 2), (7, 0)]]
+    again = spark.createDataFrame(rows, "s1 long, s2 long, doc long, line long").repartition(8)
+    several = spark.createDataFrame([(1, 1, 901, 0), (2, 1, 4, 6), (2, 2, 4, 6)],
+                                    "s1 long, s2 long, n long, first long")
+    got = line_dedup._copies(again, several).select(
+        "*", spark_partition_id().alias("part")).collect()
+    want = [(d, 0, 1) for d in range(1, 900)] + [(0, 7, 1)]
+    want += [(8, 4, 2), (6, 5, 2), (7, 0, 2)] * 2
+    assert same_rows([(r.doc, r.line, r.s1) for r in got], want)
+    assert max(Counter(r.part for r in got).values()) < 300
+
+
+def test_digests_are_looked_at_only_where_ids_are_shared(spark):
+    [out] = line_dedup._without(iter([(pd.Series(["a b\nc\r\n\nd", "a b\nc", None]),
+                                       pd.Series([[0, 2], None, [1]]), pd.Series([None] * 3))]))
+    assert list(out) == ["c\r\nd", "a b\nc", None]
+    check(spark, [(1, "a b c\nx"), (2, "a b c\ny"), (2, "z\na b c"), (2, "a b c\ny"), (3, "z\ny")])
