@@ -33,7 +33,8 @@ with their prefixes, for the sample, the lists and the second look-up; word sets
 only for lines that have candidates (a bounded bit table sorts out most others while texts
 are read), and only documents that lose a line are joined with the list of those.
 Frequent words are last in the order of rarity, so they head lists only for lines that
-have nothing else, and equal lines have met before.
+have nothing else, and equal lines have met before.  No task is planned with two Python steps
+at once, each of which would need a worker that stays.
 
 Null texts stay null, empty ones empty.  Rows that share doc_id and text lose the same
 lines.  A row without a doc_id keeps all its lines and removes none.
@@ -735,8 +736,10 @@ def lost_lines(texts: DataFrame, t: float = SIMILARITY) -> DataFrame:
         in_batches(_by_set(again), lambda b: _parcels(_of_others(_first_of_each(b), cut), parcels),
                    _PARCEL))
     if crowded is not None:
-        rest = in_batches(entries, lambda b: _of_words(_alone(b, table), cut), _POSTING).unionAll(
-            in_batches(_by_set(again), lambda b: _of_words(_first_of_each(b), cut), _POSTING))
+        # kept so that no task is planned with two Python steps
+        rest = keep(in_batches(
+            entries, lambda b: _of_words(_alone(b, table), cut), _POSTING).unionAll(in_batches(
+                _by_set(again), lambda b: _of_words(_first_of_each(b), cut), _POSTING)), "rest")
         lists = lists.unionAll(in_batches(
             _in_blocks(rest, crowded), lambda b: _parcels(map(_columns, b), parcels), _PARCEL))
     lists = lists.repartition("parcel").sortWithinPartitions("parcel")
@@ -774,8 +777,8 @@ def lost_lines(texts: DataFrame, t: float = SIMILARITY) -> DataFrame:
             & (1 + F.least(n - F.col("at"), m - F.col("with_at")) - 1 >= need)
             & (n + m - apart >= 2 * need))
         pairs = keep(pairs.select("doc", "line", "s1", "with_doc", "with_line").distinct(), "pairs")
-        others = _sets_of(texts, pairs.select(
-            F.col("with_doc").alias("doc"), F.col("with_line").alias("line"))).select(
+        others = keep(_sets_of(texts, pairs.select(
+            F.col("with_doc").alias("doc"), F.col("with_line").alias("line"))), "others").select(
             F.col("doc").alias("with_doc"), F.col("line").alias("with_line"),
             F.col("words").alias("other"))
         met = pairs.join(open_, ["doc", "line", "s1"]).join(others, ["with_doc", "with_line"])
@@ -839,7 +842,8 @@ def dedup_lines(df: DataFrame, t: float = SIMILARITY) -> DataFrame:
     by_doc = lost.groupBy(F.col("doc").alias("__doc")).agg(
         F.collect_list(F.struct("line", "s1")).alias("__lost"))
     touched = F.col("__touched") % 2 == 1
-    cut = flagged.where(touched).join(by_doc, doc == F.col("__doc"), "left")
+    # merged even if few: what follows a broadcast would need a second Python worker in the task
+    cut = flagged.where(touched).join(by_doc.hint("merge"), doc == F.col("__doc"), "left")
     cut = cut.withColumn("text", without(
         F.col("text").cast("string"), F.col("__lost.line"),
         F.when(F.col("__touched") >= 2, F.col("__lost.s1"))))

@@ -207,3 +207,45 @@ def test_digests_are_looked_at_only_where_ids_are_shared(spark):
                                        pd.Series([[0, 2], None, [1]]), pd.Series([None] * 3))]))
     assert list(out) == ["c\r\nd", "a b\nc", None]
     check(spark, [(1, "a b c\nx"), (2, "a b c\ny"), (2, "z\na b c"), (2, "a b c\ny"), (3, "z\ny")])
+
+
+def workers_of_a_task(df):
+    """the most Python steps that one task of ``df`` runs at once"""
+    most, above = 0, []
+    for line in df._jdf.queryExecution().executedPlan().toString().split("\n"):
+        depth = len(line) - len(line.lstrip(" :+-"))
+        while above and above[-1][0] >= depth:
+            above.pop()
+        n = above[-1][1] if above else 0
+        n = 0 if "Exchange" in line.split("[")[0] else n + (
+            "MapInArrow" in line or "ArrowEvalPython" in line)
+        above.append((depth, n))
+        most = max(most, n)
+    return most
+
+
+def test_no_task_needs_two_workers(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "CROWD", 16)
+    in_batches, found, kept = line_dedup.in_batches, [], []
+
+    def watched(df, work, schema):
+        found.append(workers_of_a_task(in_batches(df, work, schema)))
+        return in_batches(df, work, schema)
+
+    def named(df, name, keep=line_dedup.keep):
+        kept.append(name)
+        return keep(df, name)
+
+    monkeypatch.setattr(line_dedup, "in_batches", watched)
+    monkeypatch.setattr(line_dedup, "keep", named)
+    rng, rows = random.Random(6), []
+    for doc in range(40):
+        line = [f"w{i}" for i in range(900)]
+        for i in rng.sample(range(900), rng.choice([60, 90, 100, 110, 130])):
+            line[i] = f"d{doc}x{i}"
+        rows.append((doc, " ".join(line)))
+    texts = documents(spark, [(d, x, "en", "s", 0) for d, x in rows]).select("doc_id", "text")
+    out = line_dedup.dedup_lines(texts)
+    assert same_rows([tuple(r) for r in out.collect()], brute(rows))
+    assert {"crowded", "pairs"} <= set(kept)  # all steps were taken
+    assert max(found) == workers_of_a_task(out) == 1, found
